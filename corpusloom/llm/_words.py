@@ -39,7 +39,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers is None or len(_powers[0]) <= n:
         size = max(n + 1, SEGMENT + 1)
         with np.errstate(over="ignore"):
-            _powers = tuple(np.cumprod(np.concatenate([[1], np.full(size, x, np.uint64)]).astype(np.uint64), dtype=np.uint64) for x in (_P, _INV))
+            _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]), dtype=np.uint64) for x in (_P, _INV))
     return _powers
 
 
