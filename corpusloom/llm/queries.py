@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, mixing, quality, resharding, simhash, topk
+from corpusloom.llm import byte_bpe, html_extract, line_dedup, mixing, quality, resharding, simhash, topk
 from corpusloom.llm._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,30 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, count_col="lines_removed")
+
+
+#: Right for the generated pages, whose article is one element with h1 and p blocks and four kinds of references.
+OP3_SQL = r"""
+WITH parts AS (
+    SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:h1|p)>') AS parts
+    FROM pages
+), texts AS (
+    SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+            '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
+    FROM parts
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
 OP8_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
@@ -58,16 +82,16 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
 FROM scored
-QUALIFY row_number() OVER w <= 10
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op1_byte_bpe": op1_byte_bpe, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "pipeline": corpus_pipeline.run}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL}
+    return {"op3_html_extract": OP3_SQL, "op8_topk": OP8_SQL}
