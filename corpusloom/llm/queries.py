@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, html_extract, line_dedup, mixing, quality, resharding, simhash, topk
+from corpusloom.llm import byte_bpe, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk
 from corpusloom.llm._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.summary(license_scan.scan(docs)).select("doc_id", "families", "n_statements", "probability")
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -56,6 +61,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs, count_col="lines_removed")
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = image_copies.with_rendering(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return image_copies.classes(images).withColumnRenamed("id", "vec_id")
+
+
 #: Right for the generated pages, whose article is one element with h1 and p blocks and four kinds of references.
 OP3_SQL = r"""
 WITH parts AS (
@@ -90,7 +100,7 @@ QUALIFY row_number() OVER w <= 10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "pipeline": corpus_pipeline.run}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
