@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import search_queries, text_queries
+from corpusloom.plans._registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = [text_queries, search_queries]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for m in MODULES for name, f in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.R.sql.items()}
