@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from corpusloom.llm._shared import as_text, quoted
 
 #: Pre-tokens remembered per Python worker; beyond it the memory starts anew. Longer ones than
 #: LONG_PIECE are forgotten at once. Results depend on neither.
-MEMO, LONG_PIECE = 400_000, 64
+MEMO, LONG_PIECE = 250_000, 64
 #: Characters of text that are split at once.
 AT_ONCE = 1 << 18
 #: Code points that stand for the bytes: printable ones for themselves, the others from 256 on.
@@ -77,59 +77,74 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, identity)
 
 
-class Codec:
-    """Encoder and decoder of one rank file, made once per Python worker."""
+class Encoder:
+    """Encoder of one rank file, made once per Python worker.
+
+    A pre-token is remembered as packed piece numbers; a text's are joined as bytes and turned into
+    ids in one step.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
         import sentencepiece
 
-        self.ranks = read_ranks(path)
+        ranks = read_ranks(path)
+        ordered = sorted(ranks, key=ranks.__getitem__)
         self.split = regex.compile(pattern).findall
-        ordered = sorted(self.ranks, key=self.ranks.__getitem__)
-        self.piece_ids = [-1, *(self.ranks[p] for p in ordered)]
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
-        self.spell = {b: c for b, c in enumerate(byte_alphabet())}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.table = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for piece, rank in self.ranks.items():
-            self.table[rank] = piece
+        self.ids = np.array([-1, *(ranks[p] for p in ordered)], np.int32)
+        self.whole = {piece: array("i", [i + 1]).tobytes() for i, piece in enumerate(ordered)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
+        self.spell = dict(enumerate(byte_alphabet()))
+        self.memo: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Put the ids of pre-tokens into the memory, all that need merges in one call of the model."""
+        """Put pre-tokens into the memory; all that need merges go to the model in one call."""
         if len(self.memo) + len(pieces) > MEMO:
             self.memo.clear()
-        whole = {p: self.ranks.get(p.encode()) for p in pieces}
-        self.memo.update((p, (i,)) for p, i in whole.items() if i is not None)
-        rest = [p for p, i in whole.items() if i is None]
+        whole = {p: self.whole.get(p.encode()) for p in pieces}
+        rest = [p for p, known in whole.items() if known is None]
         found = self.model.encode([p.encode().decode("latin-1").translate(self.spell) for p in rest], num_threads=1)
-        self.memo.update(zip(rest, (tuple(map(self.piece_ids.__getitem__, ids)) for ids in found)))
+        whole.update(zip(rest, (array("i", x).tobytes() for x in found)))
+        self.memo.update(whole)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the texts should be few, as all their pre-tokens are held at once."""
         split = list(map(self.split, texts))
         needed = set().union(*split)
         missing = needed.difference(self.memo)
         if missing:
-            if len(self.memo) + len(missing) > MEMO:
-                missing = needed
-            self.learn(missing)
-        out = [list(chain.from_iterable(map(self.memo.__getitem__, pieces))) for pieces in split]
+            self.learn(needed if len(self.memo) + len(missing) > MEMO else missing)
+        out = [self.ids[np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)] for pieces in split]
         for piece in missing:
             if len(piece) > LONG_PIECE:
                 del self.memo[piece]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text])[0].tolist()
+
+
+class Decoder:
+    """The inverse mapping from ids to bytes."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            self.table[rank] = piece
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
+
+
+@lru_cache(maxsize=1)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def _portions(texts: pa.Array) -> Iterator[list[str]]:
@@ -148,21 +163,23 @@ def _portions(texts: pa.Array) -> Iterator[list[str]]:
 def _encoder(path: str, pattern: str) -> Callable:
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path, pattern)
+        own = encoder_of(path, pattern)
         for texts in batches:
-            ids = [np.array(x, np.int32) for portion in _portions(texts) for x in own.encode_batch(portion)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            ids = [x for portion in _portions(texts) for x in own.encode_batch(portion)]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
+            del ids
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     return encode
 
 
-def _decoder(path: str, pattern: str) -> Callable:
+def _decoder(path: str) -> Callable:
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path, pattern)
+        own = decoder_of(path)
         for ids in batches:
-            yield pa.array([own.decode(x.values.to_pylist()) if x.is_valid else b"" for x in ids], pa.binary())
+            yield pa.array((own.decode(x.values.to_pylist()) if x.is_valid else b"" for x in ids), pa.binary())
 
     return decode
 
@@ -172,9 +189,9 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     return df.withColumn(ids_col, _encoder(path, pattern)(as_text(text_col)))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (null ids: none)."""
-    return df.withColumn(bytes_col, _decoder(path, pattern)(quoted(ids_col)))
+    return df.withColumn(bytes_col, _decoder(path)(quoted(ids_col)))
 
 
 def with_digests(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
