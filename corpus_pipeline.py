@@ -1,15 +1,58 @@
-"""The corpus pipeline; its stages are registered as the query ``pipeline``."""
+"""The corpus pipeline, registered as the query ``pipeline``.
+
+Documents that the quality classifier rejects go; repeated runs of lines are deleted from the later
+texts; of each group of near-duplicates one document stays; sources are mixed to their target
+weights, a document once for each time it is taken; the texts that are left are coded as token ids.
+Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.llm import byte_bpe, line_dedup, mixing, quality, simhash
 from corpusloom.llm._shared import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat(mixing.mix(docs, F.array("source")), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    coded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path)
+    return byte_bpe.with_digests(coded).select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("line dedup", delete_repeated_lines),
+    ("SimHash near-dedup", keep_one_of_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
