@@ -47,3 +47,10 @@ def quoted(name: str) -> Column:
 def as_text(name: str) -> Column:
     """The column as text, null read as the empty text."""
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
+    """At most ``n`` rows, those of the smallest ``order`` (a hash) among every m-th hash; m grows with the
+    table, so that tasks send few rows to be merged however many tasks there are."""
+    every = max(1, df.count() // (2 * n))
+    return df.where(F.pmod(F.col(order), F.lit(every)) == 0).orderBy(order, *ties).limit(n)

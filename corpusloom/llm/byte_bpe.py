@@ -27,9 +27,9 @@ from corpusloom.llm._shared import as_text, quoted
 
 #: Pre-tokens remembered per Python worker; beyond it the memory starts anew. Longer ones than
 #: LONG_PIECE are forgotten at once. Results depend on neither.
-MEMO, LONG_PIECE = 250_000, 64
+MEMO, LONG_PIECE = 150_000, 64
 #: Characters of text that are split at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 19
 #: Code points that stand for the bytes: printable ones for themselves, the others from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -165,11 +165,10 @@ def _encoder(path: str, pattern: str) -> Callable:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder_of(path, pattern)
         for texts in batches:
-            ids = [x for portion in _portions(texts) for x in own.encode_batch(portion)]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int32), *ids])
-            del ids
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            for portion in _portions(texts):  # results go out in pieces, so that a batch of long texts is never held as ids
+                ids = own.encode_batch(portion)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
     return encode
 
@@ -179,7 +178,8 @@ def _decoder(path: str) -> Callable:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = decoder_of(path)
         for ids in batches:
-            yield pa.array((own.decode(x.values.to_pylist()) if x.is_valid else b"" for x in ids), pa.binary())
+            for at in range(0, len(ids), 256):
+                yield pa.array((own.decode(x.values.to_pylist()) if x.is_valid else b"" for x in ids.slice(at, 256)), pa.binary())
 
     return decode
 

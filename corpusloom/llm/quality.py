@@ -6,8 +6,8 @@ shapes (capitals, other letters, digits and punctuation, runs collapsed; a bigra
 a word repeats the one before), hashed into ``2**BITS`` slots. A slot's value is its share of the
 text's n-grams times ``SCALE``. Nothing but the text is an input.
 
-Training is distributed. At most ``TRAIN_DOCS`` labelled rows, those with the smallest hash of
-their id, are dealt to groups of about ``GROUP`` rows; each group runs FTRL-proximal over its own
+Training is distributed. At most ``TRAIN_DOCS`` labelled rows, a sample by the hash of their
+id, are dealt to groups of about ``GROUP`` rows; each group runs FTRL-proximal over its own
 rows, and the slot weights are averaged (parameter mixing). The weights are a table of at most ``2**BITS`` rows,
 which bounds what is broadcast for scoring.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _words
-from corpusloom.llm._shared import as_text, fresh, quoted
+from corpusloom.llm._shared import as_text, bounded_sample, fresh, quoted
 
 BITS, SCALE = 18, 16.0
 #: Bound of the labelled sample and the size of the groups it is dealt to.
@@ -107,9 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         .groupBy(key.alias("id"))
         .agg(F.max(quoted(label_col)).cast("double").alias("label"))
         .withColumn("order", F.xxhash64("id"))
-        .orderBy("order", "id")
-        .limit(TRAIN_DOCS)
     )
+    chosen = bounded_sample(chosen, "order", TRAIN_DOCS, "id")
     shards = max(1, chosen.count() // GROUP)
     # TRAIN_DOCS rows of three numbers bound the broadcast side
     rows = docs.select(key.alias("id"), as_text(text_col).alias("text")).join(F.broadcast(chosen), "id")
