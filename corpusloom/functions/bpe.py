@@ -27,28 +27,28 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where(F.size("ids") > 1).select("n", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
-def _merged(a: int, b: int, new: int):
-    """Left-to-right replacement of a pair by its new id."""
-
-    def step(out, x):
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.lit(new)))
-        return F.when((last == a) & (x == b), joined).otherwise(F.concat(out, F.array(x)))
-
-    return F.aggregate("ids", F.array().cast("array<int>"), step)
+def _symbol(token: int) -> str:
+    """A token as one character, so that a merge is one replacement of a string; surrogates are left out."""
+    return chr(256 + token if token < 0xD700 else 2304 + token)
 
 
 def train(counts: DataFrame, merges: int, save_every: int = 16) -> DataFrame:
     """(rank, a, b, id): the first merges. Each needs one aggregate over the distinct words; the driver sees one row a merge."""
-    words = byte_words(counts).groupBy("ids").agg(F.sum("n").alias("n")).persist()
+    of_byte = F.array(*(F.lit(_symbol(b)) for b in range(256)))
+    words = byte_words(counts).select(F.array_join(F.transform("ids", lambda b: F.get(of_byte, b)), "").alias("word"), "n")
+    words = words.groupBy("word").agg(F.sum("n").alias("n")).persist()
+    tokens = {_symbol(b): b for b in range(256)}
     found = []
     for k in range(merges):
-        best = pair_counts(words).orderBy(F.desc("n"), F.desc("a"), F.desc("b")).first()
+        at = F.sequence(F.lit(1), F.char_length("word") - 1)
+        pairs = words.where(F.char_length("word") > 1).select("n", F.explode(F.transform(at, lambda i: F.substr("word", i, F.lit(2)))).alias("pair"))
+        best = pairs.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("pair")).first()
         if best is None:
             break
-        found.append((k, best.a, best.b, 256 + k))
-        has = F.array_contains("ids", best.a) & F.array_contains("ids", best.b)
-        words = words.withColumn("ids", F.when(has, _merged(best.a, best.b, 256 + k)).otherwise(F.col("ids")))
+        new = 256 + k
+        found.append((k, tokens[best.pair[0]], tokens[best.pair[1]], new))
+        tokens[_symbol(new)] = new
+        words = words.withColumn("word", F.replace("word", F.lit(best.pair), F.lit(_symbol(new))))
         if (k + 1) % save_every == 0:
             words = words.persist()
     return counts.sparkSession.createDataFrame(found, "rank int, a int, b int, id int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +108,6 @@ def lm_features(prompt: Column, response: Column, length: int, pad: int = 0) ->
 
 def rouge_l(a: Column, b: Column) -> Column:
     """F-measure of the longest common subsequence of two word arrays."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q) -> float:

@@ -24,8 +24,8 @@ R.over(
 R.over(
     "chunk_small_plan",
     D,
-    lambda d: d.where("doc_id < 50").select("doc_id", F.posexplode(chunks.windows(F.left("text", F.lit(20)), 1, 0)).alias("pos", "chunk")),
-    "SELECT doc_id, CAST(s AS INTEGER) AS pos, substr(t, CAST(s AS BIGINT) + 1, 1) AS chunk FROM (SELECT doc_id, left(text, 20) AS t, unnest(range(0, length(left(text, 20)))) AS s FROM documents WHERE doc_id < 50)",
+    lambda d: d.select("doc_id", F.explode(chunks.windows(F.col("text"), 64, 0)).alias("chunk")),
+    "SELECT doc_id, unnest(" + _WIN.format(t="text").replace("900", "64").replace("760", "64") + ") AS chunk FROM documents WHERE length(text) > 0",
 )
 R.over(
     "chunk_split_text",
@@ -45,9 +45,9 @@ _ART = "Статья 1. Общие\nтело один\nСтатья 2.1 Прав
 R.over(
     "chunk_articles",
     D,
-    lambda d: d.select("doc_id", F.posexplode(chunks.articles(F.concat(F.lit("intro\n" + _ART + "\n"), F.left("text", F.lit(50))))).alias("pos", "a")).select("doc_id", "pos", "a.*"),
+    lambda d: d.select("doc_id", F.posexplode(chunks.articles(F.concat(F.lit("intro\n" + _ART + "\n"), F.col("text")))).alias("pos", "a")).select("doc_id", "pos", "a.*"),
     r"""SELECT doc_id, 0 AS pos, 'Статья 1. Общие' AS article, 'тело один' AS text FROM documents
-UNION ALL SELECT doc_id, 1, 'Статья 2.1 Права', regexp_replace('тело два' || chr(10) || 'ещё' || chr(10) || left(text, 50), '\s+$', '') FROM documents""",
+UNION ALL SELECT doc_id, 1, 'Статья 2.1 Права', regexp_replace('тело два' || chr(10) || 'ещё' || chr(10) || text, '\s+$', '') FROM documents""",
 )
 R.queries["ds_articles"], R.sql["ds_articles"] = R.queries["chunk_articles"], R.sql["chunk_articles"]
 _PAGED = f"""WITH pg AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS page, unnest(ps) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)),
@@ -79,7 +79,7 @@ R.over("vec_normalise", E, lambda e: e.select("vec_id", F.transform(V.normalised
 R.queries["frozen_build"], R.sql["frozen_build"] = R.queries["vec_normalise"], R.sql["vec_normalise"]
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _COS = f"round({_DOT.format(a='q.embedding', b='c.embedding')} / ({_N.format(v='q.embedding')} * {_N.format(v='c.embedding')}), 6)"
-_TOPK = f"""SELECT q.vec_id AS query_id, c.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id"""
+_TOPK = f"""SELECT q.vec_id AS query_id, c.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id"""
 _RANKED = f"WITH s AS ({_TOPK}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= {{k}}"
 R.over(
     "vec_cosine",
@@ -90,7 +90,7 @@ R.over(
 
 
 def asked(e):
-    return e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
 def top(spark, sf_dir, k=5):

@@ -46,12 +46,12 @@ SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos, unnes
 R.over("str_html_sections", P, lambda p: p.select("page_id", F.posexplode(X.html_sections(F.col("html"))).alias("pos", "section")), _SECTIONS_SQL)
 R.queries["src_html"], R.sql["src_html"] = R.queries["str_html_sections"], R.sql["str_html_sections"]
 
-_MD = "'# Title ' || doc_id || chr(10) || chr(10) || 'Some **bold** and *soft* and `code` and [link](http://x) ' || left(text, 300)"
+_MD = "'# Title ' || doc_id || chr(10) || chr(10) || 'Some **bold** and *soft* and `code` and [link](http://x) ' || text"
 _MD_SQL = _MD
 for _p, _b in [(r"(?m)^#{1,6}\s*", ""), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), ("__([^_]+)__", r"<strong>\1</strong>"), (r"\*([^*]+)\*", r"<em>\1</em>"), ("_([^_]+)_", r"<em>\1</em>"), ("`([^`]+)`", r"<code>\1</code>"), (r"\[(.*?)\]\([^\)]+\)", r"<a>\1</a>"), (r"\r\n?", "\n"), (r"\n\n", "</p><p>"), (r"\n", "<br/>")]:
     _MD_SQL = f"regexp_replace({_MD_SQL}, '{_p}', '{_b}', 'g')"
 _MD_SQL = f"'<p>' || {_MD_SQL} || '</p>'"
-_md = lambda d: d.select("doc_id", X.markdown_html(F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\nSome **bold** and *soft* and `code` and [link](http://x) "), F.left("text", F.lit(300)))).alias("html"))
+_md = lambda d: d.select("doc_id", X.markdown_html(F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\nSome **bold** and *soft* and `code` and [link](http://x) "), F.col("text"))).alias("html"))
 R.over("str_md_fallback", D, _md, f"SELECT doc_id, {_MD_SQL} AS html FROM documents")
 R.over(
     "src_md",
@@ -74,32 +74,32 @@ R.over(
     lambda d: d.select("doc_id", X.wiki_clean(F.concat(F.lit("== Head ==\n"), F.col("text"), F.lit("\n\n\n=== Tail ===\n"))).alias("body")).withColumn("is_substantial", F.length("body") >= 200),
     f"WITH s AS (SELECT doc_id, {_WIKI_SQL} AS body FROM documents) SELECT doc_id, body, length(body) >= 200 AS is_substantial FROM s",
 )
-R.over("str_heading_query", D, lambda d: d.select("doc_id", X.heading_query(F.concat(F.lit(" Статья "), F.col("doc_id"), F.lit(".1. "), F.left("text", F.lit(60)))).alias("query")), "SELECT doc_id, " + st(r"regexp_replace(' Статья ' || doc_id || '.1. ' || left(text, 60), '^\s*Статья\s+[\d.]+\.?\s*', '')") + " AS query FROM documents")
+R.over("str_heading_query", D, lambda d: d.select("doc_id", X.heading_query(F.concat(F.lit(" Статья "), F.col("doc_id"), F.lit(".1. "), F.col("text"))).alias("query")), "SELECT doc_id, " + st(r"regexp_replace(' Статья ' || doc_id || '.1. ' || text, '^\s*Статья\s+[\d.]+\.?\s*', '')") + " AS query FROM documents")
 _NORM_Q = "regexp_replace(" + sq("lower({})") + ", '[?!.… ]+$', '')"
 R.over("str_normalize_question", "benchmark", lambda b: b.select("item_id", X.normal_question(F.concat("text", F.lit(" ?! … "))).alias("q")), "SELECT item_id, " + _NORM_Q.format("text || ' ?! … '") + " AS q FROM benchmark")
 R.over("str_normalize_answer", D, lambda d: d.select("doc_id", X.normal_answer(F.col("text")).alias("a")), "SELECT doc_id, regexp_replace(" + sq("lower(text)") + r", '[^\p{L}\p{N}_\s]', '', 'g') AS a FROM documents")
-_CITED = "left(text, 80) || ' [doc_chunk:' || doc_id || '] more [doc_chunk:' || (doc_id % 1000) || ']'"
-_cited = lambda: F.concat(F.left("text", F.lit(80)), F.lit(" [doc_chunk:"), F.col("doc_id"), F.lit("] more [doc_chunk:"), F.col("doc_id") % 1000, F.lit("]"))
+_CITED = "text || ' [doc_chunk:' || doc_id || '] more [doc_chunk:' || (doc_id % 1000) || ']'"
+_cited = lambda: F.concat(F.col("text"), F.lit(" [doc_chunk:"), F.col("doc_id"), F.lit("] more [doc_chunk:"), F.col("doc_id") % 1000, F.lit("]"))
 _STRIP_CITES = r"regexp_replace({}, '\s*\[doc_chunk:\d+\]\s*', ' ', 'g')"
 R.over("str_strip_citations", D, lambda d: d.select("doc_id", X.strip_citations(_cited()).alias("body")), "SELECT doc_id, " + st(_STRIP_CITES.format(_CITED)) + " AS body FROM documents")
 R.over(
     "str_trailing_citation_run",
     D,
-    lambda d: d.select("doc_id", X.strip_citation_run(F.concat(F.left("text", F.lit(60)), F.when(F.col("doc_id") % 2 == 0, F.lit(" [1] [2] [3.1] [4] [5")).otherwise(F.lit(" [1] [2]")))).alias("body")),
-    r"SELECT doc_id, regexp_replace(regexp_replace(left(text, 60) || CASE WHEN doc_id % 2 = 0 THEN ' [1] [2] [3.1] [4] [5' ELSE ' [1] [2]' END, '(?:\s*\[\s*\d[\d.]*\s*\]){4,}(?:\s*\[\s*\d[\d.]*)?\s*$', ''), '\s+$', '') AS body FROM documents",
+    lambda d: d.select("doc_id", X.strip_citation_run(F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit(" [1] [2] [3.1] [4] [5")).otherwise(F.lit(" [1] [2]")))).alias("body")),
+    r"SELECT doc_id, regexp_replace(regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN ' [1] [2] [3.1] [4] [5' ELSE ' [1] [2]' END, '(?:\s*\[\s*\d[\d.]*\s*\]){4,}(?:\s*\[\s*\d[\d.]*)?\s*$', ''), '\s+$', '') AS body FROM documents",
 )
 _FAKE = "CAST(900 + CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS VARCHAR)"
 R.over(
     "str_fake_citation",
     D,
-    lambda d: d.select("doc_id", X.fake_citation(F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(50))).otherwise(_cited()), F.col("doc_id")).alias("body")),
-    f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 50) ELSE {_CITED} END AS t, {_FAKE} AS f FROM documents)
+    lambda d: d.select("doc_id", X.fake_citation(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(_cited()), F.col("doc_id")).alias("body")),
+    f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE {_CITED} END AS t, {_FAKE} AS f FROM documents)
 SELECT doc_id, CASE WHEN NOT regexp_matches(t, '\\[doc_chunk:(\\d+)\\]') THEN t || ' [doc_chunk:' || f || ']'
   WHEN CAST(regexp_extract(t, '\\[doc_chunk:(\\d+)\\]', 1) AS BIGINT) BETWEEN 900 AND 999 THEN t
   ELSE regexp_replace(t, '\\[doc_chunk:(\\d+)\\]', '[doc_chunk:' || f || ']') END AS body FROM s""",
 )
-_ACT = "'Вид НПА: Приказ ' || doc_id || chr(10) || 'Издатель - Минтруд' || chr(10) || 'номер: ' || doc_id || '-А/1' || chr(10) || 'Дата принятия: 0' || (1 + doc_id % 9) || '.02.2020' || chr(10) || 'редакция: ' || left(text, 20)"
-_act = lambda: F.concat(F.lit("Вид НПА: Приказ "), F.col("doc_id"), F.lit("\nИздатель - Минтруд\nномер: "), F.col("doc_id"), F.lit("-А/1\nДата принятия: 0"), 1 + F.col("doc_id") % 9, F.lit(".02.2020\nредакция: "), F.left("text", F.lit(20)))
+_ACT = "'Вид НПА: Приказ ' || doc_id || chr(10) || 'Издатель - Минтруд' || chr(10) || 'номер: ' || doc_id || '-А/1' || chr(10) || 'Дата принятия: 0' || (1 + doc_id % 9) || '.02.2020' || chr(10) || 'редакция: ' || text"
+_act = lambda: F.concat(F.lit("Вид НПА: Приказ "), F.col("doc_id"), F.lit("\nИздатель - Минтруд\nномер: "), F.col("doc_id"), F.lit("-А/1\nДата принятия: 0"), 1 + F.col("doc_id") % 9, F.lit(".02.2020\nредакция: "), F.col("text"))
 _meta = lambda: F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("issuer"), F.lit("Meta office"), F.lit("is_active"), F.when(F.col("doc_id") % 2 == 0, F.lit("да")).otherwise(F.lit("no"))))
 _ex = lambda p: f"nullif({st(f'regexp_extract(t, {chr(39)}{p}{chr(39)}, 1)')}, '')"
 R.over(
@@ -112,12 +112,12 @@ R.over(
 )
 _dates = lambda: F.when(F.col("doc_id") % 4 == 0, F.lit("31.02.2020")).when(F.col("doc_id") % 4 == 1, F.lit("bad")).when(F.col("doc_id") % 4 == 2, F.lit("15.03.2021")).otherwise(F.lit(None).cast("string"))
 R.over("str_parse_date", D, lambda d: d.select("doc_id", X.act_date(_dates()).alias("day")), "SELECT doc_id, try_strptime(CASE doc_id % 4 WHEN 0 THEN '31.02.2020' WHEN 1 THEN 'bad' WHEN 2 THEN '15.03.2021' END, '%d.%m.%Y') AS day FROM documents")
-R.over("str_slug", D, lambda d: d.select("doc_id", X.slug(F.concat(F.lit(" "), F.left("text", F.lit(20)), F.lit(" ")), F.col("doc_id")).alias("slug")), "SELECT doc_id, regexp_replace(" + st("' ' || left(text, 20) || ' '") + r", '\s+', '_', 'g') || '__a' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS slug FROM documents")
+R.over("str_slug", D, lambda d: d.select("doc_id", X.slug(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.col("doc_id")).alias("slug")), "SELECT doc_id, regexp_replace(" + st("' ' || text || ' '") + r", '\s+', '_', 'g') || '__a' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS slug FROM documents")
 R.over(
     "str_title",
     D,
-    lambda d: d.select("doc_id", X.derive_title(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("intro\n # "), F.left("text", F.lit(30)))).otherwise(F.col("text")), F.concat(F.lit("dir/"), F.col("source"), F.lit(".v1.md"))).alias("title")),
-    r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN " + st("string_split(left(text, 30), chr(10))[1]") + r" ELSE source || '.v1' END AS title FROM documents",
+    lambda d: d.select("doc_id", X.derive_title(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("intro\n # "), F.col("text"))).otherwise(F.col("text")), F.concat(F.lit("dir/"), F.col("source"), F.lit(".v1.md"))).alias("title")),
+    r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN " + st("string_split(text, chr(10))[1]") + r" ELSE source || '.v1' END AS title FROM documents",
 )
 _SNIP = "CASE WHEN length(t) > 400 THEN regexp_replace(left(t, 400), ' [^ ]*$', '') || '…' ELSE t END"
 R.over("str_snippet", D, lambda d: d.select("doc_id", X.snippet(F.col("text")).alias("snippet")), f"WITH s AS (SELECT doc_id, {st('text')} AS t FROM documents) SELECT doc_id, {_SNIP} AS snippet FROM s")
@@ -134,14 +134,14 @@ R.over("str_role_format", C, role_format, "SELECT conv_id, string_agg(role || ':
 R.over(
     "str_prompts",
     C,
-    lambda c: c.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("Фрагменты базы знаний:\n"), F.left("text", F.lit(40)), F.lit("\n\nВопрос пользователя: "), "text", F.lit("\nОтвет:")).alias("prompt"), F.concat(X.role_label(F.col("role")), F.lit(": "), X.snippet(F.col("text"), 1000)).alias("history")),
-    f"WITH s AS (SELECT *, {st('text')} AS b FROM conversations WHERE role = 'user') SELECT conv_id, turn, 'Фрагменты базы знаний:' || chr(10) || left(text, 40) || chr(10) || chr(10) || 'Вопрос пользователя: ' || text || chr(10) || 'Ответ:' AS prompt, 'Пользователь: ' || CASE WHEN length(b) > 1000 THEN regexp_replace(left(b, 1000), ' [^ ]*$', '') || '…' ELSE b END AS history FROM s",
+    lambda c: c.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("Фрагменты базы знаний:\n"), F.col("text"), F.lit("\n\nВопрос пользователя: "), "text", F.lit("\nОтвет:")).alias("prompt"), F.concat(X.role_label(F.col("role")), F.lit(": "), X.snippet(F.col("text"), 1000)).alias("history")),
+    f"WITH s AS (SELECT *, {st('text')} AS b FROM conversations WHERE role = 'user') SELECT conv_id, turn, 'Фрагменты базы знаний:' || chr(10) || text || chr(10) || chr(10) || 'Вопрос пользователя: ' || text || chr(10) || 'Ответ:' AS prompt, 'Пользователь: ' || CASE WHEN length(b) > 1000 THEN regexp_replace(left(b, 1000), ' [^ ]*$', '') || '…' ELSE b END AS history FROM s",
 )
 R.over(
     "str_e5_prefix",
     D,
-    lambda d: d.select("doc_id", X.e5_prefix(F.left("text", F.lit(20)), F.when(F.col("doc_id") % 2 == 0, F.lit("query")).otherwise(F.lit("passage")), F.when(F.col("doc_id") % 3 == 0, F.lit("bge")).otherwise(F.lit("multilingual-E5-small")), F.col("doc_id") % 5 != 0).alias("t")),
-    "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'query' ELSE 'passage' END || ': ' || left(text, 20) ELSE left(text, 20) END AS t FROM documents",
+    lambda d: d.select("doc_id", X.e5_prefix(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit("query")).otherwise(F.lit("passage")), F.when(F.col("doc_id") % 3 == 0, F.lit("bge")).otherwise(F.lit("multilingual-E5-small")), F.col("doc_id") % 5 != 0).alias("t")),
+    "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'query' ELSE 'passage' END || ': ' || text ELSE text END AS t FROM documents",
 )
 _qa = lambda: F.concat(F.lit('Sure! ```json\n[{"instruction": " Q'), F.col("doc_id"), F.lit(' ", "output": "A ]} [doc_chunk:1]", "input": null}, {"instruction": "only"}]\n``` bye'))
 R.over("json_parse_qa", D, lambda d: d.select("doc_id", F.explode(payloads.parse_qa(_qa())).alias("qa")).select("doc_id", "qa.*"), "SELECT doc_id, 'Q' || doc_id AS instruction, 'None' AS input, 'A ]} [doc_chunk:1]' AS output FROM documents")

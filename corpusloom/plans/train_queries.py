@@ -40,7 +40,7 @@ def side(spark, sf_dir, name):
 
 
 _ITEMS = f"""WITH r AS ({Q._RANKED.format(k=10)}), i AS (SELECT query_id, list(vec_id ORDER BY rank) AS keys, list(vec_id ORDER BY vec_id * 37 % 11 DESC, rank) AS teacher FROM r GROUP BY query_id),
-l AS (SELECT q.vec_id AS query_id, list(c.vec_id) AS relevant FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id), t AS (SELECT * FROM i JOIN l USING (query_id))"""
+l AS (SELECT q.vec_id AS query_id, list(c.vec_id) AS relevant FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id), t AS (SELECT * FROM i JOIN l USING (query_id))"""
 _HIT = "CAST(CASE WHEN len(list_intersect(list_slice({r}, 1, {k}), relevant)) > 0 THEN 1 ELSE 0 END AS DOUBLE)"
 _REC = "len(list_intersect(list_slice({r}, 1, {k}), relevant)) / CAST(len(relevant) AS DOUBLE)"
 _MRR = "coalesce(1.0 / list_position(list_transform(list_slice({r}, 1, {k}), lambda x: list_contains(relevant, x)), true), 0.0)"
@@ -93,14 +93,14 @@ add(
 
 # --- seeds: user questions with the answer that follows, the chunk it is from, and what a search found ---
 def seeds(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 200")
+    d = table(spark, sf_dir, "documents")
     own = F.col("doc_id")
     hit = lambda k: F.struct((own + k).alias("id"), F.concat(F.lit(" chunk "), own + k).alias("text"))
     found = F.when(own % 3 == 0, F.array(hit(1), hit(2))).otherwise(F.array(hit(1), hit(0)))
-    return d.select(own.alias("seed_id"), F.concat(F.lit("question "), own).alias("instruction"), F.concat(F.left("text", F.lit(30)), F.when(own % 4 > 0, F.concat(F.lit(" [doc_chunk:"), own, F.lit("]"))).otherwise("")).alias("output"), own.alias("chunk_id"), F.concat(F.lit("own "), own).alias("chunk_text"), found.alias("retrieved"), F.when(own % 5 > 0, F.concat(F.lit("answer "), own, F.when(own % 2 == 0, " [doc_chunk:12]").otherwise(""))).otherwise(" ").alias("teacher"))
+    return d.select(own.alias("seed_id"), F.concat(F.lit("question "), own).alias("instruction"), F.concat(F.col("text"), F.when(own % 4 > 0, F.concat(F.lit(" [doc_chunk:"), own, F.lit("]"))).otherwise("")).alias("output"), own.alias("chunk_id"), F.concat(F.lit("own "), own).alias("chunk_text"), found.alias("retrieved"), F.when(own % 5 > 0, F.concat(F.lit("answer "), own, F.when(own % 2 == 0, " [doc_chunk:12]").otherwise(""))).otherwise(" ").alias("teacher"))
 
 
-_SEEDS = "s AS (SELECT doc_id AS seed_id, 'question ' || doc_id AS instruction, left(text, 30) || CASE WHEN doc_id % 4 > 0 THEN ' [doc_chunk:' || doc_id || ']' ELSE '' END AS output, doc_id AS i, CASE WHEN doc_id % 5 > 0 THEN 'answer ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [doc_chunk:12]' ELSE '' END ELSE '' END AS teacher FROM documents WHERE doc_id < 200)"
+_SEEDS = "s AS (SELECT doc_id AS seed_id, 'question ' || doc_id AS instruction, text || CASE WHEN doc_id % 4 > 0 THEN ' [doc_chunk:' || doc_id || ']' ELSE '' END AS output, doc_id AS i, CASE WHEN doc_id % 5 > 0 THEN 'answer ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [doc_chunk:12]' ELSE '' END ELSE '' END AS teacher FROM documents)"
 _BLOCK = "'Фрагмент [doc_chunk:' || ({n}) || ']:' || chr(10) || '{p} ' || ({n})"
 _NL = " || chr(10) || chr(10) || "
 
@@ -172,17 +172,18 @@ add("lm_split", lm_split, f"SELECT doc_id, CASE WHEN rn > n - floor(n * 0.05) TH
 
 def lm_batch(s, d):
     """Windows of 16 code points and the same moved by one."""
-    t = table(s, d, "documents").where("doc_id < 100 and length(text) > 40").select("doc_id", "text")
+    t = table(s, d, "documents").where("length(text) > 40").select("doc_id", "text")
     at = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(17), F.lit(8)), lambda p: F.struct(F.substr("text", p, F.lit(16)).alias("x"), F.substr("text", p + 1, F.lit(16)).alias("y")))).alias("pos", "w"))
     return at.select("doc_id", "pos", "w.*")
 
 
-add("lm_batch", lm_batch, "SELECT doc_id, CAST((p - 1) / 8 AS INTEGER) AS pos, substr(text, p, 16) AS x, substr(text, p + 1, 16) AS y FROM (SELECT doc_id, text, unnest([1, 9, 17]) AS p FROM documents WHERE doc_id < 100 AND length(text) > 40)")
+add("lm_batch", lm_batch, "SELECT doc_id, CAST((p - 1) / 8 AS INTEGER) AS pos, substr(text, p, 16) AS x, substr(text, p + 1, 16) AS y FROM (SELECT doc_id, text, unnest([1, 9, 17]) AS p FROM documents WHERE length(text) > 40)")
 
 
 # --- streams: each runs what there is and returns it as a table ---
 def events_stream(spark, sf_dir):
-    return I.source(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
+    stream = I.source(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # files without a time zone
 
 
 def drained(stream, mode="append"):
@@ -200,6 +201,6 @@ def ingest_loop(spark, sf_dir):
 
 
 add("st_dedup_stream", lambda s, d: drained(I.idempotent(events_stream(s, d), ["event_id"], "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
-add("st_slo", lambda s, d: drained(I.service_levels(events_stream(s, d)), "complete").select(F.col("window.start").alias("start"), "n", "errors"), "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
+add("st_slo", lambda s, d: drained(I.service_levels(events_stream(s, d)), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "errors"), "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 add("st_rate_limit", lambda s, d: drained(I.rate_limit(events_stream(s, d), most=2, seconds=3600)).groupBy("accepted").agg(F.count("*").alias("n")))
 add("st_stuck_timeout", lambda s, d: P.O.stale(P.jobs(s, d), P.mid()).agg(F.count("*").alias("n"), F.min("id").alias("first")), f"WITH {P.JOBS} SELECT count(*) AS n, min(id) AS first FROM jobs WHERE status = 'processing' AND {P._CO} <= {P._T}")
