@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
