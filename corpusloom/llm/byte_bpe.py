@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import as_text, quoted
+from corpusloom.llm._shared import as_text, fresh, quoted
 
 #: Pre-tokens remembered per Python worker; beyond it the memory starts anew. Longer ones than
 #: LONG_PIECE are forgotten at once. Results depend on neither.
@@ -184,6 +184,21 @@ def _decoder(path: str) -> Callable:
     return decode
 
 
+def _both(path: str, pattern: str) -> Callable:
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, back = encoder_of(path, pattern), decoder_of(path)
+        for texts in batches:
+            for portion in _portions(texts):
+                ids = own.encode_batch(portion)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                decoded = pa.array((back.decode(x.tolist()) for x in ids), pa.binary())
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), decoded], ["ids", "decoded"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+
+    return code
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of the whole text as ``array<int>``."""
     return df.withColumn(ids_col, _encoder(path, pattern)(as_text(text_col)))
@@ -194,6 +209,13 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
     return df.withColumn(bytes_col, _decoder(path)(quoted(ids_col)))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one Python worker a task in place of two: ids are decoded where they are made."""
+    (both,) = fresh(df, "both")
+    coded = df.withColumn(both, _both(path, pattern)(as_text(text_col)))
+    return coded.withColumn(ids_col, quoted(both)["ids"]).withColumn(bytes_col, quoted(both)["decoded"]).drop(both)
+
+
 def with_digests(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256."""
     ids = quoted(ids_col)

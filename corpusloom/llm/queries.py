@@ -17,7 +17,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path)
+    coded = byte_bpe.round_trip(docs, path, pattern)
     return byte_bpe.with_digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
