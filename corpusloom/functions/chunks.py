@@ -31,31 +31,42 @@ def plain_windows(text: Column, window: int, overlap: int) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.substr(text, s + 1, F.lit(size))))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; lambdas evaluate what they refer to anew in each step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_windows(text: Column, size: int = 600, overlap: int = 100) -> Column:
     """Windows of up to ``size`` characters that end at the last space if that lies beyond the middle."""
     overlap = max(0, size // 4 if overlap >= size else overlap)
-    body = strip(F.coalesce(text, F.lit("")))
-    n = F.length(body)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
-
-    def step(acc: Column, _: Column) -> Column:
-        stop = F.least(acc["at"] + size, n)
-        segment = F.substr(body, acc["at"] + 1, F.lit(size))
-        space = F.length(segment) - F.locate(" ", F.reverse(segment))
-        cut = (stop < n) & (F.locate(" ", F.reverse(segment)) > 0) & (space > size // 2)
-        end = F.when(cut, acc["at"] + space).otherwise(stop)
-        piece = strip(F.when(cut, F.left(segment, space)).otherwise(segment))
-        moved = F.struct(
-            F.greatest(end - overlap, acc["at"] + 1).alias("at"),
-            F.when(piece != "", F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
-            (end >= n).alias("done"),
-        )
-        return F.when(acc["done"], acc).otherwise(moved)
-
+    none = F.array().cast("array<string>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"), F.lit(False).alias("done"))
     # a window moves on by more than half its size less the overlap
-    rounds = F.ceil(n / max(1, size // 2 - overlap)) + 1
-    found = F.aggregate(F.sequence(F.lit(1), rounds.cast("int")), zero, step)["out"]
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(body)).otherwise(found)
+    least = max(1, size // 2 - overlap)
+
+    def windows_of(body: Column, n: Column) -> Column:
+        def moved(acc: Column, segment: Column) -> Column:
+            stop = F.least(acc["at"] + size, n)
+            behind = F.locate(" ", F.reverse(segment))
+            space = F.length(segment) - behind
+            cut = (stop < n) & (behind > 0) & (space > size // 2)
+            end = F.when(cut, acc["at"] + space).otherwise(stop)
+            piece = strip(F.when(cut, F.left(segment, space)).otherwise(segment))
+            return F.struct(
+                F.greatest(end - overlap, acc["at"] + 1).alias("at"),
+                F.when(piece != "", F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
+                (end >= n).alias("done"),
+            )
+
+        def step(acc: Column, _: Column) -> Column:
+            segment = F.substr(body, acc["at"] + 1, F.lit(size))
+            return F.when(acc["done"], acc).otherwise(_let(segment, lambda s: moved(acc, s)))
+
+        rounds = F.ceil(n / least) + 1
+        found = F.aggregate(F.sequence(F.lit(1), rounds.cast("int")), zero, step)["out"]
+        return F.when(n == 0, none).when(n <= size, F.array(body)).otherwise(found)
+
+    return _let(strip(F.coalesce(text, F.lit(""))), lambda body: _let(F.length(body), lambda n: windows_of(body, n)))
 
 
 def articles(text: Column) -> Column:
