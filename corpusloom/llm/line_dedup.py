@@ -6,13 +6,13 @@ The smallest line hash of a window is its fingerprint, so any run of lines of ``
 more that two places share has a fingerprint in common, wherever the run begins. Windows are joined
 on fingerprint and content; the first place of a window, by id and position, is the original, and
 every later one is a repeat. A match is extended line by line: to the left by the windows of the
-lines before, each of which is matched itself, and to the right by comparing the lines that follow
-with those of the original, over less than another ``MIN_WORDS`` words, beyond which the next window
-takes over. The later runs are deleted, with blank lines inside them; all other lines stay as they
-are, in order.
+lines before, each of which is matched itself, and to the right along any earlier place of the window,
+over less than another ``MIN_WORDS`` words, beyond which the next window takes over. For this a window
+is taken with each number of the lines that follow it, and every such stretch has an original of its own.
+The later runs are deleted, with blank lines inside them; all other lines stay as they are, in order.
 
-Only line hashes are shuffled and windowed. A window is paired with its original alone, never with all
-its repeats, so a passage in a third of all rows costs one row per place.
+Only line hashes are shuffled and windowed. A stretch is paired with its original alone, never with all
+its repeats, so a passage in a third of all rows costs one row per place and following line.
 
 Runs repeated within one text are deleted as well. Rows with the same id and text are one document:
 both keep what it keeps. A null id comes after all others. A null text stays null, an empty one empty;
@@ -66,17 +66,18 @@ def windows(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): the later runs of each document as disjoint (first line, last line) pairs, in order."""
     spans = cut(windows(df, id_col, text_col, min_words))
-    place = F.struct(F.col("id").isNull().alias("no"), "id", "th", "pos", "tail")
-    original = spans.groupBy("mark", "content").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
-    original = cut(original)
-    matched = spans.join(original, ["mark", "content"])
+    shared = spans.groupBy("mark", "content").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # the window with none, one, two ... of the lines after it
+    none = F.array().cast("array<bigint>")
+    ends = F.concat(F.array("end"), F.coalesce(F.col("tail_pos").cast("array<int>"), none.cast("array<int>")))
+    hashed = lambda n: F.xxhash64("content", n, F.slice(F.coalesce("tail", none), F.lit(1), n))
+    stretches = F.transform(ends, lambda end, n: F.struct(hashed(n).alias("stretch"), end.alias("end")))
+    matched = spans.join(shared, ["mark", "content"]).select("id", "th", "pos", "mark", F.explode(stretches).alias("s"))
+    matched = cut(matched.select("id", "th", "pos", "mark", "s.*"))
+    place = F.struct(F.col("id").isNull().alias("no"), "id", "th", "pos")
+    original = matched.groupBy("mark", "stretch").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = F.col("o.id").eqNullSafe(F.col("id")) & (F.col("o.th") == F.col("th")) & (F.col("o.pos") == F.col("pos"))
-    # how far the lines after the window go on as after the original
-    same = F.zip_with(F.col("tail"), F.col("o.tail"), lambda a, b: a.eqNullSafe(b) & a.isNotNull() & b.isNotNull())
-    stop = F.array_position(same, False)
-    more = F.when(stop == 0, F.size(same)).otherwise(stop - 1).cast("int")
-    reach = F.when(more > 0, F.try_element_at("tail_pos", more)).otherwise(F.col("end"))
-    found = matched.where(~first).select("id", "th", "pos", reach.alias("end"))
+    found = matched.join(original, ["mark", "stretch"]).where(~first).groupBy("id", "th", "pos").agg(F.max("end").alias("end"))
     # overlapping and touching intervals become one run
     by = Window.partitionBy("id", "th").orderBy("pos", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))

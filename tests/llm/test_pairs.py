@@ -173,3 +173,41 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup(df.where("false")).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_runs(rows, least=50):
+    """As ``brute_lines``, but a run goes on as far as it does at any earlier place; (id, lines that went)."""
+    places, gone = defaultdict(list), defaultdict(set)
+    split = {key: [(n, line.strip(" \t\n\v\f\r")) for n, line in enumerate(key[1].split("\n")) if line.strip(" \t\n\v\f\r")] for key in sorted(set(rows))}
+    for key, lines in split.items():
+        for a in range(len(lines)):
+            words, b = 0, a
+            while b < len(lines) and words < least:
+                words += len(lines[b][1].split())
+                b += 1
+            if words < least:
+                continue
+            earlier = places[tuple(x[1] for x in lines[a:b])]
+            for other, at in earlier:
+                end = b
+                while end < len(lines) and at + end - a < len(split[other]) and lines[end][1] == split[other][at + end - a][1]:
+                    end += 1
+                gone[key] |= set(range(lines[a][0], lines[end - 1][0] + 1))
+            earlier.append((key, a))
+    return {key[0]: "\n".join(x for n, x in enumerate(key[1].split("\n")) if n not in gone[key]) for key in rows}
+
+
+def test_line_dedup_goes_on_along_any_earlier_place(spark):
+    window = " ".join(f"w{i}" for i in range(55))
+    rows = [(1, f"{window}\nother end"), (2, f"{window}\nshort one\nshort two\nown b"), (3, f"{window}\nshort one\n\nshort two\nown c"), (4, f"{window}\nother end\nown d")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "short one\nshort two\nown b", 3: "own c", 4: "own d"}
+    rng = random.Random(5)
+    endings = [[rng.choice(["aa bb", "cc", "dd ee ff", ""]) for _ in range(6)] for _ in range(9)]
+    rows = [(i, "\n".join([rng.choice([window, f"head\n{window}", f"{window}\n{window}"]), *rng.choice(endings)[: rng.randrange(7)], f"own {i}"])) for i in range(80)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_runs(rows)
+    for seed in (1, 2):
+        rows = list(enumerate(made_texts(seed)))
+        got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_runs(rows)
