@@ -1,15 +1,16 @@
 """License scans with a trained paragraph classifier.
 
-Every line of a text is a paragraph. A softmax regression over hashed word n-grams tells ordinary text,
+Every line of a text is a paragraph, and so are adjacent lines without a blank one between them where
+only together they hold a family's template, as in wrapped licence texts. A softmax regression over hashed word n-grams tells ordinary text,
 statements of licence families and licence statements of unknown kind apart; its temperature is fitted
 on held-out examples, so that probabilities are calibrated. It is trained on statements made from the
 families' names and sentences, on statements with invented names, and on at most ``PLAIN`` lines of the
 corpus (a sample by hash). A predicted family is confirmed by comparison with its
-templates: ``CONFIRM`` of the word trigrams of a template must occur in the paragraph. A
-statement that no family is confirmed for counts as unknown.
+templates: ``CONFIRM`` of the word trigrams of a template must occur in the paragraph; a name of one or
+two words must occur as it is. A statement that no family is confirmed for counts as unknown.
 
-A paragraph without a single trigram of any template or statement can be neither confirmed nor a
-statement, so only the others are classified; that test is made for all words of all texts at once.
+Only lines that hold, or share with the next line, a trigram of a template or statement, a short name or
+one of ``KEYWORDS`` are classified; that test is made for all words of all texts at once.
 
 Null and empty texts have no licence. Repeated rows are scanned alike; other columns pass through.
 """
@@ -65,6 +66,9 @@ SENTENCES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 FRAMES = ["Licensed under {}", "Licensed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "Released under the {}", "Distributed under the terms of the {}", "This program is free software under the {}", "This project is available under the {}", "See {} for details", "SPDX-License-Identifier: {}", "{}", "Code is published under {}"]
+SPDX = {"AGPL": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache": ["Apache-2.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "CC-BY": ["CC-BY-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-ND": ["CC-BY-ND-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"], "CC0": ["CC0-1.0"], "GPL": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "ISC": ["ISC"], "LGPL": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"], "MIT": ["MIT"], "MPL": ["MPL-2.0"], "Unlicense": ["Unlicense"]}
+#: Words that open a statement of any licence.
+KEYWORDS = ["licensed under", "released under", "distributed under", "published under", "available under", "SPDX-License-Identifier"]
 INVENTED = ["Foobar Public Agreement", "Sunrise Community Terms 1.2", "Example Corp Evaluation Agreement", "Harbor Shared Source Terms", "a custom agreement", "the terms of the vendor", "Open Meadow Licence 3", "terms agreed between the parties"]
 # --- end of fixed values ---
 
@@ -80,21 +84,24 @@ def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 
 def templates() -> dict[str, list[set[tuple[str, ...]]]]:
-    """For each family the trigrams of its templates; names of fewer than three words stand in their frames."""
+    """For each family the trigrams of its templates; names of fewer than three words also stand in their frames."""
     out: dict[str, list[set[tuple[str, ...]]]] = {}
     for family, names in NAMES.items():
         for name in names:
             words = tokens(name)
-            texts = [words] if len(words) >= 3 else [tokens(f.format(name)) for f in FRAMES if len(tokens(f.format(name))) >= 3]
+            texts = [words] if len(words) >= 3 else [words] + [tokens(f.format(name)) for f in FRAMES if len(tokens(f.format(name))) >= 3]
             out.setdefault(family, []).extend(grams(w) for w in texts)
     for family, sentences in SENTENCES.items():
         out.setdefault(family, []).extend(grams(tokens(s)) for s in sentences)
+    for family, ids in SPDX.items():
+        out.setdefault(family, []).extend(grams(tokens(f"SPDX-License-Identifier: {i}")) for i in ids)
     return out
 
 
 def examples() -> list[tuple[str, str]]:
     """(statement, class) pairs made from the fixed values."""
     out = [(f.format(name), family) for family, names in NAMES.items() for name in names for f in FRAMES]
+    out += [(f"SPDX-License-Identifier: {i}", family) for family, ids in SPDX.items() for i in ids for _ in range(2)]
     out += [(f.format(name), UNKNOWN) for name in INVENTED for f in FRAMES if f != "{}"]
     for family, sentences in SENTENCES.items():
         for s in sentences:
@@ -115,7 +122,8 @@ class Model(NamedTuple):
     weights: np.ndarray
     temperature: float
     templates: dict[str, list[set[tuple[str, ...]]]]
-    known: np.ndarray  # hashes of the words of all templates and statements, three at a time
+    known: np.ndarray  # hashes of the short names, keywords and word trigrams of all templates and statements
+    reach: int  # words of the longest template
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         slots = _slots(words)
@@ -123,24 +131,53 @@ class Model(NamedTuple):
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def confirmed(self, name: str, words: list[str]) -> bool:
+        """Whether the words hold a template of the family."""
+        own = grams(words) | grams(words, 2) | grams(words, 1)
+        return max(len(t & own) / len(t) for t in self.templates[name]) >= CONFIRM
+
     def classify(self, paragraph: str) -> tuple[str, float]:
         """Class and probability; a family must be confirmed by a template."""
         words = tokens(paragraph)
         p = self.probabilities(words)
         order = np.argsort(-p)
-        own = grams(words)
         for c in order:
             name = self.classes[c]
             if name in (NONE, UNKNOWN) or p[c] < ACCEPT:
                 continue
-            if max(len(t & own) / len(t) for t in self.templates[name]) >= CONFIRM:
+            if self.confirmed(name, words):
                 return name, float(p[c])
         none = float(p[self.classes.index(NONE)])
         return (NONE, none) if none >= ACCEPT else (UNKNOWN, 1 - none)
 
+    def statements(self, lines: list[str], wanted: list[int]) -> Iterator[tuple[str, float, str]]:
+        """(family, probability, paragraph) of the statements that begin in the wanted lines, blank lines parting."""
+        after = 0
+        for i in wanted:
+            if i < after:
+                continue
+            family, p = self.classify(lines[i])
+            after = i + 1
+            end, held = i + 1, 0
+            while family in (NONE, UNKNOWN) and end < len(lines) and lines[end].strip() and held < self.reach:
+                held += len(tokens(lines[end]))
+                end += 1
+                joined, q = self.classify("\n".join(lines[i:end]))
+                if joined not in (NONE, UNKNOWN):
+                    # a statement of the later lines alone begins there
+                    if self.confirmed(joined, tokens("\n".join(lines[i + 1 : end]))):
+                        break
+                    family, p, after = joined, q, end
+            if family != NONE:
+                yield family, p, "\n".join(lines[i:after])
+
 
 def fit(plain: list[str]) -> Model:
     """Train on the fixed statements and the lines of ordinary text; every fifth example is held out for the temperature."""
+    made = templates()
+    triples = {g for sets in made.values() for t in sets for g in t} | {g for text, kind in examples() for g in grams(tokens(text)) if kind == UNKNOWN}
+    # a line of a wrapped licence text is no ordinary text
+    plain = [line for line in plain if 2 * len(grams(tokens(line)) & triples) < len(grams(tokens(line)))]
     rows = examples() + [(line, NONE) for line in plain] + [("", NONE)]
     classes = [NONE, UNKNOWN, *sorted({c for _, c in rows} - {NONE, UNKNOWN})]
     order = np.random.default_rng(7).permutation(len(rows))
@@ -169,40 +206,56 @@ def fit(plain: list[str]) -> Model:
         return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(c)), c]))
 
     best = min(np.geomspace(0.25, 8, 41), key=loss)
-    made = templates()
-    triples = {g for sets in made.values() for t in sets for g in t} | {g for text, kind in examples() for g in grams(tokens(text)) if kind == UNKNOWN}
-    known = np.unique(np.concatenate([_triples(pa.array([" ".join(g)]))[1] for g in sorted(triples) if len(g) == 3]))
-    return Model(classes, w, float(best), made, known)
+    short = {g for sets in made.values() for t in sets for g in t if len(g) < 3} | {tuple(tokens(k)) for k in KEYWORDS}
+    known = np.unique(np.concatenate([h for g in sorted(triples | short) if len(g) <= 3 for _, _, h in _grams(pa.array([" ".join(g)]), np.zeros(1, np.int64), len(g))]))
+    longest = max(len(tokens(x)) for values in (*NAMES.values(), *SENTENCES.values()) for x in values)
+    return Model(classes, w, float(best), made, known, longest)
 
 
-def _triples(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Line number and hash of every three words in a row."""
-    at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+def _grams(lines: pa.Array, block: np.ndarray, *sizes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First line, last line and hash of every one, two or three (``sizes``) words in a row within a block of lines, in pieces."""
+    h, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for found in _words.words(lines):
-        third = found.run[2:] >= 2
-        h = found.hashes
-        with np.errstate(over="ignore"):
-            hashes.append(_words.mix((h[:-2] * np.uint64(7) + h[1:-1]) * np.uint64(11) + h[2:])[third])
-        at.append(found.text[2:][third])
-    return np.concatenate(at), np.concatenate(hashes)
-
-
-def _candidates(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, str]]:
-    """(text number, line) of the lines that hold a known triple."""
+        # the two words before go along, as a piece may end within a block
+        old = min(2, len(h))
+        h, at = np.concatenate([h[len(h) - old :], found.hashes]), np.concatenate([at[len(at) - old :], found.text])
+        for n in sizes:
+            skip = max(0, old - n + 1)
+            size = max(0, len(h) - n + 1)
+            mixed = h[:size] * np.uint64(0)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    mixed = mixed * np.uint64(11 - 4 * (k == 1)) + h[k : k + size]
+            one, two = at[:size][skip:], at[n - 1 :][:size][skip:]
+            same = block[one] == block[two]
+            yield one[same], two[same], _words.mix(mixed[skip:][same] + np.uint64(n))
+
+
+def _candidates(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, list[str], list[int]]]:
+    """(text number, its lines, numbers of the lines that hold a known run of words or a part of one)."""
     split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
     lines = split.flatten()
     parent = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+    # blank lines and new texts begin a block
+    blank = ~pc.match_substring_regex(lines, r"\S").to_numpy(zero_copy_only=False)
+    block = np.cumsum(blank | np.diff(parent, prepend=-1).astype(bool))
     # the words of tokens(): lower case, other characters than letters, digits and inner . + - are gaps
     plain = pc.replace_substring_regex(pc.ascii_lower(lines), r"[^a-z0-9.+-]+|[.+-]+(?:[^a-z0-9]|$)|[.+-]{2,}", " ")
     plain = pc.replace_substring_regex(plain, r"(^|\s)[.+-]+", " ")
     table = np.zeros(1 << 20, bool)
     table[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    at, hashes = _triples(plain)
-    hit = table[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
-    hit[hit] = np.isin(hashes[hit], known)
-    for i in np.unique(at[hit]):
-        yield int(parent[i]), lines[int(i)].as_py()
+    found = [np.zeros(0, np.int64)]
+    for first, last, hashes in _grams(plain, block, 1, 2, 3):
+        hit = table[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        hit[hit] = np.isin(hashes[hit], known)
+        found += [np.unique(first[hit]), np.unique(last[hit])]
+    wanted = np.unique(np.concatenate(found))
+    begins = np.searchsorted(parent, np.arange(len(split)))
+    owner = parent[wanted]
+    for i in np.unique(owner):
+        a, b = np.searchsorted(owner, [i, i + 1])
+        yield int(i), split[int(i)].as_py(), (wanted[a:b] - begins[i]).tolist()
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("paragraph", T.StringType())]))
@@ -215,10 +268,9 @@ def _scanner(model: Broadcast) -> Callable:
     def scan_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out: list[list[dict]] = [[] for _ in range(len(texts))]
-            for i, line in _candidates(texts, model.value.known):
-                family, p = model.value.classify(line)
-                if family != NONE:
-                    out[i].append({"family": family, "probability": p, "paragraph": line})
+            for i, lines, wanted in _candidates(texts, model.value.known):
+                for family, p, paragraph in model.value.statements(lines, wanted):
+                    out[i].append({"family": family, "probability": p, "paragraph": paragraph})
             yield pa.array(out, kind)
 
     return scan_texts

@@ -53,6 +53,28 @@ def test_licence_families(spark):
     assert all(0.5 <= x.probability <= 1 for i in range(len(lines)) for x in got[i])
 
 
+def test_licence_short_names_and_wrapped_texts(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    texts = {
+        "MIT License": ["MIT"],
+        "Apache License": ["Apache"],
+        "BSD License": ["BSD"],
+        "ISC License": ["ISC"],
+        "SPDX-License-Identifier: MIT": ["MIT"],
+        "SPDX-License-Identifier: Apache-2.0": ["Apache"],
+        "Licensed under Zeta": ["unknown"],
+        mit: ["MIT"],
+        bsd: ["BSD"],
+        "Licensed under Zeta\nMIT License": ["unknown", "MIT"],
+        "a licence\nand a copy": [],
+    }
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1000, "text")
+    df = spark.createDataFrame([(i, f"first words of a text\n\n{t}\n\nlast words") for i, t in enumerate(texts)], "doc_id long, text string").union(plain)
+    got = {r.doc_id: [x.family for x in r.licenses] for r in license_scan.scan(df).where("doc_id < 1000").collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+
+
 def brute_match(a, b, x=0, y=0):
     """Simple tree matching as published: no shortcuts, no memory."""
     if a.label[x] != b.label[y]:
