@@ -77,9 +77,9 @@ def first_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "r
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank): the k chunks of the highest positive cosine for each of a few queries.
 
-    The queries are a bounded set, as of one request; for a table of queries use ``search_blocked``.
+    All queries are broadcast, as those of one request; for a table of queries use ``search_blocked``.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")).limit(QUERY_BLOCK))
+    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
     same = F.size("q") == F.size("embedding")
     scored = chunks.join(q, same & (F.col("query_id") != F.col("vec_id"))).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     return first_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), "vec_id"], k)

@@ -98,7 +98,7 @@ def top(spark, sf_dir, k=5):
     return S.search_blocked(asked(e), e, k)
 
 
-R.over("join_vector_topk", E, lambda e: S.search(asked(e), e, 5), _RANKED.format(k=5))
+R.over("join_vector_topk", E, lambda e: S.search_blocked(asked(e), e, 5), _RANKED.format(k=5))
 R.add("search_topk", _RANKED.format(k=5))(lambda s, d: top(s, d))
 R.add("win_topk_search", _RANKED.format(k=10))(lambda s, d: top(s, d, 10))
 R.over("flt_dim", E, lambda e: e.where(F.size("embedding") == 64).select("vec_id"), "SELECT vec_id FROM embeddings WHERE len(embedding) = 64")
