@@ -1,38 +1,49 @@
 """Exact top-k by inner product with MaxScore over dimension postings.
 
-A vector's components are turned into the integers floor(``SCALE`` * x). Each dimension is a term, its
-column of a shard the posting list. For a query and a block of a shard, the largest contribution a
-term can make is known from the smallest and largest value of its column. Terms are split: the
-non-essential ones are those with the least spread whose contributions together cannot lift a vector
-whose essential terms fall short over the query's threshold. The essential postings are traversed
-for all vectors of the block; the others are probed only for vectors that are still competitive.
-Every shard keeps the ``k`` best of each query, which also raises the threshold, and the shards' lists
-are merged by a window.
-
-Layout. Vectors are dealt to shards by a hash of their id, queries to groups; a cell joins one shard
-with one group, so no task or broadcast holds all of either. Shards and groups are of bounded size:
-``SHARD_ROWS`` and ``GROUP_QUERIES`` rows, shards growing only beyond ``MAX_SHARDS`` of them.
+A vector's components are turned into the integers floor(``SCALE`` * x). Each dimension is a term; its
+postings in a shard are the rows that are not zero there, kept term by term (a whole column where
+most rows are not zero, as in dense vectors). A query's terms are split by score bounds: by Cauchy and
+Schwarz its terms of least weight can together add at most their norm times the vector's, so the
+most of them whose bound stays below the query's threshold are non-essential, and a vector that the
+essential terms give nothing is no candidate. The essential postings are traversed; the other terms
+are probed ``PROBE`` at a time, and only for vectors that are still competitive, which means that what
+they have reached and the bound of the terms left come to the threshold.
+
+Thresholds. A pilot of at most ``PILOT`` rows, a sample by hash, gives every query the k-th best score among
+them to start with, which no better answer can fall short of. It rises with each shard of a task. The tasks'
+lists are merged by a window.
+
+Layout. The vectors stay where they are, in shards of ``SHARD_CELLS`` components within a task; the
+queries are broadcast in blocks of at most ``GROUP_BYTES``, one pass over the vectors a block, and so is
+the pilot. Nothing but the best rows of each task is shuffled.
 
 A vector that is null or holds a null or non-finite component takes no part, neither as query nor as
-candidate; nor does a null id. Vectors of unlike length meet in the components that both have. A
-query's own id is no candidate; repeated rows of another id are candidates each. A repeated query is
-answered once, for the largest of its vectors in array order. Ties go to the smaller id. An empty
-table gives an empty result.
+candidate; nor does a null id. Vectors of unlike length meet in the components that both have, however
+long they are. A query's own id is no candidate; repeated rows of another id are candidates each, and
+each query row is answered for itself. Ties go to the smaller id. A score beyond 64 bits is given as the
+nearest number of 64 bits. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import cut, quoted
+from corpusloom.llm._shared import bounded_sample, cut, quoted
 
 SCALE = 1024
-SHARD_ROWS, MAX_SHARDS, GROUP_QUERIES, BLOCK = 1024, 4096, 4096, 1024
+PILOT, PROBE, SHARD_CELLS, GROUP_BYTES = 2048, 8, 1 << 19, 8 << 20
+#: Bounds are floats; so much more than their rounding is allowed for.
+SLACK = 1 + 1e-9
+_TOP = np.iinfo(np.int64).max
 
 
 def usable(vector: Column) -> Column:
@@ -41,12 +52,13 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
+    """floor(SCALE * x) of each component, held within 64 bits."""
+    edge = float(1 << 62)
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), x.cast("double") * SCALE))))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    column = column.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows of ``width`` numbers, shorter ones filled up with zeros."""
     size = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(size) and (size == width).all():
@@ -57,78 +69,149 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> type:
-    """A type in which all partial sums are exact: doubles up to 2**53, else 64-bit integers."""
+    """A type in which all partial sums are exact: doubles up to 2**53, 64-bit integers, else Python's."""
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    return np.float64 if top < 2**53 else np.int64
+    return np.float64 if top < 2**53 else np.int64 if top < 2**62 else object
+
+
+class Work:
+    """How much a search did: products of two components, and what all pairs in all terms would have taken."""
+
+    def __init__(self) -> None:
+        self.products = self.every = self.scored = self.pairs = 0
 
 
 class Best:
-    """The k best (score, -id) of each query so far."""
+    """The k best (score, -id) of each query so far; ``least`` is the threshold."""
+
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
+        self.score = np.zeros((queries, k), object)
+        self.ids = np.zeros((queries, k), np.int64)
+        self.held = np.zeros(queries, int)
+        self.least = np.full(queries, -np.inf) if least is None else least.copy()
+
+    def offer(self, q: int, ids: np.ndarray, score: np.ndarray) -> None:
+        n, k = self.held[q], self.score.shape[1]
+        s, i = np.concatenate([self.score[q, :n], score]), np.concatenate([self.ids[q, :n], ids])
+        order = sorted(range(len(s)), key=lambda at: (-s[at], i[at]))[:k]
+        self.held[q] = n = len(order)
+        self.score[q, :n], self.ids[q, :n] = s[order], i[order]
+        if n == k:
+            self.least[q] = max(self.least[q], float(s[order[-1]]))
+
+
+class Shard:
+    """The postings of some vectors: for each term the rows that are not zero and their values."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.columns = ids, np.ascontiguousarray(vectors.T)
+        self.norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+        filled = np.count_nonzero(self.columns, axis=1)
+        self.whole = filled * 2 > len(ids)
+        self.rows = {d: np.flatnonzero(self.columns[d]) for d in np.flatnonzero(~self.whole)}
+
+    def traverse(self, q: np.ndarray, terms: np.ndarray, work: Work) -> np.ndarray:
+        """What the terms' postings add up to for each row."""
+        dense = terms[self.whole[terms]]
+        out = q[dense] @ self.columns[dense]
+        work.products += len(dense) * len(self.ids)
+        for d in terms[~self.whole[terms]]:
+            rows = self.rows[d]
+            out[rows] += q[d] * self.columns[d, rows]
+            work.products += len(rows)
+        return out
+
+    def search(self, query_id: int, q: np.ndarray, best: Best, number: int, work: Work) -> None:
+        """Offer the rows that may belong to the best of one query."""
+        least = best.least[number]
+        order = np.argsort(-np.abs(q.astype(np.float64)), kind="stable")
+        weight = q[order].astype(np.float64) ** 2
+        # norm of the terms from each position on
+        rest = np.sqrt(np.append(np.cumsum(weight[::-1])[::-1], 0.0)) * SLACK
+        longest = self.norm.max(initial=0.0)
+        # the fewest essential terms: the bound of all others stays below the threshold
+        at = int(np.argmax(rest * longest < least)) if least > 0 and (rest * longest < least).any() else len(q)
+        work.pairs += len(self.ids)
+        work.every += len(self.ids) * len(q)
+        if not at and len(q):
+            return
+        reached = self.traverse(q, order[:at], work)
+        keep = np.flatnonzero((reached.astype(np.float64) + rest[at] * self.norm >= least) & (self.ids != query_id))
+        reached = reached[keep]
+        while at < len(q) and len(keep):
+            terms = order[at : at + PROBE]
+            reached = reached + q[terms] @ self.columns[np.ix_(terms, keep)]
+            work.products += len(terms) * len(keep)
+            at += len(terms)
+            go_on = reached.astype(np.float64) + rest[at] * self.norm[keep] >= least
+            keep, reached = keep[go_on], reached[go_on]
+        work.scored += len(keep)
+        if not len(keep):
+            return
+        k = best.score.shape[1]
+        if len(keep) > k:
+            # all that tie with the k-th stay
+            edge = np.partition(reached, len(reached) - k)[len(reached) - k]
+            keep, reached = keep[reached >= edge], reached[reached >= edge]
+        if reached.dtype != object:
+            reached = reached.astype(np.int64).astype(object)
+        best.offer(number, self.ids[keep], reached)
+
+
+def maxscore(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best, work: Work) -> None:
+    """Bring the best rows of each query up to date with some more vectors."""
+    width = max(queries.shape[1], vectors.shape[1])
+    queries, vectors = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (queries, vectors))
+    kind = _exact(queries, vectors)
+    queries, vectors = queries.astype(kind), vectors.astype(kind)
+    rows = max(1, SHARD_CELLS // max(1, width))
+    for at in range(0, len(ids), rows):
+        shard = Shard(ids[at : at + rows], vectors[at : at + rows])
+        for number, name in enumerate(query_ids):
+            shard.search(name, queries[number], best, number, work)
 
-    def __init__(self, queries: int, k: int):
-        self.score = np.full((queries, k), -np.inf)
-        self.exact = np.zeros((queries, k), np.int64)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
-    def threshold(self) -> np.ndarray:
-        return self.score[:, -1]
+class Asked(NamedTuple):
+    """A block of queries: number and id of each row, the vectors, and the thresholds to start from."""
 
-    def offer(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Candidates sorted by query."""
-        k = self.score.shape[1]
-        for q, a, b in zip(*_runs(query)):
-            s = np.concatenate([self.exact[q][self.ids[q] != np.iinfo(np.int64).max], score[a:b]])
-            i = np.concatenate([self.ids[q][self.ids[q] != np.iinfo(np.int64).max], ids[a:b]])
-            order = np.lexsort((i, -s))[:k]
-            self.exact[q, : len(order)], self.ids[q, : len(order)] = s[order], i[order]
-            self.score[q, : len(order)] = s[order]
+    numbers: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+    least: np.ndarray
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
-    return x[at], at, np.append(at[1:], len(x))
+def _read(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    v = table["v"] if isinstance(table, pa.RecordBatch) else _one(table["v"])
+    return table["id"].to_numpy(), _matrix(v, int(np.diff(v.offsets.to_numpy()).max(initial=0)))
 
 
-def maxscore(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Best:
-    """The k best vectors of one shard for each query."""
-    best = Best(len(queries), k)
-    kind = _exact(queries, vectors)
-    queries = queries.astype(kind)
-    for at in range(0, len(ids), BLOCK):
-        block, names = vectors[at : at + BLOCK].astype(kind), ids[at : at + BLOCK]
-        low, high = block.min(axis=0), block.max(axis=0)
-        upper = np.maximum(queries * low, queries * high)
-        spread = upper - np.minimum(queries * low, queries * high)
-        # non-essential: the terms of least spread that hold a quarter of all spread
-        order = np.argsort(spread, axis=1, kind="stable")
-        part = np.cumsum(np.take_along_axis(spread, order, axis=1), axis=1)
-        minor = np.zeros(spread.shape, bool)
-        np.put_along_axis(minor, order, part * 4 <= part[:, -1:], axis=1)
-        if np.isneginf(best.threshold()).all():
-            minor[:] = False
-        essential, rest = np.where(minor, 0, queries), np.where(minor, queries, 0)
-        reached = essential @ block.T
-        bound = reached + np.where(minor, upper, 0).sum(axis=1)[:, None]
-        q, v = np.nonzero((bound >= best.threshold()[:, None]) & (names[None, :] != query_ids[:, None]))
-        for a in range(0, len(q), 1 << 17):
-            i, j = q[a : a + (1 << 17)], v[a : a + (1 << 17)]
-            score = reached[i, j] + np.einsum("ij,ij->i", rest[i], block[j])
-            keep = score >= best.threshold()[i]
-            best.offer(i[keep], names[j[keep]], score[keep].astype(np.int64))
-    return best
-
-
-def _cell(k: int):
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            width = max(int(np.diff(t["v"].combine_chunks().offsets.to_numpy()).max(initial=0)) for t in (left, right))
-            ids, names = left["id"].to_numpy(), right["id"].to_numpy()
-            best = maxscore(names, _matrix(right["v"], width), ids, _matrix(left["v"], width), k)
-            found = best.ids != np.iinfo(np.int64).max
-            out = {"query_id": np.repeat(names, found.sum(axis=1)), "vec_id": best.ids[found], "score": best.exact[found]}
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
+def _thresholds(pilot: Broadcast, k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = _read(batch)
+            best = Best(len(ids), k)
+            maxscore(ids, vectors, *pilot.value, best, Work())
+            yield pa.record_batch({"n": batch["n"], "least": pa.array(best.least)})
+
+    return run
+
+
+def _search(asked: Broadcast, k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Asked = asked.value
+        best = Best(len(own.ids), k, own.least)
+        for batch in batches:
+            ids, vectors = _read(batch)
+            maxscore(own.ids, own.vectors, ids, vectors, best, Work())
+        kept = np.arange(k)[None, :] < best.held[:, None]
+        score = pa.array([min(max(int(s), -_TOP - 1), _TOP) for s in best.score[kept]], pa.int64())
+        yield pa.record_batch({"n": pa.array(np.repeat(own.numbers, best.held)), "query_id": pa.array(np.repeat(own.ids, best.held)), "vec_id": pa.array(best.ids[kept]), "score": score})
 
     return run
 
@@ -136,14 +219,21 @@ def _cell(k: int):
 def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows for each row of which ``is_query`` holds."""
     rows = df.where(usable(quoted(vector_col)) & quoted(id_col).isNotNull())
-    rows = cut(rows.select(quoted(id_col).alias("id"), quantised(quoted(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")))
-    total, asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    shards = max(1, min(MAX_SHARDS, ceil(total / SHARD_ROWS)))
-    groups = max(1, ceil(asked / GROUP_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
-    vectors = rows.select("id", "v", deal(shards, 1).alias("shard"), every(groups).alias("group"))
-    queries = rows.where("q").groupBy("id").agg(F.max("v").alias("v")).select("id", "v", every(shards).alias("shard"), deal(groups, 2).alias("group"))
-    cells = vectors.groupBy("shard", "group").cogroup(queries.groupBy("shard", "group")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.select(quoted(id_col).cast("long").alias("id"), quantised(quoted(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = cut(rows.withColumn("n", F.monotonically_increasing_id()))
+    asked, longest = rows.agg(F.count_if("q"), F.max(F.size("v"))).first()
+    sc = df.sparkSession.sparkContext
+    bound = max(1, GROUP_BYTES // (8 * max(1, longest or 0)))
+    pilot = sc.broadcast(_read(bounded_sample(rows.select("id", "v", F.xxhash64("n").alias("h")), "h", min(PILOT, bound), "id").toArrow()))
+    blocks = max(1, ceil((asked or 0) / bound))
+    lists = []
+    for block in range(blocks):
+        part = cut(rows.where(F.col("q") & (F.pmod(F.xxhash64("n"), F.lit(blocks)) == block)).select("n", "id", "v"))
+        held = part.toArrow().sort_by("n")
+        least = part.mapInArrow(_thresholds(pilot, k), "n long, least double").toArrow().sort_by("n")["least"].to_numpy()
+        own = sc.broadcast(Asked(held["n"].to_numpy(), *_read(held), least))
+        found = rows.select("id", "v").mapInArrow(_search(own, k), "n long, query_id long, vec_id long, score long")
+        lists.append(found if blocks == 1 else cut(found))
+    best = Window.partitionBy("n").orderBy(F.desc("score"), "vec_id")
+    merged = reduce(DataFrame.union, lists).withColumn("rank", F.row_number().over(best))
+    return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 """SimHash components, exact top-k and line deduplication against plain Python over all rows."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -56,19 +56,59 @@ def test_simhash_query(spark):
         assert r.component_id == expected[r.doc_id]
 
 
-def test_vantage_tree_finds_every_link():
+def made_points(n, steps=6):
     rng = np.random.default_rng(3)
-    centres = rng.integers(0, 1 << 63, 40, np.uint64)
-    points = [int(c) for c in centres]
-    for _ in range(2500):
+    points = [int(c) for c in rng.integers(0, 1 << 63, 40, np.uint64)]
+    for _ in range(n):
         p = points[int(rng.integers(len(points)))]
-        for b in rng.choice(64, int(rng.integers(1, 6)), replace=False):
+        for b in rng.choice(64, int(rng.integers(1, steps)), replace=False):
             p ^= 1 << int(b)
         points.append(p)
-    points = np.unique(np.array(points, np.uint64))
-    found = simhash.link(points)
+    return np.unique(np.array(points, np.uint64))
+
+
+def test_vantage_tree_finds_every_link():
+    points, work = made_points(2500), simhash.Work()
+    found = simhash.link(points, work=work)
     expected = brute_components(list(enumerate(points.tolist())))
     assert {i: int(r) for i, r in enumerate(found)} == expected
+    assert work.nodes > 100 and work.pairs < len(points) ** 2 / 2
+
+
+def test_vantage_trees_do_less_than_all_pairs():
+    points = np.unique(np.random.default_rng(8).integers(0, 1 << 64, 6000, np.uint64))
+    for half in simhash.HALVES:
+        work = simhash.Work()
+        simhash.link(points, half=half, work=work)
+        assert work.nodes > 100 and work.pairs < len(points) ** 2 / 15
+
+
+@pytest.mark.parametrize("size", [40, 400])
+def test_regions_with_visitors_find_every_link(spark, size):
+    random_ones = np.random.default_rng(9).integers(0, 1 << 64, 2000, np.uint64)
+    same_half = made_points(600) & np.uint64(0xFFFFFFFF)  # one half tells nothing apart
+    points = np.unique(np.concatenate([made_points(1500, 4), random_ones, random_ones ^ np.uint64(1 << 9 | 1 << 40 | 1 << 50), same_half]))
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(5)
+    pairs = [(r.a, r.b) for r in simhash.links(df, size).collect()]
+    number = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    root = list(range(len(points)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        i, j = sorted((top(number[a]), top(number[b])))
+        root[j] = i
+    expected = brute_components(list(enumerate(points.tolist())))
+    classes = defaultdict(set)
+    for i in range(len(points)):
+        classes[top(i)].add(i)
+    wanted = defaultdict(set)
+    for i, r in expected.items():
+        wanted[r].add(i)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, wanted.values()))
 
 
 def test_simhash_edges(spark):
@@ -91,12 +131,34 @@ def test_maxscore_is_exact():
     rng = np.random.default_rng(1)
     for size in (3, 700, 2600):
         vectors = rng.integers(-40, 40, (size, 12)) * (rng.random((1, 12)) < 0.7)
+        vectors[:, 10:] *= rng.random((size, 2)) < 0.2  # sparse postings
         ids = rng.permutation(size)
         asked = vectors[:5]
-        best = topk.maxscore(ids[:5], asked, ids, vectors, 10)
+        best = topk.Best(len(asked), 10)
+        topk.maxscore(ids[:5], asked, ids, vectors, best, topk.Work())
         for q in range(min(5, size)):
             every = sorted((-int(v @ asked[q]), int(i)) for i, v in zip(ids, vectors) if i != ids[q])[:10]
-            assert [(-int(s), int(i)) for s, i in zip(best.exact[q], best.ids[q]) if i != np.iinfo(np.int64).max] == every
+            assert [(-int(s), int(i)) for s, i in zip(best.score[q], best.ids[q][: best.held[q]])] == every
+
+
+def test_maxscore_leaves_terms_and_vectors_out(spark):
+    vectors = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()])
+    vectors, ids = np.floor(vectors * 1024).astype(np.int64), np.arange(len(vectors))
+    first, work = topk.Best(20, 10), topk.Work()
+    topk.maxscore(ids[::100], vectors[::100], ids[:1024], vectors[:1024], first, topk.Work())
+    best = topk.Best(20, 10, first.least)
+    topk.maxscore(ids[::100], vectors[::100], ids, vectors, best, work)
+    # most pairs never get a score, and many terms of those that fail are never probed
+    assert work.scored < work.pairs / 20 and work.products < 0.7 * work.every
+    score = vectors[::100] @ vectors.T
+    score[np.arange(20), ids[::100]] = -(1 << 60)
+    assert all(best.ids[q].tolist() == np.lexsort((ids, -score[q]))[:10].tolist() for q in range(20))
+    # a sparse term in which no other vector is high rules all of them out
+    far = np.zeros((500, 4), np.int64)
+    far[np.arange(500), np.arange(500) % 2] = 5
+    far[-1], work, best = [0, 0, 9, 9], topk.Work(), topk.Best(1, 2, np.array([50.0]))
+    topk.maxscore(np.array([-1]), np.array([[1, 1, 9, 9]]), np.arange(500), far, best, work)
+    assert best.held[0] == 1 and work.products < 20
 
 
 def test_topk_edges(spark):
@@ -109,35 +171,19 @@ def test_topk_edges(spark):
     assert topk.top_k(df.where("false"), df.vec_id % 100 == 0).count() == 0
 
 
-def brute_lines(rows, least=50):
-    """Deletes later repeats of runs of whole non-blank lines that hold ``least`` words, by comparing all places."""
-    split = {}
-    for key in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        split[key] = [(n, " ".join([line.strip(" \t\n\v\f\r")]), len(line.split())) for n, line in enumerate((key[1] or "").split("\n")) if line.strip(" \t\n\v\f\r")]
-    seen, gone = {}, defaultdict(set)
-    for key, lines in split.items():
-        for a in range(len(lines)):
-            words, b = 0, a
-            while b < len(lines) and words < least:
-                words += lines[b][2]
-                b += 1
-            if words < least:
-                continue
-            content = tuple(x[1] for x in lines[a:b])
-            if content not in seen:
-                seen[content] = (key, a)
-                continue
-            other, at = seen[content]
-            end = b
-            # the run goes on as far as it goes on at the original
-            while end < len(lines) and at + end - a < len(split[other]) and lines[end][1] == split[other][at + end - a][1]:
-                end += 1
-            gone[key] |= set(range(lines[a][0], lines[end - 1][0] + 1))
-    out = {}
-    for key in split:
-        kept = [x for n, x in enumerate((key[1] or "").split("\n")) if n not in gone[key]]
-        out[key] = "\n".join(kept) if gone[key] else key[1]
-    return out
+def test_topk_several_blocks_long_vectors_and_repeats(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(400)] + [(100, [1.0] * 9), (100, [1.0] * 9), (900, [0.25] * 20_000), (7, [1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "GROUP_BYTES", 8 * 20_000 * 3)  # three queries a block
+    got = Counter(tuple(r) for r in topk.top_k(df, df.vec_id % 100 == 0, k=4).collect())
+    whole = [(i, [int(np.floor(max(-(2.0**62), min(2.0**62, x * 1024)))) for x in v]) for i, v in rows]
+    expected = Counter()
+    for i, q in whole:
+        if i % 100 == 0:
+            every = sorted((-sum(x * y for x, y in zip(q, v)), j) for j, v in whole if j != i)[:4]
+            expected.update((i, n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(every))
+    assert got == expected
 
 
 def made_texts(seed):
@@ -153,15 +199,6 @@ def made_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_against_brute_force(spark, seed):
-    # one statement of a tie order: ids are distinct
-    rows = [(i, t) for i, t in enumerate(made_texts(seed))]
-    expected = brute_lines(rows)
-    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.text for r in got} == {k[0]: v for k, v in expected.items()}
-
-
 def test_line_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(55))
     rows = [(3, long, "c"), (1, f"head\n{long}\ntail", "a"), (None, long, "n"), (4, None, "d"), (5, "", "e"), (6, f"{long}\n\n{long}", "f"), (7, "short line\nshort line", "g"), (1, f"head\n{long}\ntail", "again")]
@@ -176,9 +213,9 @@ def test_line_dedup_edges(spark):
 
 
 def brute_runs(rows, least=50):
-    """As ``brute_lines``, but a run goes on as far as it does at any earlier place; (id, lines that went)."""
+    """Deletes later repeats of runs of whole non-blank lines that hold ``least`` words, by comparing all places; a run goes on as far as it does at any earlier place."""
     places, gone = defaultdict(list), defaultdict(set)
-    split = {key: [(n, line.strip(" \t\n\v\f\r")) for n, line in enumerate(key[1].split("\n")) if line.strip(" \t\n\v\f\r")] for key in sorted(set(rows))}
+    split = {key: [(n, line.strip(" \t\n\v\f\r")) for n, line in enumerate((key[1] or "").split("\n")) if line.strip(" \t\n\v\f\r")] for key in sorted(set(rows))}
     for key, lines in split.items():
         for a in range(len(lines)):
             words, b = 0, a
@@ -194,7 +231,7 @@ def brute_runs(rows, least=50):
                     end += 1
                 gone[key] |= set(range(lines[a][0], lines[end - 1][0] + 1))
             earlier.append((key, a))
-    return {key[0]: "\n".join(x for n, x in enumerate(key[1].split("\n")) if n not in gone[key]) for key in rows}
+    return {key[0]: "\n".join(x for n, x in enumerate(key[1].split("\n")) if n not in gone[key]) if gone[key] else key[1] for key in rows}
 
 
 def test_line_dedup_goes_on_along_any_earlier_place(spark):
@@ -211,3 +248,24 @@ def test_line_dedup_goes_on_along_any_earlier_place(spark):
         rows = list(enumerate(made_texts(seed)))
         got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == brute_runs(rows)
+
+
+def test_line_dedup_query(spark):
+    """All documents, and fewer fingerprints than lines."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.text for r in queries.op9_line_dedup(spark, "/root/testdata/sf0.01").collect()}
+    expected = brute_runs(rows)
+    assert got == expected
+    assert any(expected[i] != t for i, t in rows)
+    every = line_dedup.lines(docs, "doc_id", "text")
+    kept = line_dedup.winnowed(every, line_dedup.MIN_WORDS)
+    assert kept.count() < 0.8 * every.count()
+
+
+def test_winnowing_keeps_few_of_short_lines(spark):
+    rows = [(i, "\n".join(f"line {i} {n}" for n in range(2000))) for i in range(3)]
+    every = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    kept = line_dedup.winnowed(every, line_dedup.MIN_WORDS)
+    # windows of 17 lines: about 2 of 18 lines are minima
+    assert kept.count() < every.count() / 6
