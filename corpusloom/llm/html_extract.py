@@ -1,21 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-Each host's page of the smallest id is its pivot. Every other page's DOM tree is aligned with the
-pivot's by simple tree matching; each aligned node votes whether its own text equals the pivot's. A
-pivot node is template where at least ``LEAST`` pages vote and ``CONSTANT`` of them say equal; pages
-that agree with the pivot nearly everywhere are copies of it and have no vote. Varying nodes are slots.
-In a page, the blocks of nodes aligned with template nodes go; of the slots, those marked as menus,
-site headers, footers, sidebars, notices, adverts, forms or comments by tag, role or name go as well,
-and what is left of the article (else the main element, else what is named as content, else the
-body) is the text. On the pages at hand menus and adverts vary from page to page, so that constancy
-alone would keep them; the marks decide about slots.
-
-Only skeletons (9 bytes a node) are shuffled by host for the alignment. The wrappers, one row a host, are
-broadcast up to ``BROADCAST_BYTES`` and joined beyond. A host with a third of all pages is one pivot
-and grouped sums.
+Pages of one host and layout (the kinds of nodes of the upper levels) have one pivot, that of the smallest id
+of those with any text. Every other page's DOM tree is aligned with the pivot's by simple tree matching. For
+each pivot node the aligned pages tell in how many different articles it has a text, how often the commonest one, how
+long and how much of it in links. Pages of one article (the same longest blocks, under whatever menus) count once.
+A node that is constant across articles becomes template, one that varies a slot. The smallest part of the
+page that holds most of the slots' text outside of links is the article's region. A recurring paragraph among varying ones of its kind
+stays content. In a page, the blocks of the region are taken, without those aligned with template nodes.
+
+Menus, adverts and comments may vary as well and are slots then; those that tags, roles or names mark as such weigh nothing and
+are left out, and where the slots leave it open, an article or main element is preferred. A page whose layout
+fewer than ``_dom.LEAST`` articles share has no wrapper; there the marks decide alone.
+
+Only skeletons (22 bytes a node) and counts are shuffled for the alignment. The wrappers, one row a host, are
+broadcast up to ``BROADCAST_BYTES`` and joined beyond. A host with a third of all pages is one pivot a layout
+and counts by node and text.
 
 Null and empty html give an empty text. A page without a host, or alone on it, has no template. Repeated
-rows give the same text each. Text in a block has its white space collapsed and character references
+rows give the same text each. Pages of any length, depth and number of siblings are aligned in full. An empty table
+gives an empty result. Text in a block has its white space collapsed and character references
 decoded; blocks are joined by line feeds; nothing else is dropped or cut.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +35,6 @@ from pyspark.sql import types as T
 from corpusloom.llm import _dom
 from corpusloom.llm._shared import as_text, cut, fresh, quoted
 
-LEAST, CONSTANT, COPY = 3, 0.8, 0.9
 BROADCAST_BYTES = 32 << 20
 
 
@@ -39,71 +42,99 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-@F.arrow_udf(T.BinaryType())
-def _skeletons(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for pages in batches:
-        yield pa.array((_dom.Page(p.as_py() or "").skeleton() for p in pages), pa.binary())
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_LONG, _INT, _DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
+_VOTE = T.ArrayType(_struct(node=_INT, text=_LONG, chars=_INT, linked=_INT))
+_SEEN = T.ArrayType(_struct(node=_INT, n=_LONG, top=_LONG, chars=_DOUBLE, linked=_DOUBLE))
 
 
-_VOTES = T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("same", T.BooleanType())]))
+@F.arrow_udf(_struct(layout=_LONG, article=_LONG, page=T.BinaryType()))
+def _skeletons(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("layout", pa.int64()), ("article", pa.int64()), ("page", pa.binary())])
+    for pages in batches:
+        out = []
+        for html in pages:
+            page = _dom.Page(html.as_py() or "")
+            # a page without text says nothing about its host
+            out.append({"layout": page.layout(), "article": page.article(), "page": page.skeleton().tobytes()} if page.blocks else None)
+        yield pa.array(out, kind)
 
 
-@F.arrow_udf(_VOTES)
+@F.arrow_udf(_VOTE)
 def _votes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_())]))
-    known: tuple[bytes, _dom.Tree] = (b"", _dom.Tree(b""))
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())]))
+    known: tuple[bytes | None, _dom.Tree | None] = (None, None)
     for pages, pivots in batches:
         out = []
         for page, pivot in zip(pages, pivots):
             if pivot.as_py() != known[0]:
-                known = (pivot.as_py(), _dom.Tree(pivot.as_py()))
-            tree = _dom.Tree(page.as_py())
-            own = [(y, tree.text[x] == known[1].text[y]) for x, y in _dom.align(tree, known[1]) if known[1].text[y]]
-            copy = sum(same for _, same in own) >= COPY * len(own)
-            out.append([] if copy else [{"node": y, "same": same} for y, same in own])
+                known = (pivot.as_py(), _dom.Tree(np.frombuffer(pivot.as_py(), _dom.NODE)))
+            tree = _dom.Tree(np.frombuffer(page.as_py(), _dom.NODE))
+            nodes = tree.nodes
+            out.append([{"node": y, "text": tree.text[x], "chars": int(nodes["chars"][x]), "linked": int(nodes["linked"][x])} for x, y in _dom.align(tree, known[1]) if tree.text[x]])
+        yield pa.array(out, kind)
+
+
+@F.arrow_udf(_struct(region=_INT, template=T.ArrayType(_INT)))
+def _induced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.struct([("region", pa.int32()), ("template", pa.list_(pa.int32()))])
+    for pivots, seen in batches:
+        out = []
+        for pivot, rows in zip(pivots, seen):
+            rows = rows.as_py()
+            region, template = _dom.induce(pivot.as_py(), *(np.array([r[k] for r in rows]) for k in ("node", "n", "top", "chars", "linked")))
+            out.append({"region": region, "template": template})
         yield pa.array(out, kind)
 
 
 @F.arrow_udf(T.StringType())
-def _texts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    trees: dict[bytes, _dom.Tree] = {}
-    for pages, pivots, templates in batches:
+def _texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    known: dict[tuple, _dom.Wrapper] = {}
+    for pages, wrappers in batches:
         out = []
-        for html, pivot, template in zip(pages, pivots, templates):
-            page = _dom.Page(html.as_py() or "")
-            drop: set[int] = set()
-            if template.is_valid and len(template):
-                key = pivot.as_py()
-                if key not in trees:
-                    if len(trees) > 256:
-                        trees.clear()
-                    trees[key] = _dom.Tree(key)
-                constant = set(template.as_py())
-                tree = _dom.Tree(page.skeleton())
-                drop = {x for x, y in _dom.align(tree, trees[key]) if y in constant and tree.text[x] == trees[key].text[y]}
-            out.append(page.content(drop))
+        for html, own in zip(pages, wrappers):
+            page, wrapper = _dom.Page(html.as_py() or ""), None
+            if own.is_valid:
+                layout = page.layout()
+                for w in own:
+                    if w["layout"].as_py() == layout:
+                        key = (w["pivot"].as_py(), w["region"].as_py(), tuple(w["template"].as_py()))
+                        if key not in known:
+                            if len(known) > 256:
+                                known.clear()
+                            known[key] = _dom.Wrapper(*key)
+                        wrapper = known[key]
+            out.append(page.content(wrapper))
         yield pa.array(out, pa.string())
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """(host, pivot, template): the pivot's skeleton and the numbers of its template nodes, where there are any."""
+    """(host, layout, pivot, region, template): the pivot's skeleton, its region's node and its template nodes."""
     rows = pages.select(host(quoted(url_col)).alias("host"), quoted(id_col).alias("id"), as_text(html_col).alias("html")).where("host <> ''")
-    rows = cut(rows.select("host", "id", _skeletons("html").alias("page")))
-    pivots = rows.groupBy("host").agg(F.min(F.struct(F.col("id").isNull(), "id", "page"))["page"].alias("pivot"), F.count("*").alias("n"))
-    pivots = cut(pivots.where(F.col("n") > LEAST).drop("n"))
-    voted = rows.join(pivots, "host").select("host", F.explode(_votes("page", "pivot")).alias("v"))
-    summed = voted.groupBy("host", "v.node").agg(F.count("*").alias("n"), F.count_if("v.same").alias("same"))
-    fixed = summed.where((F.col("n") >= LEAST) & (F.col("same") >= CONSTANT * F.col("n"))).groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("template"))
-    return fixed.join(pivots, "host")
+    rows = rows.select("host", "id", _skeletons("html").alias("s")).where("s IS NOT NULL").select("host", "id", "s.*")
+    # one page an article
+    rows = cut(rows.groupBy("host", "layout", "article").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "page")).alias("p")))
+    pivots = rows.groupBy("host", "layout").agg(F.min("p")["page"].alias("pivot"), F.count("*").alias("n"))
+    pivots = cut(pivots.where(F.col("n") >= _dom.LEAST).drop("n"))
+    voted = rows.select("host", "layout", F.col("p.page").alias("page")).join(pivots, ["host", "layout"]).select("host", "layout", F.explode(_votes("page", "pivot")).alias("v"))
+    texts = voted.groupBy("host", "layout", "v.node", "v.text").agg(F.count("*").alias("n"), F.sum("v.chars").alias("chars"), F.sum("v.linked").alias("linked"))
+    nodes = texts.groupBy("host", "layout", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"), (F.sum("chars") / F.sum("n")).alias("chars"), (F.sum("linked") / F.sum("n")).alias("linked"))
+    seen = nodes.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "n", "top", "chars", "linked")).cast(_SEEN).alias("seen"))
+    return seen.join(pivots, ["host", "layout"]).select("host", "layout", "pivot", _induced("pivot", "seen").alias("w")).select("host", "layout", "pivot", "w.*")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text; a column called like ``text_col`` is replaced."""
-    h, pivot, template = fresh(pages, "host", "pivot", "template")
-    found = cut(wrappers(pages, url_col, html_col, id_col)).select(F.col("host").alias(h), F.col("pivot").alias(pivot), F.col("template").alias(template))
-    held = found.agg(F.sum(F.octet_length(quoted(pivot)) + 4 * F.size(quoted(template)) + F.octet_length(quoted(h)))).first()[0] or 0
+    h, w = fresh(pages, "host", "wrappers")
+    found = wrappers(pages, url_col, html_col, id_col).groupBy(F.col("host").alias(h)).agg(F.collect_list(F.struct("layout", "pivot", "region", "template")).alias(w))
+    found = cut(found)
+    size = F.aggregate(quoted(w), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["pivot"]) + 4 * F.size(x["template"]) + 16)
+    held = found.agg(F.sum(size + F.octet_length(quoted(h)))).first()[0] or 0
     if held <= BROADCAST_BYTES:
         found = F.broadcast(found)
     joined = pages.withColumn(h, host(quoted(url_col))).join(found, h, "left")
-    text = _texts(as_text(html_col), quoted(pivot), quoted(template))
+    text = _texts(as_text(html_col), quoted(w))
     return joined.withColumn(text_col, text).select(*[quoted(c) for c in pages.columns if c.lower() != text_col.lower()], quoted(text_col))

@@ -87,32 +87,73 @@ def brute_match(a, b, x=0, y=0):
     return 1 + m[-1][-1]
 
 
-def test_tree_matching_against_brute_force():
+def test_tree_matching_against_brute_force(monkeypatch):
     rng = np.random.default_rng(5)
 
     def page():
         return "".join(rng.choice(["<div>", "</div>", "<p>x</p>", "<ul><li>a<li>b</ul>", "<h1>t</h1>"]) for _ in range(12))
 
-    for _ in range(40):
-        a, b = (_dom.Tree(_dom.Page(page()).skeleton()) for _ in range(2))
-        pairs = _dom.align(a, b)
-        assert len(pairs) == brute_match(a, b)
-        assert len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
-        assert all(a.label[x] == b.label[y] for x, y in pairs)
+    for cells in (_dom.CELLS, 2):
+        monkeypatch.setattr(_dom, "CELLS", cells)  # child lists aligned whole, or halved down to single children
+        for _ in range(40):
+            a, b = (_dom.Tree(_dom.Page(page()).skeleton()) for _ in range(2))
+            pairs = _dom.align(a, b)
+            assert len(pairs) == brute_match(a, b)
+            assert len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+            assert all(a.label[x] == b.label[y] for x, y in pairs)
+
+
+def test_alignment_of_long_and_deep_pages():
+    rng = np.random.default_rng(6)
+    kinds = ["<p>x</p>", "<h2>y</h2>", "<pre>z</pre>"]
+    long = [str(k) for k in rng.choice(kinds, 3000)]
+    other = [k for k in long if rng.random() < 0.8]
+    a, b = (_dom.Tree(_dom.Page("".join(x)).skeleton()) for x in (long, other))
+    assert len(_dom.align(a, b)) == len(other) + 1  # every child of the shorter list and the root
+    deep = "<div>" * 3000 + "{}"
+    a, b = (_dom.Tree(_dom.Page(deep.format(x)).skeleton()) for x in ("<p>one</p>", "<h1>t</h1><p>two</p>"))
+    assert len(_dom.align(a, b)) == 3002
 
 
 def test_html_edges(spark):
-    body = "<html><body><nav><a>Home</a></nav><div class='story'><p>Shared boilerplate line</p><p>Own {} &amp; &eacute;&#8212;\n  words</p></div><footer>foot</footer></body></html>"
+    body = "<html><body><nav><a>Home</a></nav><div class='story'><p>Recurring line of the story</p><p>Own {} &amp; &eacute;&#8212;\n  words</p></div><footer>foot</footer></body></html>"
     rows = [(i, f"https://h.example/{i}", body.format(i), "z") for i in range(8)] + [(20, None, "<p>a<br>b</p><script>x()</script>", "z"), (21, "u", None, "z"), (22, "u", "", "z"), (20, None, "<p>a<br>b</p><script>x()</script>", "z"), (23, "https://one.example/", "<article>" + "<p>w</p>" * 5000 + "</article>", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     out = html_extract.extract(df)
     got = {r.page_id: r.text for r in out.collect()}
     assert out.count() == len(rows) and sorted(out.columns) == sorted(df.columns)
-    assert {got[i] for i in range(8)} == {f"Own {i} & é— words" for i in range(8)}
+    assert {got[i] for i in range(8)} == {f"Recurring line of the story\nOwn {i} & é— words" for i in range(8)}
     assert (got[20], got[21], got[22]) == ("a b", "", "") and got[23] == "\n".join("w" * 5000)
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_wrappers_decide_on_unmarked_pages(spark):
+    """No tag, role or name tells the article from what is around it: template and slots do."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    rows, wanted = [(100, "http://a.example/", "", "z")], {100: ""}
+    for i in range(40):
+        own = [words(30) for _ in range(2 + i % 4)] + ["A paragraph that each story ends with."] * (i % 3 > 0)
+        title = f"Title {i}"
+        article = [title, *own]
+        if i % 4 == 0:  # one article again and again, under other menus
+            article = ["Title same", words(0) + "the republished paragraph one", "and two"]
+        around = f"<div class='x1'><ul><li><a href=u>m {i}</a><li><a href=u>n {i} {i}</a></ul></div><div class='x2'>Welcome to the site</div>"
+        html = f"<html><body>{around}<div class='x3'><h1>{article[0]}</h1>{''.join(f'<p>{p}</p>' for p in article[1:])}<div class='x5'>Read more in our shop</div></div><div class='x4'>Made by us</div></body></html>"
+        rows.append((i, f"http://a.example/{i}", html, "z"))
+        wanted[i] = "\n".join(article)
+    # another layout on the same host
+    for i in range(50, 60):
+        text = words(40)
+        rows.append((i, f"http://a.example/{i}", f"<html><body><table><tr><td>All rights with us</td><td><p>{text}</p><p>end {i}</p></td></tr></table></body></html>", "z"))
+        wanted[i] = f"{text}\nend {i}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, other string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == wanted
+    # marks alone do not find it
+    assert sum(_dom.Page(html).content() == wanted[i] for i, _, html, _ in rows[1:]) == 0
+
+
 def textured(seed):
     rng = np.random.default_rng(seed)
     small = rng.integers(0, 256, (24, 24)).astype(float)
