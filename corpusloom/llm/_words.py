@@ -2,8 +2,9 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. Its hash is a polynomial of its
 bytes modulo 2**64 with a final mix. Texts are worked through in segments of at most
-``SEGMENT`` bytes, cut at white space where there is any, so that memory is bounded for texts of
-any length; an n-gram never spans two segments.
+``SEGMENT`` bytes, cut at white space, so that memory is bounded for texts of any length (a word of more
+bytes is one segment). The last two words of a segment go along in front of the next one of the same text, so that
+no n-gram of up to three words is lost at a cut; ``carried`` tells how many such words there are.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 class Words(NamedTuple):
-    """The words of some texts; ``text`` numbers the text a word is from, ``first`` marks where no n-gram may reach back."""
+    """The words of some texts; ``text`` numbers the text a word is from."""
 
     hashes: np.ndarray
     shapes: np.ndarray | None
     text: np.ndarray
     run: np.ndarray  # position of the word in its text's segment
+    carried: int = 0  # words in front that the segment before had already
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +87,31 @@ def _segment(data: np.ndarray, bounds: np.ndarray, shapes: bool) -> Words:
 
 
 def _cut_long(data: np.ndarray) -> list[int]:
-    """Segment bounds of one long text."""
+    """Segment bounds of one long text, each after white space."""
     out, at = [0], 0
     while len(data) - at > SEGMENT:
         spaces = np.flatnonzero(_SPACE[data[at : at + SEGMENT]])
-        at += int(spaces[-1]) + 1 if len(spaces) else SEGMENT
+        if len(spaces):
+            at += int(spaces[-1]) + 1
+        else:
+            step = at + SEGMENT
+            while step < len(data) and not _SPACE[data[step : step + SEGMENT]].any():
+                step += SEGMENT
+            if step >= len(data):
+                break
+            at = step + int(np.argmax(_SPACE[data[step : step + SEGMENT]])) + 1
         out.append(at)
-    return [*out, len(data)]
+    return [*out, len(data)] if out[-1] < len(data) else out
+
+
+def _joined(before: Words | None, found: Words) -> Words:
+    """``found`` with the last two words of the segment before in front."""
+    if before is None or not len(before.hashes):
+        return found
+    n = min(2, len(before.hashes))
+    shapes = None if found.shapes is None else np.concatenate([before.shapes[-n:], found.shapes])
+    text = np.concatenate([before.text[-n:], found.text])
+    return Words(np.concatenate([before.hashes[-n:], found.hashes]), shapes, text, np.arange(len(found.hashes) + n), n)
 
 
 def words(texts: pa.Array, shapes: bool = False) -> Iterator[Words]:
@@ -109,8 +129,9 @@ def words(texts: pa.Array, shapes: bool = False) -> Iterator[Words]:
         part = data[offset[i] : offset[j]]
         if j == i + 1 and len(part) > SEGMENT:
             cuts = _cut_long(part)
+            found = None
             for a, b in zip(cuts, cuts[1:]):
-                found = _segment(part[a:b], np.array([0, b - a]), shapes)
+                found = _joined(found, _segment(part[a:b], np.array([0, b - a]), shapes))
                 yield found._replace(text=found.text + i)
         else:
             found = _segment(part, offset[i : j + 1] - offset[i], shapes)

@@ -1,23 +1,29 @@
 """License scans with a trained paragraph classifier.
 
-Every line of a text is a paragraph, and so are adjacent lines without a blank one between them where
-only together they hold a family's template, as in wrapped licence texts. A softmax regression over hashed word n-grams tells ordinary text,
-statements of licence families and licence statements of unknown kind apart; its temperature is fitted
-on held-out examples, so that probabilities are calibrated. It is trained on statements made from the
-families' names and sentences, on statements with invented names, and on at most ``PLAIN`` lines of the
-corpus (a sample by hash). A predicted family is confirmed by comparison with its
-templates: ``CONFIRM`` of the word trigrams of a template must occur in the paragraph; a name of one or
-two words must occur as it is. A statement that no family is confirmed for counts as unknown.
-
-Only lines that hold, or share with the next line, a trigram of a template or statement, a short name or
-one of ``KEYWORDS`` are classified; that test is made for all words of all texts at once.
-
-Null and empty texts have no licence. Repeated rows are scanned alike; other columns pass through.
+The lines of a text between blank ones are a block; a paragraph is one or more adjacent lines of a block, long
+lines parted into sentences. Two logistic regressions over hashed word n-grams are trained. The first tells
+statements of licences from ordinary text. It scores every line of every text by sparse dot products, at the
+``WINDOW`` words where it is highest, so that a statement inside a long line is found; n-grams reach across
+the line breaks of a block, as in wrapped licence texts. Lines above ``GATE`` go to the second, a softmax over
+ordinary text, licence families and licences of unknown kind. Its temperature is fitted on statements whose names
+and sentences no part of their training set has, so that probabilities are calibrated. It is trained on
+statements made from the families' names and sentences and fragments of these, on statements of unknown licences, and on at most
+``PLAIN`` lines of the corpus, a sample by hash. Lines that hold a template, or that the first model itself takes for a
+statement, as some in any corpus are, leave the sample and it is fitted anew.
+
+A predicted family is confirmed by comparison with its templates: ``CONFIRM`` of the word trigrams of a template
+must occur in the paragraph, which is extended line by line for that; a name of one or two words must occur
+as it is. A statement that no family is confirmed for counts as unknown. Adjacent unknown paragraphs of a block
+are one statement, and those that follow a confirmed one in its block are part of it.
+
+Null and empty texts have no licence, and an empty table gives an empty result. Repeated rows are scanned alike;
+other columns pass through, and one called like the result is replaced. Texts and lines may be of any length.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -32,8 +38,15 @@ from pyspark.sql import types as T
 from corpusloom.llm import _words
 from corpusloom.llm._shared import as_text, bounded_sample, quoted
 
-BITS, EPOCHS, RATE, PLAIN = 14, 12, 0.5, 2000
+BITS, EPOCHS, RATE, PLAIN = 14, 40, 1.0, 2000
 ACCEPT, CONFIRM = 0.5, 0.8
+#: The first model: slots, words at which a line is scored, and the probability from which a line is looked at.
+GATE_BITS, WINDOW, GATE = 18, 12, 0.05
+#: Lines of more words are parted into sentences.
+LONG = 60
+FOLDS = 2
+#: Characters of a training line; the model is learned from samples, texts are scanned in full.
+LINE = 600
 NONE, UNKNOWN = "none", "unknown"
 
 # --- fixed values: names and sentences of licence families, from the public licence texts ---
@@ -67,11 +80,11 @@ SENTENCES = {
 }
 FRAMES = ["Licensed under {}", "Licensed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "Released under the {}", "Distributed under the terms of the {}", "This program is free software under the {}", "This project is available under the {}", "See {} for details", "SPDX-License-Identifier: {}", "{}", "Code is published under {}"]
 SPDX = {"AGPL": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache": ["Apache-2.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "CC-BY": ["CC-BY-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-ND": ["CC-BY-ND-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"], "CC0": ["CC0-1.0"], "GPL": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "ISC": ["ISC"], "LGPL": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"], "MIT": ["MIT"], "MPL": ["MPL-2.0"], "Unlicense": ["Unlicense"]}
-#: Words that open a statement of any licence.
-KEYWORDS = ["licensed under", "released under", "distributed under", "published under", "available under", "SPDX-License-Identifier"]
-INVENTED = ["Foobar Public Agreement", "Sunrise Community Terms 1.2", "Example Corp Evaluation Agreement", "Harbor Shared Source Terms", "a custom agreement", "the terms of the vendor", "Open Meadow Licence 3", "terms agreed between the parties"]
+INVENTED = ["Foobar Public Agreement", "Sunrise Community Terms 1.2", "Example Corp Evaluation Agreement", "Harbor Shared Source Terms", "a custom agreement", "the terms of the vendor", "Open Meadow Licence 3", "terms agreed between the parties", "Zeta", "the Quill Software License", "Northwind Public License 1.0"]
+UNKNOWNS = ["Use of this software is governed by the vendor agreement", "You may use this code only in accordance with the agreement", "You may not copy or redistribute this work without a license", "Usage is subject to the license agreement that comes with the product", "This software is provided under a separate license", "Permission to use this material is granted to members only", "This file is part of a product and subject to its terms of use", "See the LICENSE file for the terms of use", "Distribution of this document is subject to the terms below", "The code may be used free of charge for academic purposes only"]
 # --- end of fixed values ---
 
+_SENTENCE = re.compile(r"(?<=[.;!?])\s+")
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
 
@@ -98,38 +111,172 @@ def templates() -> dict[str, list[set[tuple[str, ...]]]]:
     return out
 
 
-def examples() -> list[tuple[str, str]]:
-    """(statement, class) pairs made from the fixed values."""
-    out = [(f.format(name), family) for family, names in NAMES.items() for name in names for f in FRAMES]
-    out += [(f"SPDX-License-Identifier: {i}", family) for family, ids in SPDX.items() for i in ids for _ in range(2)]
-    out += [(f.format(name), UNKNOWN) for name in INVENTED for f in FRAMES if f != "{}"]
+def examples() -> list[tuple[str, str, str]]:
+    """(statement, class, what it was made of): held-out sets are drawn by the last."""
+    out = [(f.format(name), family, name) for family, names in NAMES.items() for name in names for f in FRAMES]
+    out += [(f"SPDX-License-Identifier: {i}", family, i) for family, ids in SPDX.items() for i in ids for _ in range(2)]
+    out += [(f.format(name), UNKNOWN, name) for name in INVENTED for f in FRAMES if f != "{}"]
+    out += [(text, UNKNOWN, u) for u in UNKNOWNS for text in (u, f"{u}.", f"Notice: {u}.")]
     for family, sentences in SENTENCES.items():
         for s in sentences:
-            out += [(s, family), (f"{s}.", family), (f"Notice: {s}. Thank you.", family), (f"Copyright 2020 the authors. {s}.", family)] * 2
+            out += [(text, family, s) for text in (s, f"{s}.", f"Notice: {s}. Thank you.", f"Copyright 2020 the authors. {s}.")] * 2
+            # lines of wrapped texts
+            words = s.split()
+            out += [(" ".join(words[i : i + n]), family, s) for n in (6, 10) for i in range(0, max(1, len(words) - n + 1), 3)]
+    return out
+
+
+class Sparse(NamedTuple):
+    """Rows of slots, all values equal: the row and slot of each entry, and a scale by row."""
+
+    row: np.ndarray
+    slot: np.ndarray
+    scale: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.scale), w.shape[1]))
+        for c in range(w.shape[1]):
+            out[:, c] = np.bincount(self.row, w[self.slot, c], len(self.scale))
+        return out * self.scale[:, None]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def regress(rows: Sparse, kind: np.ndarray, classes: int, slots: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights by slot and class after EPOCHS steps of adaptive gradients over all rows."""
+    used, at = np.unique(rows.slot, return_inverse=True)
+    rows = rows._replace(slot=at)
+    w, seen, steps = np.zeros((len(used), classes)), np.full((len(used), classes), 1e-6), np.eye(classes)[kind]
+    weight = np.ones(len(kind)) if weight is None else weight
+    for _ in range(EPOCHS):
+        slope = (_softmax(rows.times(w)) - steps) * (rows.scale * weight)[:, None]
+        g = np.stack([np.bincount(at, slope[rows.row, c], len(used)) for c in range(classes)], axis=1)
+        seen += g * g
+        w -= RATE * g / np.sqrt(seen)
+    out = np.zeros((slots, classes))
+    out[used] = w
     return out
 
 
 def _slots(words: list[str]) -> np.ndarray:
     """Slots of the word uni-, bi- and trigrams, the intercept last."""
-    import zlib
-
     found = {zlib.crc32(" ".join(words[i : i + n]).encode()) & ((1 << BITS) - 1) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
     return np.array([*sorted(found), 1 << BITS])
 
 
+def _sparse(rows: list[np.ndarray]) -> Sparse:
+    size = np.array([len(r) for r in rows])
+    return Sparse(np.repeat(np.arange(len(rows)), size), np.concatenate(rows), 1 / np.sqrt(size))
+
+
+def _plain(lines: pa.Array) -> pa.Array:
+    """The words of tokens() parted by blanks: lower case, other characters than letters, digits and inner . + - are gaps."""
+    plain = pc.replace_substring_regex(pc.ascii_lower(lines), r"[^a-z0-9.+-]+|[.+-]+(?:[^a-z0-9]|$)|[.+-]{2,}", " ")
+    return pc.replace_substring_regex(plain, r"(^|\s)[.+-]+", " ")
+
+
+def _gate_slots(lines: pa.Array, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Line number and slots of the n-grams that end in each word, uni-, bi- and trigram, in pieces; -1 for none.
+
+    N-grams stay within a block of lines. Each piece repeats the last WINDOW words of the one before, so that every
+    run of so many words is whole in some piece.
+    """
+    keep = WINDOW + 2
+    h, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for found in _words.words(_plain(lines)):
+        new, line = found.hashes[found.carried :], found.text[found.carried :]
+        h, at = np.concatenate([h[-keep:], new]), np.concatenate([at[-keep:], line])
+        slots = np.full((3, len(h)), -1, np.int64)
+        run = h * np.uint64(0)
+        with np.errstate(over="ignore"):
+            for n in range(3):
+                mixed = run[: len(h) - n] * np.uint64(0)
+                for k in range(n + 1):
+                    mixed = mixed * np.uint64(11) + h[k : k + len(h) - n]
+                same = block[at[n:]] == block[at[: len(h) - n]]
+                slots[n, n:][same] = (_words.mix(mixed[same] + np.uint64(n)) & np.uint64((1 << GATE_BITS) - 1)).astype(np.int64)
+        yield at, slots
+
+
+def gate_scores(lines: pa.Array, block: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-odds of each line that it is or holds a statement, at its best WINDOW words; the last of ``w`` is the intercept and
+    counts for n-grams that are not there as well, with weight 0."""
+    out = np.full(len(lines), -np.inf)
+    known = np.append(w[:-1], 0.0)
+    for at, slots in _gate_slots(lines, block):
+        each = known[slots].sum(axis=0)
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        i = np.arange(1, len(each) + 1)
+        # windows end in each word and begin some words before, within the block or the line
+        first, own = (np.searchsorted(x, x, side="left") for x in (block[at], at))
+        for n, least in ((WINDOW // 3, first), (WINDOW * 2 // 3, first), (WINDOW, first), (WINDOW, own)):
+            begin = np.maximum(i - n, least)
+            score = w[-1] + (total[i] - total[begin]) / np.sqrt(3 * np.maximum(i - begin, 4))
+            line = np.flatnonzero(np.diff(at, prepend=-1))
+            out[at[line]] = np.maximum(out[at[line]], np.maximum.reduceat(score, line)) if len(line) else 0
+    return out
+
+
+def _gate_rows(texts: list[str]) -> Sparse:
+    """The best a window can hold of each example: its first WINDOW words."""
+    cut_off = pa.array([" ".join(tokens(t)[:WINDOW]) for t in texts])
+    row, slot = [], []
+    for at, slots in _gate_slots(cut_off, np.arange(len(texts))):
+        for s in slots:
+            row.append(at[s >= 0])
+            slot.append(s[s >= 0])
+    pairs = np.unique(np.stack([np.concatenate(row), np.concatenate(slot)]), axis=1)
+    words = np.array([max(4, min(WINDOW, len(tokens(t)))) for t in texts])
+    return Sparse(pairs[0], pairs[1], 1 / np.sqrt(3 * words))
+
+
+def _short(line: str) -> str:
+    """The first one to eight words of a line, as short lines are ordinary text as well."""
+    return " ".join(tokens(line)[: 1 + zlib.crc32(line.encode()) % 8])
+
+
+def gate(plain: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Weights of the first model, the intercept last, and the lines that it takes for ordinary text.
+
+    Each half of the lines is judged by a model fitted on the other half; what is taken for a statement leaves.
+    """
+    made = sorted({text for text, _, _ in examples()})
+
+    def fitted(lines: list[str]) -> np.ndarray:
+        pieces = [" ".join(t[i : i + WINDOW]) for line in lines for t in [tokens(line)] for i in range(0, max(1, len(t)), WINDOW)]
+        texts = [*made, *pieces, *map(_short, lines), ""]
+        rows, n = _gate_rows(texts), len(texts)
+        wide = Sparse(np.append(rows.row, np.arange(n)), np.append(rows.slot, np.full(n, 1 << GATE_BITS)), rows.scale)
+        label = np.arange(n) < len(made)
+        # both kinds count alike in sum
+        weight = np.where(label, n / (2 * len(made)), n / (2 * (n - len(made))))
+        w = regress(wide, label.astype(int), 2, (1 << GATE_BITS) + 1, weight)
+        return w[:, 1] - w[:, 0]
+
+    halves: list[list[str]] = [[], []]
+    for line in plain:
+        halves[zlib.crc32(line.encode()) % 2].append(line)
+    kept = []
+    for own, other in (halves, halves[::-1]):
+        score = gate_scores(pa.array(own, pa.string()), np.arange(len(own)), fitted(other))
+        kept += [line for line, z in zip(own, score) if z < 0]
+    return fitted(kept), kept
+
+
 class Model(NamedTuple):
     classes: list[str]
     weights: np.ndarray
     temperature: float
     templates: dict[str, list[set[tuple[str, ...]]]]
-    known: np.ndarray  # hashes of the short names, keywords and word trigrams of all templates and statements
+    gate: np.ndarray
     reach: int  # words of the longest template
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         slots = _slots(words)
-        z = self.weights[slots].sum(axis=0) / np.sqrt(len(slots)) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return _softmax(self.weights[slots].sum(axis=0, keepdims=True) / np.sqrt(len(slots)) / self.temperature)[0]
 
     def confirmed(self, name: str, words: list[str]) -> bool:
         """Whether the words hold a template of the family."""
@@ -140,117 +287,95 @@ class Model(NamedTuple):
         """Class and probability; a family must be confirmed by a template."""
         words = tokens(paragraph)
         p = self.probabilities(words)
-        order = np.argsort(-p)
-        for c in order:
+        for c in np.argsort(-p):
             name = self.classes[c]
-            if name in (NONE, UNKNOWN) or p[c] < ACCEPT:
-                continue
-            if self.confirmed(name, words):
+            if name not in (NONE, UNKNOWN) and p[c] >= ACCEPT and self.confirmed(name, words):
                 return name, float(p[c])
         none = float(p[self.classes.index(NONE)])
         return (NONE, none) if none >= ACCEPT else (UNKNOWN, 1 - none)
 
     def statements(self, lines: list[str], wanted: list[int]) -> Iterator[tuple[str, float, str]]:
         """(family, probability, paragraph) of the statements that begin in the wanted lines, blank lines parting."""
+        parts, numbers, chosen = [], [], []
+        want = set(wanted)
+        for i, line in enumerate(lines):
+            pieces = _SENTENCE.split(line) if i in want and len(tokens(line)) > LONG else [line]
+            if i in want:
+                chosen += range(len(parts), len(parts) + len(pieces))
+            parts += pieces
+            numbers += [i] * len(pieces)
+        held: list[tuple[str, float, int, int]] = []
         after = 0
-        for i in wanted:
+        for i in chosen:
             if i < after:
                 continue
-            family, p = self.classify(lines[i])
-            after = i + 1
-            end, held = i + 1, 0
-            while family in (NONE, UNKNOWN) and end < len(lines) and lines[end].strip() and held < self.reach:
-                held += len(tokens(lines[end]))
+            family, p = self.classify(parts[i])
+            end, read = i + 1, len(tokens(parts[i]))
+            stop = i + 1
+            while family in (NONE, UNKNOWN) and end < len(parts) and tokens(parts[end]) and read < 2 * self.reach:
+                read += len(tokens(parts[end]))
                 end += 1
-                joined, q = self.classify("\n".join(lines[i:end]))
+                joined, q = self.classify("\n".join(parts[i:end]))
                 if joined not in (NONE, UNKNOWN):
                     # a statement of the later lines alone begins there
-                    if self.confirmed(joined, tokens("\n".join(lines[i + 1 : end]))):
+                    if self.confirmed(joined, tokens("\n".join(parts[i + 1 : end]))):
                         break
-                    family, p, after = joined, q, end
-            if family != NONE:
-                yield family, p, "\n".join(lines[i:after])
+                    family, p, stop = joined, q, end
+            after = stop
+            if family == NONE:
+                continue
+            if family == UNKNOWN and held and all(tokens(x) for x in parts[held[-1][3] : i]):
+                # the rest of a licence text, or one more line of an unknown one
+                before = held.pop()
+                held.append((before[0], max(before[1], p) if before[0] == UNKNOWN else before[1], before[2], stop))
+            else:
+                held.append((family, p, i, stop))
+        for family, p, a, b in held:
+            text = parts[a]
+            for k in range(a + 1, b):
+                text += ("\n" if numbers[k] != numbers[k - 1] else " ") + parts[k]
+            yield family, p, text
 
 
 def fit(plain: list[str]) -> Model:
-    """Train on the fixed statements and the lines of ordinary text; every fifth example is held out for the temperature."""
+    """Train on the fixed statements and the lines of ordinary text.
+
+    The temperature is fitted on held-out parts, by what a statement was made of.
+    """
     made = templates()
-    triples = {g for sets in made.values() for t in sets for g in t} | {g for text, kind in examples() for g in grams(tokens(text)) if kind == UNKNOWN}
-    # a line of a wrapped licence text is no ordinary text
-    plain = [line for line in plain if 2 * len(grams(tokens(line)) & triples) < len(grams(tokens(line)))]
-    rows = examples() + [(line, NONE) for line in plain] + [("", NONE)]
-    classes = [NONE, UNKNOWN, *sorted({c for _, c in rows} - {NONE, UNKNOWN})]
-    order = np.random.default_rng(7).permutation(len(rows))
-    data = [(_slots(tokens(rows[i][0])), classes.index(rows[i][1])) for i in order]
-    w = np.zeros(((1 << BITS) + 1, len(classes)))
-    seen = np.full(w.shape, 1e-6)
-    for _ in range(EPOCHS):
-        for k, (slots, c) in enumerate(data):
-            if k % 5 == 0:
-                continue
-            scale = 1 / np.sqrt(len(slots))
-            z = w[slots].sum(axis=0) * scale
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[c] -= 1
-            g = p * scale
-            seen[slots] += g * g
-            w[slots] -= RATE * g / np.sqrt(seen[slots])
-    held = data[::5]
-    z = np.array([w[s].sum(axis=0) / np.sqrt(len(s)) for s, _ in held])
-    c = np.array([c for _, c in held])
+    held = lambda t: grams(t) | grams(t, 2) | grams(t, 1)
+    plain = [line for line in plain if not any(len(t & own) >= CONFIRM * len(t) for own in [held(tokens(line))] for sets in made.values() for t in sets)]
+    first, plain = gate(plain)
+    rows = examples() + [(text, NONE, line) for line in plain for text in (line, _short(line))] + [("", NONE, "")]
+    classes = [NONE, UNKNOWN, *sorted({c for _, c, _ in rows} - {NONE, UNKNOWN})]
+    data = [_slots(tokens(text)[: 2 * WINDOW]) for text, _, _ in rows]
+    kind = np.array([classes.index(c) for _, c, _ in rows])
+    fold = np.array([zlib.crc32(group.encode()) % FOLDS for _, _, group in rows])
+    z = np.zeros((len(rows), len(classes)))
+    for k in range(FOLDS):
+        old, new = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(old) and len(new):
+            z[new] = _sparse([data[i] for i in new]).times(regress(_sparse([data[i] for i in old]), kind[old], len(classes), (1 << BITS) + 1))
 
     def loss(t: float) -> float:
-        x = z / t
-        x = x - x.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(c)), c]))
+        return float(-np.mean(np.log(_softmax(z / t)[np.arange(len(kind)), kind] + 1e-12)))
 
     best = min(np.geomspace(0.25, 8, 41), key=loss)
-    short = {g for sets in made.values() for t in sets for g in t if len(g) < 3} | {tuple(tokens(k)) for k in KEYWORDS}
-    known = np.unique(np.concatenate([h for g in sorted(triples | short) if len(g) <= 3 for _, _, h in _grams(pa.array([" ".join(g)]), np.zeros(1, np.int64), len(g))]))
+    w = regress(_sparse(data), kind, len(classes), (1 << BITS) + 1)
     longest = max(len(tokens(x)) for values in (*NAMES.values(), *SENTENCES.values()) for x in values)
-    return Model(classes, w, float(best), made, known, longest)
+    return Model(classes, w, float(best), made, first, longest)
 
 
-def _grams(lines: pa.Array, block: np.ndarray, *sizes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First line, last line and hash of every one, two or three (``sizes``) words in a row within a block of lines, in pieces."""
-    h, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for found in _words.words(lines):
-        # the two words before go along, as a piece may end within a block
-        old = min(2, len(h))
-        h, at = np.concatenate([h[len(h) - old :], found.hashes]), np.concatenate([at[len(at) - old :], found.text])
-        for n in sizes:
-            skip = max(0, old - n + 1)
-            size = max(0, len(h) - n + 1)
-            mixed = h[:size] * np.uint64(0)
-            with np.errstate(over="ignore"):
-                for k in range(n):
-                    mixed = mixed * np.uint64(11 - 4 * (k == 1)) + h[k : k + size]
-            one, two = at[:size][skip:], at[n - 1 :][:size][skip:]
-            same = block[one] == block[two]
-            yield one[same], two[same], _words.mix(mixed[skip:][same] + np.uint64(n))
-
-
-def _candidates(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, list[str], list[int]]]:
-    """(text number, its lines, numbers of the lines that hold a known run of words or a part of one)."""
+def _candidates(texts: pa.Array, w: np.ndarray) -> Iterator[tuple[int, list[str], list[int]]]:
+    """(text number, its lines, numbers of the lines that the first model takes for statements)."""
     split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
     lines = split.flatten()
     parent = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-    # blank lines and new texts begin a block
-    blank = ~pc.match_substring_regex(lines, r"\S").to_numpy(zero_copy_only=False)
+    # lines without words and new texts begin a block
+    blank = ~pc.match_substring_regex(lines, r"[A-Za-z0-9]").to_numpy(zero_copy_only=False)
     block = np.cumsum(blank | np.diff(parent, prepend=-1).astype(bool))
-    # the words of tokens(): lower case, other characters than letters, digits and inner . + - are gaps
-    plain = pc.replace_substring_regex(pc.ascii_lower(lines), r"[^a-z0-9.+-]+|[.+-]+(?:[^a-z0-9]|$)|[.+-]{2,}", " ")
-    plain = pc.replace_substring_regex(plain, r"(^|\s)[.+-]+", " ")
-    table = np.zeros(1 << 20, bool)
-    table[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    found = [np.zeros(0, np.int64)]
-    for first, last, hashes in _grams(plain, block, 1, 2, 3):
-        hit = table[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        hit[hit] = np.isin(hashes[hit], known)
-        found += [np.unique(first[hit]), np.unique(last[hit])]
-    wanted = np.unique(np.concatenate(found))
+    wanted = np.flatnonzero(gate_scores(lines, block, w) >= np.log(GATE / (1 - GATE)))
     begins = np.searchsorted(parent, np.arange(len(split)))
     owner = parent[wanted]
     for i in np.unique(owner):
@@ -268,7 +393,7 @@ def _scanner(model: Broadcast) -> Callable:
     def scan_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out: list[list[dict]] = [[] for _ in range(len(texts))]
-            for i, lines, wanted in _candidates(texts, model.value.known):
+            for i, lines, wanted in _candidates(texts, model.value.gate):
                 for family, p, paragraph in model.value.statements(lines, wanted):
                     out[i].append({"family": family, "probability": p, "paragraph": paragraph})
             yield pa.array(out, kind)
@@ -277,16 +402,18 @@ def _scanner(model: Broadcast) -> Callable:
 
 
 def plain_lines(df: DataFrame, text_col: str = "text") -> list[str]:
-    """At most PLAIN lines of the corpus without the words of licence statements, as examples of ordinary text."""
-    lines = df.select(F.explode(F.split(as_text(text_col), "\n", -1)).alias("line"))
-    lines = lines.where(~F.col("line").rlike(r"(?i)licen[cs]e|copyright|rights|public domain|creative commons|spdx") & (F.length("line").between(1, 400)))
-    sample = bounded_sample(lines.select("line", F.xxhash64("line").alias("h")), "h", PLAIN, "line")
+    """At most PLAIN lines of the corpus, as examples of ordinary text: a sample by hash of the lines of a sample of texts."""
+    texts = df.select(as_text(text_col).alias("text"))
+    every = max(1, df.count() // (4 * PLAIN))
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    lines = texts.select(F.explode(F.split("text", "\n", -1)).alias("line")).where("line rlike '[A-Za-z0-9]'")
+    sample = bounded_sample(lines.select(F.substring("line", 1, LINE).alias("line"), F.xxhash64("line").alias("h")), "h", PLAIN, "line")
     return [r.line for r in sample.dropDuplicates(["line"]).orderBy("h", "line").collect()]
 
 
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "licenses") -> DataFrame:
     """Add an array of (family, probability, paragraph), one for each licence statement in the order of the text."""
-    model = df.sparkSession.sparkContext.broadcast(fit(plain_lines(df, text_col)))  # 2 MB of weights
+    model = df.sparkSession.sparkContext.broadcast(fit(plain_lines(df, text_col)))  # 5 MB of weights
     return df.withColumn(out_col, _scanner(model)(as_text(text_col)))
 
 

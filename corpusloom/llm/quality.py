@@ -7,12 +7,14 @@ a word repeats the one before), hashed into ``2**BITS`` slots. A slot's value is
 text's n-grams times ``SCALE``. Nothing but the text is an input.
 
 Training is distributed. At most ``TRAIN_DOCS`` labelled rows, a sample by the hash of their
-id, are dealt to groups of about ``GROUP`` rows; each group runs FTRL-proximal over its own
-rows, and the slot weights are averaged (parameter mixing). The weights are a table of at most ``2**BITS`` rows,
-which bounds what is broadcast for scoring.
+id, are dealt to groups of about ``GROUP`` rows and ``GROUP_ENTRIES`` vector entries; each group runs FTRL-proximal over its own
+rows, and the slot weights are averaged (parameter mixing), in fixed point, so that reruns agree to the bit. The
+weights are a table of at most ``2**BITS`` rows, which bounds what is broadcast for scoring.
 
 Null and empty texts have no features and get the score of the intercept. Without any labelled
-rows the score is 0.5 for every text. Repeated rows are scored alike; other columns pass through.
+rows the score is 0.5 for every text. Repeated rows are scored alike; a repeated row with a label is learned from each
+time. An empty table gives an empty result. Other columns pass through; ``score`` replaces a column called like its
+result, ``keep_good`` replaces none.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import _words
-from corpusloom.llm._shared import as_text, bounded_sample, fresh, quoted
+from corpusloom.llm._shared import as_text, bounded_sample, cut, fresh, quoted
 
 BITS, SCALE = 18, 16.0
 #: Bound of the labelled sample and the size of the groups it is dealt to.
 TRAIN_DOCS, GROUP = 8192, 1024
+#: A group holds about so many entries of sparse vectors; weights are summed as multiples of 1 / FIXED.
+GROUP_ENTRIES, FIXED = 1 << 22, 1 << 32
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.001
 _BIAS = 1 << BITS
 _SALTS = [np.uint64(0x1234567 * (2 * i + 1)) for i in range(5)]
@@ -38,16 +43,20 @@ _SALTS = [np.uint64(0x1234567 * (2 * i + 1)) for i in range(5)]
 
 def _features(found: _words.Words) -> tuple[np.ndarray, np.ndarray]:
     """Text number and slot of every n-gram of the words found."""
-    word, shape, text, run = found
+    word, shape, text, run, carried = found
     second, third = run[1:] >= 1, run[2:] >= 2
+    # n-grams that end in a carried word were counted with the segment before
+    second[: max(0, carried - 1)] = False
+    third[: max(0, carried - 2)] = False
     with np.errstate(over="ignore"):
         pair = (word[:-1] * np.uint64(3) + word[1:])[second]
         same = (word[:-1] == word[1:]).astype(np.uint64)
         shapes2 = (shape[:-1] * np.uint64(5) + shape[1:] + same)[second]
         shapes3 = (shape[:-2] * np.uint64(7) + shape[1:-1] * np.uint64(11) + shape[2:])[third]
-        grams = [word, pair, shape, shapes2, shapes3]
+        grams = [word[carried:], pair, shape[carried:], shapes2, shapes3]
         slots = np.concatenate([_words.mix(g ^ salt) & np.uint64(_BIAS - 1) for g, salt in zip(grams, _SALTS)])
-    return np.concatenate([text, text[1:][second], text, text[1:][second], text[2:][third]]), slots.astype(np.int64)
+    own = text[carried:]
+    return np.concatenate([own, text[1:][second], own, text[1:][second], text[2:][third]]), slots.astype(np.int64)
 
 
 def _vectors(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -86,13 +95,26 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.nd
     return weights(slice(None))
 
 
+@F.arrow_udf(T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]))
+def _sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The sparse vector of each text, so that no text is shuffled or held by a group."""
+    for texts in batches:
+        for at in range(0, len(texts), 64):
+            rows = _vectors(texts.slice(at, 64))
+            parts = [pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float64()))]
+            yield pa.StructArray.from_arrays(parts, ["slots", "values"])
+
+
 def _fit(group: pa.Table) -> pa.Table:
-    """One group's weights: its non-zero slots."""
-    order = np.argsort(group["order"].to_numpy(), kind="stable")
-    group = group.take(pa.array(order))
-    w = ftrl(_vectors(group["text"].combine_chunks()), group["label"].to_numpy())
-    slots = np.flatnonzero(w)
-    return pa.table({"slot": pa.array(slots, pa.int32()), "w": pa.array(w[slots], pa.float64())})
+    """One group's weights: its non-zero slots, as whole multiples of 1 / FIXED so that their sums have no order."""
+    order = np.lexsort((group["key"].to_numpy(), group["order"].to_numpy()))
+    x = group["x"].combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    slots, values = x.field("slots"), x.field("values")
+    rows = [(slots[int(i)].values.to_numpy(), values[int(i)].values.to_numpy()) for i in order]
+    w = np.rint(ftrl(rows, group["label"].to_numpy()[order]) * FIXED).astype(np.int64)
+    kept = np.flatnonzero(w)
+    return pa.table({"slot": pa.array(kept, pa.int32()), "w": pa.array(w[kept], pa.int64())})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> np.ndarray:
@@ -109,14 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         .withColumn("order", F.xxhash64("id"))
     )
     chosen = bounded_sample(chosen, "order", TRAIN_DOCS, "id")
-    shards = max(1, chosen.count() // GROUP)
     # TRAIN_DOCS rows of three numbers bound the broadcast side
     rows = docs.select(key.alias("id"), as_text(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.select("text", "label", "order", F.pmod("order", F.lit(shards)).alias("shard"))
-    fitted = rows.groupBy("shard").applyInArrow(_fit, "slot int, w double")
-    mixed = fitted.groupBy("slot").agg(F.sum("w").alias("w")).toArrow()
+    rows = cut(rows.select(_sparse("text").alias("x"), "label", "order", F.xxhash64("text").alias("key")))
+    found, entries = rows.agg(F.count("*"), F.sum(F.size("x.slots"))).first()
+    shards = max(1, found // GROUP, (entries or 0) // GROUP_ENTRIES)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("order", "key"), F.lit(shards)))
+    mixed = dealt.groupBy("shard").applyInArrow(_fit, "slot int, w long").groupBy("slot").agg(F.sum("w").alias("w")).toArrow()
     out = np.zeros(_BIAS + 1)
-    out[mixed["slot"].to_numpy()] = mixed["w"].to_numpy() / shards
+    out[mixed["slot"].to_numpy()] = mixed["w"].to_numpy() / (FIXED * shards)
     return out
 
 
