@@ -12,8 +12,8 @@ holds the end of a share is looked into, and the plan that documents are matched
 per pattern. The driver holds one row per pattern and source.
 
 Sources are ordered by code point, null last. A null text has size 0 and is never taken. Documents
-of no source (an empty or null membership) are not taken. Rows that tie in the hash at the end of
-a share, such as repeated rows, divide what is left by size, rounded down. An empty table gives an
+of no source (an empty or null membership) are not taken. The hash is of id and text, so that only equal rows tie
+in it; those that tie at the end of a share divide what is left by size, rounded down. An empty table gives an
 empty result; an empty source has target 0.
 """
 
@@ -92,15 +92,19 @@ def repeating(values: tuple[float, ...], sources) -> dict[Source, float]:
     return {s: values[i % len(values)] for i, s in enumerate(in_order(sources))}
 
 
-def mix(df: DataFrame, membership: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, copies: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add size, source_size, target and taken to every row; a column of such a name is replaced.
+NAMES = ("size", "source_size", "target", "taken")
+
+
+def mix(df: DataFrame, membership: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, copies: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """Add size, source_size, target and taken, called by ``names``, to every row; a column of such a name is replaced.
 
     ``membership`` gives the array of sources of a row; source_size and target are those of the
     first of its sources.
     """
+    size_col, source_col, target_col, taken_col = names
     p, h, rounds, edge, rest, tied = fresh(df, "pattern", "hash", "rounds", "edge", "rest", "tied")
     keys = F.array_sort(F.array_distinct(F.transform(F.coalesce(membership, F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("n")))))
-    order = F.xxhash64(F.lit(seed), quoted(id_col).cast("string"))
+    order = F.xxhash64(F.lit(seed), quoted(id_col).cast("string"), as_text(text_col))
     based = df.withColumn(p, keys).withColumn(h, order)
     bin_of = F.shiftrightunsigned(quoted(h), 52)
     spark = df.sparkSession
@@ -112,9 +116,9 @@ def mix(df: DataFrame, membership: Column, weights: tuple[float, ...] = (3, 1, 2
     found = plan({decode(r.p): r.n for r in listed}, repeating(weights, {s for r in listed for s in decode(r.p)}), share, copies)
     shares = []
     for r in listed:
-        names = decode(r.p)
-        full, left = divmod(found.taken[names], r.n) if r.n else (0, 0)
-        one = in_order(names)[0] if names else None
+        members = decode(r.p)
+        full, left = divmod(found.taken[members], r.n) if r.n else (0, 0)
+        one = in_order(members)[0] if members else None
         shares.append((list(r.p), full, left, found.sizes.get(one, 0), float(found.targets.get(one, 0.0))))
     small = (lambda x: F.broadcast(x)) if len(shares) <= BROADCAST_PATTERNS else (lambda x: x)
 
@@ -135,21 +139,27 @@ def mix(df: DataFrame, membership: Column, weights: tuple[float, ...] = (3, 1, 2
     edges = running.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest"))).groupBy("p").agg(F.min_by(F.struct("h", "n", (F.col("rest") - F.col("upto") + F.col("n")).alias("left")), unsigned).alias("e"))
     known = {tuple(r.p): r.e for r in edges.collect()}
     rows = [(key, full, e.h if (e := known.get(tuple(key))) else None, e.left if e else 0, e.n if e else 1, s, t) for key, full, _, s, t in shares]
-    final = spark.createDataFrame(rows, f"{p} array<string>, {rounds} long, {edge} long, {rest} long, {tied} long, source_size long, target double")
-    kept = [c for c in df.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    sized = based.select(*map(quoted, kept), quoted(p), quoted(h), size_of(text_col).alias("size"))
+    final = spark.createDataFrame(rows, f"{p} array<string>, {rounds} long, {edge} long, {rest} long, {tied} long, `{source_col}` long, `{target_col}` double")
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    sized = based.select(*map(quoted, kept), quoted(p), quoted(h), size_of(text_col).alias(size_col))
     flip = F.lit(-(1 << 63))
     part = (
         F.when(quoted(edge).isNull(), 0)
-        .when(quoted(h).bitwiseXOR(flip) < quoted(edge).bitwiseXOR(flip), F.col("size"))
-        .when(quoted(h) == quoted(edge), F.floor(quoted(rest) * F.col("size") / F.greatest(quoted(tied), F.lit(1))))
+        .when(quoted(h).bitwiseXOR(flip) < quoted(edge).bitwiseXOR(flip), quoted(size_col))
+        .when(quoted(h) == quoted(edge), F.floor(quoted(rest) * quoted(size_col) / F.greatest(quoted(tied), F.lit(1))))
         .otherwise(0)
     )
-    return sized.join(small(final), p).select(*map(quoted, kept), "size", "source_size", "target", (F.col("size") * quoted(rounds) + part).cast("long").alias("taken"))
+    taken = (quoted(size_col) * quoted(rounds) + part).cast("long").alias(taken_col)
+    return sized.join(small(final), p).select(*map(quoted, kept), *map(quoted, names[:3]), taken)
 
 
-def repeat(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each time that the mix takes a document; a part of half a document or more counts as one."""
-    (i,) = fresh(df, "copy")
-    times = F.when(quoted("size") > 0, F.floor(quoted("taken") / quoted("size") + F.lit(0.5))).otherwise(0).cast("int")
-    return df.withColumn(i, F.explode(F.array_repeat(F.lit(1), times))).select(*map(quoted, columns))
+def sample(df: DataFrame, membership: Column, **options) -> DataFrame:
+    """``df`` with one row for each time that the mix takes a document; a part of half a document or more counts as one.
+
+    The columns are those of ``df``, whatever their names.
+    """
+    own = fresh(df, *NAMES, "copy")
+    size, taken, copy = own[0], own[3], own[4]
+    mixed = mix(df, membership, names=tuple(own[:4]), **options)
+    times = F.when(quoted(size) > 0, F.floor(quoted(taken) / quoted(size) + F.lit(0.5))).otherwise(0).cast("int")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*map(quoted, df.columns))

@@ -1,24 +1,26 @@
 """Resharding that moves the fewest bytes, solved as a minimum-cost flow.
 
 Old shards supply their bytes, new shards take up to their capacity. A byte that stays in its home
-shard (the new shard with the old one's number) is free, any other costs one. The flow gives the
-blocks: for each pair of shards, how many bytes go from one to the other. An old shard's documents,
-laid out in the order of a seeded hash, are cut into consecutive runs of those sizes; a document goes
-where its middle lies. The smallest documents, about an eighth of all bytes, are placed after the
-others and against the room that is left, so that they level out what long documents overshoot.
-Only new shards whose content changes have to be rewritten.
+shard (the new shard with the old one's number) is free, any other costs one. The flow over all bytes gives the
+blocks: for each pair of shards, how many bytes go from one to the other, in all no more than what old shards hold
+above their capacity. An old shard's documents, laid out in the order of a seeded hash, are cut into consecutive
+runs; a document goes where its middle lies. The long documents are cut in proportion to the blocks; the
+smallest ones, about an eighth of all bytes, are then placed by a second flow against the room that is left, so
+that they level out what long documents overshoot. Together they move what the first flow says, but for the
+documents at the cuts. ``rewrite`` does it on a folder with one subfolder of Parquet files a shard, and writes only
+shards whose content changes.
 
 Positions come from sums of hash bins and a running sum within a bin, so no task holds a shard.
 The driver holds one row per old shard and transfer.
 
 A null text has no bytes. Repeated rows keep their own places. The order of rows that tie in id,
-size and checksum is free, as they are equal. Null old shards form one old shard, the last. An empty
-table gives an empty result.
+size and checksum is free, as they are equal; rows with null ids are told apart by their texts' checksums. Null old
+shards form one old shard, the last. An empty table gives an empty result. Columns called like a result are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._flow import Flow
@@ -69,6 +71,17 @@ def _split(listed: list) -> int:
     return 0
 
 
+def _shared_out(blocks: list[tuple[int, int]], part: int) -> list[tuple[int, int]]:
+    """The blocks scaled down to ``part`` bytes in all, rounded along their running sum."""
+    whole, at, done, out = sum(n for _, n in blocks), 0, 0, []
+    for j, n in blocks:
+        at += n
+        upto = part * at // max(1, whole)
+        out.append((j, upto - done))
+        done = upto
+    return out
+
+
 def _filled(room: list[int], used: list[int]) -> list[int]:
     """What is left of each shard's room; an overshoot is taken from the others' in turn."""
     left = [a - b for a, b in zip(room, used)]
@@ -82,11 +95,12 @@ def _filled(room: list[int], used: list[int]) -> list[int]:
     return left
 
 
-def reshard(df: DataFrame, old: Column, shards: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reshard(df: DataFrame, old: Column, shards: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", numbered: bool = False, slack: float = 0.0) -> DataFrame:
     """Replace the columns of ``df`` that are called size, text_crc32, old_shard, shard or slot; the text itself is left out.
 
-    old_shard is the number of the old shard in the order of ``old`` as text, null last; slot
-    numbers the rows of a new shard from 0.
+    old_shard is the number of the old shard in the order of ``old`` as text, null last, or ``old`` itself where
+    old shards are ``numbered``; slot numbers the rows of a new shard from 0. A home shard may keep its bytes where they
+    exceed the capacity by a share of ``slack`` at most.
     """
     own = ("size", "text_crc32", "old_shard", "shard", "slot")
     kept = [c for c in df.columns if c.lower() not in (*own, text_col.lower())]
@@ -94,25 +108,33 @@ def reshard(df: DataFrame, old: Column, shards: int = 24, seed: int = 42, id_col
     text = as_text(text_col).cast("binary")
     rows = df.select(
         *map(quoted, kept),
-        F.coalesce(F.concat(F.lit("s"), old.cast("string")), F.lit("t")).alias(k),
+        F.coalesce(F.concat(F.lit("s"), F.lpad(old.cast("string"), 12, "0") if numbered else old.cast("string")), F.lit("t")).alias(k),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), quoted(id_col).cast("string"), F.octet_length(text)), 52).alias(h),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), quoted(id_col).cast("string"), F.crc32(text)), 52).alias(h),
     )
     rows = cut(rows)  # a few numbers a document, in place of several passes over the texts
     octave = F.floor(F.log2("size")).cast("int")
     listed = rows.groupBy(quoted(k).alias("k"), octave.alias("octave")).agg(F.sum("size").alias("n")).collect()
     names = sorted({r.k for r in listed})
+    if numbered:
+        # gaps are old shards without bytes
+        names = sorted({*names, *(f"s{i:012d}" for i in range(int(max((n[1:] for n in names if n != "t"), default="-1")) + 1))})
     room = even(sum(r.n for r in listed), shards)
     small = _split(listed)
     rows = rows.withColumn(lane, (octave <= small).cast("int"))
     spark = df.sparkSession
 
-    def solve(which: int, capacity: list[int]) -> list[tuple]:
-        supply = {name: 0 for name in names}
-        for r in listed:
-            supply[r.k] += r.n * ((r.octave <= small) == which)
-        return [(name, which, i, ends) for i, (name, ends) in enumerate(zip(names, _cuts(transfers([supply[n] for n in names], capacity))))]
+    held = {(name, lane_): 0 for name in names for lane_ in (0, 1)}
+    for r in listed:
+        held[r.k, int(r.octave <= small)] += r.n
+    for i, n in enumerate(names[:shards]):
+        room[i] = max(room[i], min(held[n, 0] + held[n, 1], int(room[i] * (1 + slack))))
+    blocks = transfers([held[n, 0] + held[n, 1] for n in names], room)
+    large = [_shared_out(block, held[n, 0]) for n, block in zip(names, blocks)]
+
+    def listed_cuts(which: int, found: list[list[tuple[int, int]]]) -> list[tuple]:
+        return [(name, which, i, ends) for i, (name, ends) in enumerate(zip(names, _cuts(found)))]
 
     def place(part: DataFrame, plan: list[tuple]) -> DataFrame:
         plan = spark.createDataFrame(plan, f"{k} string, {lane} int, old_shard int, {cuts} array<struct<upto: long, shard: int>>")
@@ -128,10 +150,10 @@ def reshard(df: DataFrame, old: Column, shards: int = 24, seed: int = 42, id_col
             .withColumn("shard", F.element_at(F.transform(F.filter(quoted(cuts), lambda c: c["upto"] > middle), lambda c: c["shard"]), 1))
         )
 
-    large_total = sum(r.n for r in listed if r.octave > small)
-    large = solve(0, even(large_total, shards))
-    used = {r[0]: r[1] for r in place(rows.where(quoted(lane) == 0), large).groupBy("shard").agg(F.sum("size")).collect()}
-    placed = place(rows, large + solve(1, _filled(room, [used.get(j, 0) for j in range(shards)])))
+    long = listed_cuts(0, large)
+    used = {r[0]: r[1] for r in place(rows.where(quoted(lane) == 0), long).groupBy("shard").agg(F.sum("size")).collect()}
+    rest = transfers([held[n, 1] for n in names], _filled(room, [used.get(j, 0) for j in range(shards)]))
+    placed = place(rows, long + listed_cuts(1, rest))
     placed = placed.withColumn(rn, F.row_number().over(Window.partitionBy(k, lane, h, "shard").orderBy(upto)))
     counts = placed.groupBy(k, lane, h, "shard").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy(k, lane, h)) - F.col("n")).drop("n")
@@ -139,14 +161,29 @@ def reshard(df: DataFrame, old: Column, shards: int = 24, seed: int = 42, id_col
 
 
 def affected(df: DataFrame) -> DataFrame:
-    """The new shards that differ from the old shard of their number, with rows and bytes to write."""
+    """The shards that differ from the old shard of their number, with rows and bytes to write (0 where one becomes empty)."""
     moved = F.col("old_shard") != F.col("shard")
-    gone = df.where(moved).select(F.col("old_shard").alias("shard")).distinct()
-    came = df.where(moved).select("shard").distinct()
-    return df.join(gone.union(came).distinct(), "shard", "left_semi").groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    gone = df.where(moved).select(F.col("old_shard").alias("shard"))
+    touched = gone.union(df.where(moved).select("shard")).distinct()
+    sizes = df.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    return touched.join(sizes, "shard", "left").select("shard", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
 
+def rewrite(spark: SparkSession, path: str, shards: int, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.05) -> DataFrame:
+    """Reshard a folder of ``shard=N`` subfolders in place; returns (shard, rows, bytes) of the shards that were written.
 
-def rewrite(df: DataFrame, path: str) -> None:
-    """Write the files of the affected shards only, one folder a shard; other folders stay as they are."""
-    touched = df.join(affected(df).select("shard"), "shard", "left_semi")
-    touched.repartition("shard").sortWithinPartitions("shard", "slot").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(path)
+    The files of shards whose content stays are not touched. What moves is first kept in the checkpoint folder, so that
+    no row is only in memory while its file is replaced; a shard that becomes empty is deleted.
+    """
+    (i,) = fresh(spark.read.parquet(path), "row")
+    rows = cut(spark.read.parquet(path).withColumn(i, F.monotonically_increasing_id()))
+    placed = cut(reshard(rows, F.col("shard"), shards, seed, id_col, text_col, numbered=True, slack=slack).select(i, F.col("old_shard"), F.col("shard").alias("to"), "slot", "size"))
+    touched = cut(affected(placed.select("old_shard", F.col("to").alias("shard"), "size")))
+    whole = rows.drop("shard").join(placed.join(touched.select(F.col("shard").alias("to")), "to"), i)
+    whole = whole.withColumn("shard", F.col("to")).repartition("shard").sortWithinPartitions("shard", "slot").select(*[quoted(c) for c in rows.columns if c not in (i, "shard")], "shard")
+    whole.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(path)
+    emptied = [r.shard for r in touched.where("rows = 0").select("shard").collect()]
+    for shard in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched

@@ -286,6 +286,29 @@ def test_image_copies(spark):
     assert image_copies.classes(df.where("false")).count() == 0
 
 
+def test_image_recall_with_hot_keys(spark):
+    """Edited copies of 60 pictures, a third of all with the same logo: at least 0.9 are found, and nothing else is joined."""
+    rng = np.random.default_rng(21)
+    logo = np.kron(rng.integers(0, 256, (6, 6)).astype(float), np.ones((6, 6)))
+    pictures = []
+    for i in range(60):
+        size = int(rng.integers(10, 17))
+        x = np.kron(np.random.default_rng(1000 + i).integers(0, 256, (size, size)).astype(float), np.ones((10, 10)))
+        if i % 3 == 0:
+            x[8:44, 8:44] = logo
+        pictures.append(x)
+    edits = [lambda x: x[20:, 10:], lambda x: np.clip(x * 0.8 + 25, 0, 255), lambda x: np.rot90(x, 1), lambda x: np.clip(x + rng.normal(0, 4, x.shape), 0, 255), lambda x: image_copies._scaled(x[None].astype(np.float32), 0.7)[0]]
+    rows = [(i, bytearray(image_copies.pgm(x))) for i, x in enumerate(pictures)]
+    rows += [(1000 + i, bytearray(image_copies.pgm(edits[i % len(edits)](x)))) for i, x in enumerate(pictures)]
+    # a group of very many copies of one picture
+    rows += [(5000 + n, bytearray(image_copies.pgm(np.clip(pictures[1] + rng.normal(0, 3, pictures[1].shape), 0, 255)))) for n in range(20)]
+    got = {r.id: r.class_id for r in image_copies.classes(spark.createDataFrame(rows, "vec_id long, image binary").repartition(8)).collect()}
+    found = {name: np.mean([got[1000 + i] == got[i] for i in range(60) if i % len(edits) == e]) for e, name in enumerate(["crop", "light", "turn", "noise", "scale"])}
+    assert np.mean([got[1000 + i] == got[i] for i in range(60)]) >= 0.9, found
+    assert np.mean([got[5000 + n] == got[1] for n in range(20)]) >= 0.9
+    assert all(got[i] == i for i in range(60))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
