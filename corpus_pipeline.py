@@ -3,7 +3,14 @@
 Documents that the quality classifier rejects go; repeated runs of lines are deleted from the later
 texts; of each group of near-duplicates one document stays; sources are mixed to their target
 weights, a document once for each time it is taken; the texts that are left are coded as token ids.
-Every stage but the last returns the columns of documents.
+Every stage but the last returns the columns of documents, whatever others than doc_id, text, lang and source there
+are; the last returns doc_id, lang, source and what the coding yields.
+
+A null text counts as an empty one: it is scored by the classifier's intercept, has no lines or ids, is a copy of any
+other empty text and is never taken by the mix. Null ids and sources are values like any other, last in order.
+Repeated rows are scored alike, keep the same lines, are one group of near-duplicates of which one row stays. Texts of any
+length are worked through whole. An empty table gives an empty result. ``run`` writes each stage to the
+checkpoint folder and goes on from there, so that no stage is computed twice.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, line_dedup, mixing, quality, simhash
-from corpusloom.llm._shared import table
+from corpusloom.llm._shared import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,7 +42,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat(mixing.mix(docs, F.array("source")), docs.columns)
+    return mixing.sample(docs, F.array("source"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
