@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import ops_queries, search_queries, text_queries, train_queries
+from corpusloom.plans import ops_queries, search_queries, store_queries, text_queries, train_queries
 from corpusloom.plans._registry import Query
 
-MODULES = [text_queries, search_queries, ops_queries, train_queries]
+MODULES = [text_queries, search_queries, ops_queries, train_queries, store_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -54,6 +54,44 @@ def rate_limit(stream: DataFrame, key: str = "user_id", ts: str = "ts", most: in
     return stream.groupBy(key).applyInPandasWithState(run, "event_id long, accepted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def to_files(stream: DataFrame, out: str, state: str):
+    """Append a stream's rows to Parquet files, until what there is has been read."""
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+
+
+def last_batch(stream: DataFrame, out: str, state: str) -> DataFrame:
+    """The complete result of an aggregate after the last batch, through files that each batch writes anew."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(out)
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+
+
+def timeouts(stream: DataFrame, key: str, ts: str, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """(key, at): the times at which a key had been silent for ``seconds``, by a timer in event time or, where a later
+    event is read first, by the gap before it. The last silence ends with the stream and is not reported."""
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        at = sorted(t.timestamp() for batch in batches for t in batch[ts])
+        found = []
+        for t in at:
+            if last is not None and t - last > seconds:
+                found.append(last + seconds)
+            last = t if last is None else max(last, t)
+        state.update((last,))
+        yield pd.DataFrame({key: [name[0]] * len(found), "at": found})
+
+    return stream.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(run, f"{key} long, at double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream yields from what there is now, as a table in memory; for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
