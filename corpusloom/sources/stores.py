@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.sources import sinks
 
@@ -38,13 +39,13 @@ def numbered_export(df: DataFrame, path: str) -> DataFrame:
 
 
 # --- vectors as blobs of 32-bit floats ---
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
