@@ -433,7 +433,7 @@ add("st_dedup_idempotency", st_idempotency, "SELECT DISTINCT user_id AS tenant,
 
 
 def st_stuck(spark, sf_dir):
-    """A user's session that is not ended in time is reclaimed by a timer in event time."""
+    """A user's session that is silent for a day is reclaimed when the next event comes."""
     return drained(I.timeouts(T.events_stream(spark, sf_dir), "user_id", "ts", 24 * 3600)).groupBy("user_id").agg(F.count("*").alias("reclaimed"))
 
 

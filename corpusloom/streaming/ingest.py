@@ -72,13 +72,10 @@ def last_batch(stream: DataFrame, out: str, state: str) -> DataFrame:
 
 
 def timeouts(stream: DataFrame, key: str, ts: str, seconds: int, delay: str = "1 hour") -> DataFrame:
-    """(key, at): the times at which a key had been silent for ``seconds``, by a timer in event time or, where a later
-    event is read first, by the gap before it. The last silence ends with the stream and is not reported."""
+    """(key, at): the times at which a key had been silent for ``seconds``, found when its next event comes, by the state
+    of its last one. The silence after the last event is not reported."""
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         at = sorted(t.timestamp() for batch in batches for t in batch[ts])
         found = []
