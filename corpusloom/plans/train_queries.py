@@ -145,7 +145,7 @@ add(
     features,
     f"WITH {_SEEDS}, t AS (SELECT seed_id, {_CH.format(c='instruction', n=40)} AS p, {_CH.format(c='output', n=60)} AS r FROM s), u AS (SELECT seed_id, p, r, list_slice(list_concat(p, r), -24, -1) AS x, greatest(len(p) - greatest(len(p) + len(r) - 24, 0), 0) AS np, greatest(24 - len(p) - len(r), 0) AS gap FROM t) SELECT seed_id, list_concat(list_resize([]::INTEGER[], gap, 0), x) AS input_ids, list_concat(list_resize([]::INTEGER[], gap + np, -100), list_slice(x, np + 1, 24)) AS labels, list_concat(list_resize([]::INTEGER[], gap, 0), list_resize([]::INTEGER[], len(x), 1)) AS attention_mask FROM u",
 )
-add("agg_rouge_l", lambda s, d: P.O.preceding_question(P.messages(s, d)).where("question is not null and turn < 4").select("message_id", F.round(T.rouge_l(X.word_tokens(F.col("text")), X.word_tokens(F.col("question"))), 6).alias("rouge_l")))
+add("agg_rouge_l", lambda s, d: P.O.preceding_question(P.messages(s, d)).where("question is not null").select("message_id", F.round(T.rouge_l(X.word_tokens(F.col("text")), X.word_tokens(F.col("question"))), 6).alias("rouge_l")))
 add(
     "ds_qa_filter",
     lambda s, d: seeds(s, d).where(~X.is_refusal(F.col("output")) & F.length(X.strip(F.col("instruction"))).between(10, 200) & F.length(X.strip(F.col("output"))).between(30, 2000)).select("seed_id"),
