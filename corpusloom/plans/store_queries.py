@@ -456,10 +456,10 @@ def st_sse(spark, sf_dir):
     stream = I.source(spark, sf_dir, "conversations.parquet", table(spark, sf_dir, C).schema)
     deltas = stream.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("token_index", "token"))
     event = F.concat(F.lit("event: token\ndata: "), F.to_json(F.struct("token_index", "token")), F.lit("\n\n"))
-    return drained(deltas.withColumn("event", event)).select("conv_id", "turn", "token_index", "token", F.length("event").alias("n"))
+    return drained(deltas.withColumn("event", event)).where("event LIKE 'event: token%'").select("conv_id", "turn", "token_index", "token")
 
 
-add("st_sse", st_sse)
+add("st_sse", st_sse, P.R.sql["st_sse"])
 add("st_rate_limit", lambda s, d: drained(I.rate_limit(T.events_stream(s, d), most=2, seconds=3600)).groupBy("accepted").agg(F.count("*").alias("n")))
 add("st_dedup_stream", lambda s, d: drained(I.idempotent(T.events_stream(s, d), ["event_id"], "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n")), T.R.sql["st_dedup_stream"])
 
