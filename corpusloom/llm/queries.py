@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk
+from corpusloom.llm import byte_bpe, hard_negatives, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk
 from corpusloom.llm._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,11 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_copies.classes(images).withColumnRenamed("id", "vec_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 #: Right for the generated pages, whose article is one element with h1 and p blocks and four kinds of references.
 OP3_SQL = r"""
 WITH parts AS (
@@ -97,11 +102,34 @@ QUALIFY row_number() OVER w <= 10
 """
 
 
+OP12_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS anchor_id, c.vec_id AS other_id, q.label = c.label AS same,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "pipeline": corpus_pipeline.run}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "op12_hard_negatives": op12_hard_negatives, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_html_extract": OP3_SQL, "op8_topk": OP8_SQL}
+    return {"op3_html_extract": OP3_SQL, "op8_topk": OP8_SQL, "op12_hard_negatives": OP12_SQL}
