@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, hard_negatives, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk
+from corpusloom.llm import byte_bpe, hard_negatives, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk, toxicity
 from corpusloom.llm._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,11 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_copies.classes(images).withColumnRenamed("id", "vec_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -128,7 +133,7 @@ QUALIFY row_number() OVER w <= 3
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "op12_hard_negatives": op12_hard_negatives, "pipeline": corpus_pipeline.run}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "op11_toxicity": op11_toxicity, "op12_hard_negatives": op12_hard_negatives, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
