@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, hard_negatives, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk, toxicity
+from corpusloom.llm import byte_bpe, collocations, hard_negatives, html_extract, image_copies, license_scan, line_dedup, mixing, quality, resharding, simhash, topk, toxicity
 from corpusloom.llm._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text")).drop("cut")
+
+
 #: Right for the generated pages, whose article is one element with h1 and p blocks and four kinds of references.
 OP3_SQL = r"""
 WITH parts AS (
@@ -130,11 +134,50 @@ QUALIFY row_number() OVER w <= 3
 """
 
 
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), f AS (
+    SELECT lang, phrase, k, count(*) AS f FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM words, (SELECT unnest(range(1, 6)) AS k)
+    ) GROUP BY lang, phrase, k HAVING count(*) >= 100
+), found AS (
+    SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), covered AS (
+    SELECT lang, inner_phrase AS phrase, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(w[2:], ' '), array_to_string(w[:k - 1], ' ')]) AS inner_phrase FROM found WHERE k > 2
+    ) GROUP BY ALL
+), kept AS (
+    SELECT found.* FROM found LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+    SELECT kept.lang, kept.phrase, kept.a, c.cut, x.f AS l, y.f AS r, t.n,
+           1000 * kept.a::HUGEINT * t.n::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT) AS score
+    FROM kept JOIN (SELECT unnest(range(1, 5)) AS cut) c ON c.cut < kept.k
+    JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(kept.w[:c.cut], ' ')
+    JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(kept.w[c.cut + 1:], ' ')
+    JOIN totals t ON t.lang = kept.lang
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, CAST(row_number() OVER o AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER o <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "op11_toxicity": op11_toxicity, "op12_hard_negatives": op12_hard_negatives, "pipeline": corpus_pipeline.run}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_license_scan": op2_license_scan, "op3_html_extract": op3_html_extract, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_resharding": op6_resharding, "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_image_copies": op10_image_copies, "op11_toxicity": op11_toxicity, "op12_hard_negatives": op12_hard_negatives, "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_html_extract": OP3_SQL, "op8_topk": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op3_html_extract": OP3_SQL, "op8_topk": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_collocations": OP13_SQL}
