@@ -1,18 +1,50 @@
-"""Byte-pair encoding learned from word counts: merges chosen on summed pair counts, ties to the larger pair."""
+"""Byte-pair encoding: counts of pieces, training, and a tokenizer that is saved, loaded, and encodes with special tokens.
+
+Training takes the pair with the highest count each time, ties to the larger pair, as a plain loop over all words would;
+the result is the same whatever the partitions. The distinct pieces with their counts stay packed in the tasks that hold them. A
+round is one job:
+
+- The driver predicts the next merges. It knows the exact counts of all pairs above a floor (at most ``KNOWN``), and estimates from
+  ``SAMPLE`` of the commonest pieces how a merge changes the counts of the pairs beside it.
+- Each task applies the predicted merges to its own pieces, finding the places of a pair by an inverted index and
+  bringing only them up to date, and sends what every merge changes in the counts. These changes are summed.
+- With the exact changes the driver checks the prediction step by step: merges are accepted up to the first that is not
+  the highest pair. The first always is, and most rounds accept tens of them.
+
+Counts only fall, but for pairs with the new token, whose changes are all known; so counts above the floor stay exact
+until the highest comes down to it, when the pairs are counted anew. The driver holds the merges, the sample and the pairs above the floor, and
+of a round's changes at most ``BATCH`` times twice the vocabulary.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import heapq
+import json
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import cut
+
+#: Runs of white space and of other characters; white space is the six ASCII characters in both engines and in Python.
+PATTERN = "[ \\t\\n\\x0B\\f\\r]+|[^ \\t\\n\\x0B\\f\\r]+"
+KNOWN, SAMPLE, BATCH, GROUP, PENDING = 20_000, 20_000, 96, 1 << 16, 256
+_MERGES = "rank int, a int, b int, id int"
 
-def word_counts(df: DataFrame) -> DataFrame:
-    """(piece, n): runs of white space and of other characters; the only step that reads the texts."""
-    pieces = F.regexp_extract_all(F.col(df.columns[0]), F.lit(r"(\s+|\S+)"), 1)
-    return df.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+def pieces(text: Column, pattern: str = PATTERN) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+
+
+def word_counts(df: DataFrame, pattern: str = PATTERN) -> DataFrame:
+    """(piece, n); the only step that reads the texts."""
+    return df.select(F.explode(pieces(F.col(df.columns[0]), pattern)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
 def byte_words(counts: DataFrame) -> DataFrame:
@@ -27,86 +59,386 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where(F.size("ids") > 1).select("n", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
-def _symbol(token: int) -> str:
-    """A token as one character, so that a merge is one replacement of a string; surrogates are left out."""
-    return chr(256 + token if token < 0xD700 else 2304 + token)
-
-
-def train(counts: DataFrame, merges: int, save_every: int = 16) -> DataFrame:
-    """(rank, a, b, id): the first merges. Each needs one aggregate over the distinct words; the driver sees one row a merge."""
-    of_byte = F.array(*(F.lit(_symbol(b)) for b in range(256)))
-    words = byte_words(counts).select(F.array_join(F.transform("ids", lambda b: F.get(of_byte, b)), "").alias("word"), "n")
-    words = words.groupBy("word").agg(F.sum("n").alias("n")).persist()
-    tokens = {_symbol(b): b for b in range(256)}
-    found = []
-    for k in range(merges):
-        at = F.sequence(F.lit(1), F.char_length("word") - 1)
-        pairs = words.where(F.char_length("word") > 1).select("n", F.explode(F.transform(at, lambda i: F.substr("word", i, F.lit(2)))).alias("pair"))
-        best = pairs.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("pair")).first()
-        if best is None:
-            break
-        new = 256 + k
-        found.append((k, tokens[best.pair[0]], tokens[best.pair[1]], new))
-        tokens[_symbol(new)] = new
-        words = words.withColumn("word", F.replace("word", F.lit(best.pair), F.lit(_symbol(new))))
-        if (k + 1) % save_every == 0:
-            words = words.persist()
-    return counts.sparkSession.createDataFrame(found, "rank int, a int, b int, id int")
-
-
-def _tables(merges: DataFrame) -> tuple[dict[tuple[int, int], int], dict[int, bytes]]:
-    """The merge table is as long as the vocabulary asked for, so it fits the driver."""
-    ranks, vocabulary = {}, {i: bytes([i]) for i in range(256)}
-    for r in sorted(merges.collect(), key=lambda r: r.rank):
-        ranks[r.a, r.b] = r.id
-        vocabulary[r.id] = vocabulary[r.a] + vocabulary[r.b]
-    return ranks, vocabulary
-
-
-def encode(df: DataFrame, merges: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    ranks, _ = _tables(merges)
-
-    def word(piece: str) -> list[int]:
-        ids = list(piece.encode())
-        while len(ids) > 1:
-            pair = min(zip(ids, ids[1:]), key=lambda p: ranks.get(p, 1 << 60))
-            if pair not in ranks:
+class Pieces:
+    """Some pieces as one sequence of tokens with links, so that a merge touches only the places where it applies."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray):
+        n = len(ids)
+        self.ids, self.counts = ids.astype(np.int64), np.repeat(counts.astype(np.int64), lengths)
+        self.of = np.repeat(np.arange(len(lengths)), lengths)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths)
+        self.after[ends[lengths > 0] - 1] = -1
+        self.before[(ends - lengths)[lengths > 0]] = -1
+        self.piece_counts = counts.astype(np.int64)
+        self.places: dict[int, list[np.ndarray]] = {}
+
+    def copy(self) -> Pieces:
+        out = copy.copy(self)
+        out.ids, out.after, out.before, out.places = self.ids.copy(), self.after.copy(), self.before.copy(), {}
+        return out
+
+    @staticmethod
+    def key(a, b):
+        return a << 32 | b
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of all pairs."""
+        at = np.flatnonzero(self.after >= 0)
+        key, place = np.unique(self.key(self.ids[at], self.ids[self.after[at]]), return_inverse=True)
+        return key, np.bincount(place, self.counts[at], len(key)).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+
+    def index(self, wanted: np.ndarray) -> None:
+        """Find the places of the pairs that are about to be merged."""
+        at = np.flatnonzero(self.after >= 0)
+        key = self.key(self.ids[at], self.ids[self.after[at]])
+        chosen = np.isin(key, wanted)
+        at, key = at[chosen], key[chosen]
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        self.places = {int(key[c]): [p] for c, p in zip(cuts, np.split(at, cuts[1:]))}
+
+    def merge(self, a: int, b: int, new: int, wanted: set[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Merge a pair wherever it is; keys of pairs and the changes of their counts. Places of new pairs in ``wanted`` (None: all) are kept."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = self.places.pop(self.key(a, b), None)
+        if held is None:
+            return none
+        p = np.unique(np.concatenate(held))
+        p = p[(self.ids[p] == a) & (self.after[p] >= 0)]
+        p = p[self.ids[self.after[p]] == b]
+        if a == b:  # of a run, every second from its left
+            taken, last = [], -1
+            for x in p.tolist():
+                if x != last:
+                    taken.append(x)
+                    last = self.after[x]
+            p = np.array(taken, np.int64)
+        if not len(p):
+            return none
+        q = self.after[p]
+        left, right, w = self.before[p], self.after[q], self.counts[p]
+        merged = np.zeros(len(self.ids), bool) if len(p) > 1000 else None
+        if merged is None:
+            right_merged, left_merged = np.isin(right, p), np.isin(left, q)
+        else:
+            merged[p] = True
+            right_merged = merged[right] & (right >= 0)
+            merged[p], merged[q] = False, True
+            left_merged = merged[left] & (left >= 0)
+        has_right, has_left = right >= 0, (left >= 0) & ~left_merged
+        changes = [
+            (np.full(len(p), self.key(a, b)), -w),
+            (self.key(b, self.ids[right[has_right]]), -w[has_right]),
+            (self.key(self.ids[left[has_left]], a), -w[has_left]),
+            (self.key(np.int64(new), np.where(right_merged, new, self.ids[right])[has_right]), w[has_right]),
+            (self.key(self.ids[left[has_left]], np.int64(new)), w[has_left]),
+        ]
+        self.ids[p], self.ids[q] = new, -1
+        self.after[p] = right
+        self.before[right[has_right]] = p[has_right]
+        for (key, _), at in ((changes[3], p[has_right]), (changes[4], left[has_left])):
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, int)
+            for k, found in zip(key[order][cuts].tolist(), np.split(at[order], cuts[1:])):
+                if wanted is None or k in wanted:
+                    self.places.setdefault(k, []).append(found)
+        key, place = np.unique(np.concatenate([k for k, _ in changes]), return_inverse=True)
+        change = np.bincount(place, np.concatenate([c for _, c in changes]), len(key)).astype(np.int64)
+        return key[change != 0], change[change != 0]
+
+    def apply(self, merges: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        wanted = {self.key(a, b) for a, b, _ in merges}
+        self.index(np.array(sorted(wanted), np.int64))
+        return [self.merge(*m, wanted) for m in merges]
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is left, as (ids, lengths, counts); pieces of a single token are in no pair and left out."""
+        live = self.ids >= 0
+        lengths = np.bincount(self.of[live], minlength=len(self.piece_counts))
+        kept = lengths > 1
+        return self.ids[live & kept[self.of]], lengths[kept], self.piece_counts[kept]
+
+
+def _row(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({name: pa.array([x.astype(kind).tobytes()], pa.binary()) for name, x, kind in (("ids", ids, np.int32), ("lengths", lengths, np.int32), ("counts", counts, np.int64))})
+
+
+_PACKED, _CHANGES = "ids binary, lengths binary, counts binary", "step int, pair long, n long"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of at most GROUP pieces each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            part = batch.slice(at, GROUP)
+            data = [p.encode() for p in part["piece"].to_pylist()]
+            yield _row(np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data]), part["n"].to_numpy())
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
+    for batch in batches:
+        for ids, lengths, counts in zip(*(batch[c] for c in ("ids", "lengths", "counts"))):
+            yield Pieces(*(np.frombuffer(x.as_py(), kind) for x, kind in ((ids, np.int32), (lengths, np.int32), (counts, np.int64))))
+
+
+def _changed(done: list[tuple[int, int, int]], tried: list[tuple[int, int, int]]) -> Callable:
+    """Changes of the pairs' counts at each of the merges tried, after those done; with none tried, all counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            held.apply(done)
+            for step, (key, n) in enumerate(held.apply(tried) if tried else [held.pairs()]):
+                yield pa.record_batch({"step": pa.array(np.full(len(key), step, np.int32)), "pair": pa.array(key), "n": pa.array(n)})
+
+    return run
+
+
+def _applied(done: list[tuple[int, int, int]]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            held.apply(done)
+            yield _row(*held.packed())
+
+    return run
+
+
+class _Known:
+    """Counts of pairs with the highest at hand: by count, then by pair."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.counts = dict(counts)
+        self.heap = [(-n, -k) for k, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def best(self) -> tuple[int, int] | None:
+        while self.heap:
+            n, k = -self.heap[0][0], -self.heap[0][1]
+            if n > 0 and self.counts.get(k) == n:
+                return k, n
+            heapq.heappop(self.heap)
+        return None
+
+    def change(self, key: int, by: float, create: bool) -> None:
+        """A pair that is not known is below the floor, unless it has the new token."""
+        if key in self.counts or create:
+            self.counts[key] = now = self.counts.get(key, 0) + by
+            heapq.heappush(self.heap, (-now, -key))
+
+
+def _predicted(known: _Known, sample: Pieces, first: int, most: int, floor: int) -> list[tuple[int, int, int]]:
+    """The next merges, by exact counts where they are known and by what they do to the sample elsewhere."""
+    guess, out, seen = _Known(known.counts), [], dict(zip(*(x.tolist() for x in sample.pairs())))
+    ids = first
+    sample.index(np.array(sorted(guess.counts), np.int64))
+    while len(out) < most and (best := guess.best()) is not None and best[1] > floor:
+        key, n = best
+        a, b = key >> 32, key & 0xFFFFFFFF
+        out.append((a, b, ids))
+        changed, by = sample.merge(a, b, ids, None)
+        share = n / seen[key] if seen.get(key) else 0
+        guess.counts.pop(key)
+        for k, d in zip(changed.tolist(), by.tolist()):
+            seen[k] = seen.get(k, 0) + d
+            if k != key:
+                fresh = (k >> 32) == ids or (k & 0xFFFFFFFF) == ids
+                guess.change(k, d * share if fresh or share else d, fresh)
+        if not share:
+            break  # the sample says nothing about what follows
+        ids += 1
+    return out
+
+
+def train(counts: DataFrame, merges: int) -> DataFrame:
+    """(rank, a, b, id) of the first merges, at most ``merges`` and no more than there are pairs.
+
+    ``counts``: piece, n. Null and empty pieces count for nothing; repeated pieces are added up. Without any piece of two bytes
+    the result is empty.
+    """
+    spark = counts.sparkSession
+    whole = counts.where("piece IS NOT NULL AND piece <> ''").groupBy("piece").agg(F.sum("n").alias("n")).where(F.octet_length("piece") > 1)
+    packed = cut(whole.mapInArrow(_pack, _PACKED))
+    first = whole.orderBy(F.desc("n"), "piece").limit(SAMPLE).toArrow()
+    data = [p.encode() for p in first["piece"].to_pylist()]
+    sample = Pieces(np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], int), first["n"].to_numpy())
+    found: list[tuple[int, int, int]] = []
+    pending: list[tuple[int, int, int]] = []
+    known, floor, size = _Known({}), 0, 16
+    while len(found) < merges:
+        best = known.best()
+        if best is None or best[1] <= floor:
+            if len(found) and floor == 0:
                 break
-            out, i = [], 0
-            while i < len(ids):
-                hit = i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair
-                out.append(ranks[pair] if hit else ids[i])
-                i += 1 + hit
-            ids = out
-        return ids
-
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-
-        memo: dict[str, list[int]] = {}
-        for batch in batches:
-            out = []
-            for text in batch:
+            packed, pending = cut(packed.mapInArrow(_applied(pending), _PACKED)) if pending else packed, []
+            pairs = packed.mapInArrow(_changed([], []), _CHANGES).groupBy("pair").agg(F.sum("n").alias("n"))
+            top = pairs.orderBy(F.desc("n"), F.desc("pair")).limit(KNOWN + 1).toArrow()
+            n = top["n"].to_numpy()
+            # pairs with as many occurrences as the last row are not all there
+            floor = int(n[-1]) if len(n) > KNOWN else 0
+            if floor and floor == n[0]:
+                raise ValueError(f"more than {KNOWN} pairs share the highest count")
+            known = _Known({k: c for k, c in zip(top["pair"].to_pylist(), n.tolist()) if c > floor})
+            if known.best() is None:
+                break
+        tried = _predicted(known, sample.copy(), 256 + len(found), min(size, merges - len(found)), floor)
+        parts = packed.mapInArrow(_changed(pending, tried), _CHANGES).groupBy("step", "pair").agg(F.sum("n").alias("n")).toArrow()
+        step = parts["step"].to_numpy()
+        order = np.argsort(step, kind="stable")
+        ends = np.searchsorted(step[order], np.arange(len(tried) + 1))
+        pair, change = parts["pair"].to_numpy()[order], parts["n"].to_numpy()[order]
+        accepted = []
+        for i, (a, b, new) in enumerate(tried):
+            best = known.best()
+            if best is None or best[1] <= floor or best[0] != Pieces.key(a, b):
+                break
+            for k, d in zip(pair[ends[i] : ends[i + 1]].tolist(), change[ends[i] : ends[i + 1]].tolist()):
+                known.change(k, d, (k >> 32) == new or (k & 0xFFFFFFFF) == new)
+            known.counts.pop(Pieces.key(a, b), None)
+            accepted.append((a, b, new))
+        sample.apply(accepted)
+        # what is not above the floor does not come back
+        known = _Known({k: n for k, n in known.counts.items() if n > floor})
+        found, pending = found + accepted, pending + accepted
+        size = min(BATCH, 2 * max(4, len(accepted)))
+        if len(pending) >= PENDING:
+            packed, pending = cut(packed.mapInArrow(_applied(pending), _PACKED)), []
+    return spark.createDataFrame([(k, a, b, new) for k, (a, b, new) in enumerate(found)], _MERGES)
+
+
+def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
+    """The merge of lowest rank first, from left to right, as long as there is one; n log n in the length."""
+    n = len(ids)
+    ids, after, before = [*ids], [*range(1, n), -1], [*range(-1, n - 1)]
+    heap = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        new, i = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j < 0 or ranks.get((ids[i], ids[j])) != new:
+            continue
+        ids[i], ids[j], after[i] = new, -1, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for left in (before[i], i):
+            if left >= 0 and after[left] >= 0 and (rank := ranks.get((ids[left], ids[after[left]]))) is not None:
+                heapq.heappush(heap, (rank, left))
+    return [t for t in ids if t >= 0]
+
+
+class Trie:
+    """Finds given strings in a text: the leftmost, of those that begin at one place the first given."""
+
+    def __init__(self, words: list[str]):
+        self.root: dict = {}
+        for i, word in enumerate(words):
+            node = self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            node.setdefault("", i)
+        self.words = words
+
+    def split(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """(what is between, None) and (word, its number) in order; empty parts are left out."""
+        begin = at = 0
+        while at < len(text):
+            node, found = self.root, None
+            for c in range(at, len(text)):
+                node = node.get(text[c])
+                if node is None:
+                    break
+                if "" in node and (found is None or node[""] < found):
+                    found = node[""]
+            if found is None or not self.words[found]:
+                at += 1
+                continue
+            if begin < at:
+                yield text[begin:at], None
+            yield self.words[found], found
+            begin = at = at + len(self.words[found])
+        if begin < len(text):
+            yield text[begin:], None
+
+
+class Tokenizer:
+    """A vocabulary of 256 bytes, one token a merge, and special tokens with the numbers after them."""
+
+    def __init__(self, merges: list[tuple[int, int]], specials: list[str] | None = None, pattern: str = PATTERN):
+        self.merges, self.pattern = [tuple(m) for m in merges], pattern
+        self.vocabulary = {i: bytes([i]) for i in range(256)}
+        for i, (a, b) in enumerate(self.merges):
+            self.vocabulary[256 + i] = self.vocabulary[a] + self.vocabulary[b]
+        self.specials = {t: len(self.vocabulary) + i for i, t in enumerate(dict.fromkeys(specials or []))}
+
+    @classmethod
+    def trained(cls, merges: DataFrame, specials: list[str] | None = None, pattern: str = PATTERN) -> Tokenizer:
+        """From ``train``'s result, which is as long as the vocabulary asked for."""
+        return cls([(r.a, r.b) for r in merges.orderBy("rank").collect()], specials, pattern)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Four text tables under ``path``: vocabulary (id, hexadecimal bytes), merges, special tokens and configuration."""
+        parts = {
+            "vocabulary": [json.dumps({"id": i, "bytes": b.hex()}) for i, b in self.vocabulary.items()],
+            "merges": [json.dumps({"rank": i, "a": a, "b": b}) for i, (a, b) in enumerate(self.merges)],
+            "special_tokens": [json.dumps({"id": i, "token": t}) for t, i in self.specials.items()],
+            "configuration": [json.dumps({"pattern": self.pattern})],
+        }
+        for name, lines in parts.items():
+            spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Tokenizer:
+        """A saved tokenizer; a vocabulary that does not follow from the merges is an error."""
+        read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+        merges = [(r.a, r.b) for r in read("merges", "rank int, a int, b int").orderBy("rank").collect()]
+        specials = [r.token for r in read("special_tokens", "id int, token string").orderBy("id").collect()]
+        out = cls(merges, specials, read("configuration", "pattern string").first().pattern)
+        if {r.id: r.bytes for r in read("vocabulary", "id int, bytes string").collect()} != {i: b.hex() for i, b in out.vocabulary.items()}:
+            raise ValueError(f"the vocabulary in {path} is not that of its merges")
+        return out
+
+    def encode(self, df: DataFrame, text_col: str, out_col: str, specials: bool = False) -> DataFrame:
+        """Token ids of each text (null: none). With ``specials`` the special tokens are cut out before anything is merged;
+        else they are text like any other."""
+        ranks = {pair: 256 + i for i, pair in enumerate(self.merges)}
+        numbers, pattern = list(self.specials.values()), self.pattern
+        tree = Trie(list(self.specials)) if specials and self.specials else None
+
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            memo: dict[str, list[int]] = {}
+            split = re.compile(pattern).findall
+
+            def plain(text: str) -> list[int]:
                 ids: list[int] = []
-                for piece in re.findall(r"\s+|\S+", text or ""):
+                for piece in split(text):
                     if piece not in memo:
                         if len(memo) > 100_000:
                             memo.clear()
-                        memo[piece] = word(piece)
+                        coded = merged(list(piece.encode()), ranks)
+                        if len(piece) > 256:
+                            ids += coded
+                            continue
+                        memo[piece] = coded
                     ids += memo[piece]
-                out.append(ids)
-            yield pd.Series(out)
+                return ids
 
-    return df.withColumn(out_col, run(text_col))
+            for batch in batches:
+                out = []
+                for text in batch:
+                    parts = tree.split(text or "") if tree else [(text or "", None)]
+                    out.append([i for part, special in parts for i in (plain(part) if special is None else [numbers[special]])])
+                yield pd.Series(out)
 
+        return df.withColumn(out_col, run(text_col))
 
-def decode(df: DataFrame, merges: DataFrame, ids_col: str, out_col: str) -> DataFrame:
-    _, vocabulary = _tables(merges)
+    def decode(self, df: DataFrame, ids_col: str, out_col: str) -> DataFrame:
+        """The text of token ids; ids that no token has are left out, bytes that are no UTF-8 become replacement characters."""
+        known = self.vocabulary | {i: t.encode() for t, i in self.specials.items()}
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda ids: b"".join(vocabulary.get(int(i), b"") for i in ids).decode(errors="replace"))
+        @F.pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield batch.map(lambda ids: None if ids is None else b"".join(known.get(int(i), b"") for i in ids).decode(errors="replace"))
 
-    return df.withColumn(out_col, run(ids_col))
+        return df.withColumn(out_col, run(ids_col))
