@@ -7,7 +7,7 @@ scores floor(1000 * a * n / (l * r)); the lowest cut counts, ties to the one aft
 of one more word that ``COVER`` per cent of their occurrences are part of are dropped (occurrences only fall as phrases grow, so
 that no longer one need be asked). Each language's ``TOP`` best are returned, by score, then a, then the phrase.
 
-Three passes, each summed across all shards before the next, so that counts are exact:
+Passes, each summed across all shards before the next, so that counts are exact:
 
 1. Words are counted.
 2. Each task gathers shards of at most ``SHARD_WORDS`` words of one language and indexes them: word ids, broken at the ends
@@ -19,7 +19,9 @@ Three passes, each summed across all shards before the next, so that counts are
    extensions, and how often each occurs is the count of the longer phrase. A phrase is extended only where the pair that it gains is frequent.
 
 What is frequent reaches the tasks as a bitmap of 2**``BITS`` hashes, of one size however many words or pairs
-there are. A pair that shares the hash of a frequent one is counted in vain and falls out of the sums.
+there are. A pair that shares the hash of a frequent one is counted in vain and falls out of the sums. Before the pairs, and
+before the longer phrases, are counted by name, each shard sends its counts by hash alone, three bytes a phrase;
+only phrases whose hash comes to ``LEAST`` in all shards together can be frequent, and only they are sent by name.
 
 Null and empty texts have no words. Repeated rows count each time, a null language as the
 language ``und``. Texts of any length are read whole, in pieces. An empty table gives an empty result. Other columns are not
@@ -43,7 +45,9 @@ from corpusloom.llm._shared import as_text, cut, quoted
 from corpusloom.llm.toxicity import segments
 
 LEAST, LONGEST, TOP, COVER, UNKNOWN = 100, 5, 2000, 100, "und"
-SHARD_WORDS, BITS = 3 << 19, 24
+SHARD_WORDS, BITS = 3 << 19, 26
+#: Hashes of one row of a shard's counts by hash.
+RANGE = 16
 #: Languages that are broadcast with their word counts, and parts in which a language's best are chosen first.
 LANGUAGES, PARTS = 1 << 16, 64
 _BREAK = np.zeros(256, bool)
@@ -147,6 +151,55 @@ def bitmap(frequent: DataFrame) -> Broadcast:
     return frequent.sparkSession.sparkContext.broadcast(out)
 
 
+def _ranges(phrases: Callable, least: int) -> Callable:
+    """Counts by hash of each shard, a row a range of hashes: places in the range and counts, which need not exceed ``least``."""
+    kind = np.uint8 if least < 1 << 8 else np.uint32 if least < 1 << 32 else np.uint64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _opened(batches):
+            place, f = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for found, names in phrases(*shard):
+                place.append(_hash(shard[0], names))
+                f.append(found.size)
+            place, at = np.unique(np.concatenate(place), return_inverse=True)
+            f = np.minimum(np.bincount(at, np.concatenate(f), len(place)), least).astype(kind)
+            cuts = np.searchsorted(place, np.arange((1 << BITS - RANGE) + 1) << RANGE)
+            full = np.flatnonzero(np.diff(cuts))
+            parts = [(place[a:b] & ((1 << RANGE) - 1)).astype(np.uint16).tobytes() + f[a:b].tobytes() for a, b in zip(cuts[full], cuts[full + 1])]
+            yield pa.record_batch({"range": pa.array(full, pa.int32()), "data": pa.array(parts, pa.binary())})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bits of the hashes that come to ``least``; rows come by range."""
+        last, total = None, np.zeros(1 << RANGE, np.int64)
+        bits = lambda: pa.record_batch({"range": pa.array([last], pa.int32()), "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+        for batch in batches:
+            for number, data in zip(batch["range"].to_pylist(), batch["data"]):
+                if number != last:
+                    if last is not None:
+                        yield bits()
+                    last, total[:] = number, 0
+                data = data.as_py()
+                n = len(data) // (2 + np.dtype(kind).itemsize)
+                total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, kind, n, 2 * n).astype(np.int64)
+        if last is not None:
+            yield bits()
+
+    run.summed = summed
+    return run
+
+
+def possible(index: DataFrame, phrases: Callable, least: int) -> Broadcast:
+    """A bitmap of the hashes whose phrases occur ``least`` times in all shards together."""
+    spark, run = index.sparkSession, _ranges(phrases, least)
+    parts = index.mapInArrow(run, "range int, data binary")
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range")
+    found = dealt.mapInArrow(run.summed, "range int, bits binary").toArrow()
+    out = np.zeros((1 << BITS - RANGE, 1 << RANGE - 3), np.uint8)
+    for number, bits in zip(found["range"].to_pylist(), found["bits"].to_pylist()):
+        out[number] = np.frombuffer(bits, np.uint8)
+    return spark.sparkContext.broadcast(out.reshape(-1).view(np.uint64))
+
+
 def _known(bits: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
     place = _hash(lang, phrases)
     return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
@@ -275,29 +328,42 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
             yield batch["lang"][i].as_py(), vocabulary, Index(*(np.frombuffer(batch[c][i].as_buffer(), kind) for c in ("backward", "forward")))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, vocabulary, index in _opened(batches):
-        found = index.extend(index.single(), to_left=True)
-        yield _counts(lang, _joined(vocabulary, found.words), found.size)
+def _pairs(lang: str, vocabulary: pa.Array, index: Index) -> Iterator[tuple[Frontier, pa.Array]]:
+    """All pairs of a shard and their names."""
+    found = index.extend(index.single(), to_left=True)
+    yield found, _joined(vocabulary, found.words)
+
+
+def _longer(frequent: Broadcast, longest: int, chosen: Broadcast | None = None) -> Callable:
+    """Phrases of three words and more all of whose pairs are frequent, and where given only those in ``chosen``."""
+
+    def run(lang: str, vocabulary: pa.Array, index: Index) -> Iterator[tuple[Frontier, pa.Array]]:
+        pairs = index.extend(index.single(), to_left=True)
+        pairs = found = pairs.where(_known(frequent.value, lang, _joined(vocabulary, pairs.words)))
+        base = len(vocabulary) + 1
+        known = np.sort(pairs.words[:, 0] * base + pairs.words[:, 1])
+        for length in range(3, longest + 1):
+            to_left = length % 2 == 0
+            found = index.extend(found, to_left)
+            gained = found.words[:, :2] if to_left else found.words[:, -2:]
+            key = gained[:, 0] * base + gained[:, 1]
+            place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+            found = found.where(known[place] == key if len(known) else np.zeros(len(key), bool))
+            names = _joined(vocabulary, found.words)
+            if chosen is not None:  # parts of a frequent phrase are frequent
+                held = _known(chosen.value, lang, names)
+                found, names = found.where(held), names.filter(pa.array(held))
+            yield found, names
 
+    return run
 
-def _longer(frequent: Broadcast, longest: int) -> Callable:
-    """Counts of phrases of three words and more all of whose pairs are frequent."""
 
+def _named(phrases: Callable, chosen: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, vocabulary, index in _opened(batches):
-            pairs = index.extend(index.single(), to_left=True)
-            pairs = found = pairs.where(_known(frequent.value, lang, _joined(vocabulary, pairs.words)))
-            base = len(vocabulary) + 1
-            known = np.sort(pairs.words[:, 0] * base + pairs.words[:, 1])
-            for length in range(3, longest + 1):
-                to_left = length % 2 == 0
-                found = index.extend(found, to_left)
-                gained = found.words[:, :2] if to_left else found.words[:, -2:]
-                key = gained[:, 0] * base + gained[:, 1]
-                place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                found = found.where(known[place] == key if len(known) else np.zeros(len(key), bool))
-                yield _counts(lang, _joined(vocabulary, found.words), found.size)
+        for shard in _opened(batches):
+            for found, names in phrases(*shard):
+                held = _known(chosen.value, shard[0], names)
+                yield _counts(shard[0], names.filter(pa.array(held)), found.size[held])
 
     return run
 
@@ -314,10 +380,12 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         return words
     frequent = bitmap(words.where(F.col("phrase").isNotNull()))
     index = cut(texts.mapInArrow(_index(frequent, longest), "lang string, vocabulary array<string>, width int, backward binary, forward binary"))
-    pairs = _summed(index.mapInArrow(_pairs, _COUNTS), least)
+    pairs = _summed(index.mapInArrow(_named(_pairs, possible(index, _pairs, least)), _COUNTS), least)
     if longest < 3:
         return words.union(pairs)
-    longer = _summed(index.mapInArrow(_longer(bitmap(pairs), longest), _COUNTS), least)
+    frequent = bitmap(pairs)
+    chosen = possible(index, _longer(frequent, longest), least)
+    longer = _summed(index.mapInArrow(_named(_longer(frequent, longest, chosen), chosen), _COUNTS), least)
     return words.union(pairs).union(longer)
 
 

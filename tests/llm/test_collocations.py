@@ -64,12 +64,12 @@ def made(seed, texts=150):
     return [*out, ("en", None), ("en", ""), ("fr", " . "), (None, "New York " * 3000), ("de", "of the " * 1000 + "." * 500 + "x" * 5000), out[0], out[0]]
 
 
-@pytest.mark.parametrize("shard_words, bits, segment", [(1 << 20, 24, 1 << 18), (200, 6, 300)])
+@pytest.mark.parametrize("shard_words, bits, segment", [(1 << 20, 26, 1 << 18), (200, 16, 300)])
 def test_against_brute_force(spark, monkeypatch, shard_words, bits, segment):
     """Also with many small shards, a bitmap full of collisions, and long texts in many parts. Patched values reach the tasks in local functions."""
     rows = made(1)
     df = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit("x") for c in ("phrase", "f", "rank", "doc_id")}).repartition(5)
-    if bits == 24:
+    if bits == 26:
         got = collocations.collocations(df, least=8, top=60).collect()
         assert sorted(map(tuple, got)) == brute(rows, 8, 5, 60)
         assert sorted(map(tuple, collocations.collocations(df, least=5, longest=3, top=10_000, cover=80).collect())) == brute(rows, 5, 3, 10_000, 80)
@@ -80,7 +80,7 @@ def test_against_brute_force(spark, monkeypatch, shard_words, bits, segment):
     monkeypatch.setattr(_words, "SEGMENT", segment)
     batches = [pa.record_batch({"lang": ["und" if r[0] is None else r[0] for r in rows[a : a + 40]], "text": ["" if r[1] is None else r[1] for r in rows[a : a + 40]]}) for a in range(0, len(rows), 40)]
     assert len(list(collocations.shards(iter(batches)))) > 20
-    total, bits_set = Counter(), np.zeros(1, np.uint64)
+    total, bits_set = Counter(), np.zeros(1 << 10, np.uint64)
     for part in collocations._count_words(iter(batches)):
         total.update({(r["lang"], r["phrase"]): r["f"] for r in part.to_pylist()})
     frequent = [k for k, v in total.items() if v >= 8 and k[1] is not None]
@@ -89,10 +89,19 @@ def test_against_brute_force(spark, monkeypatch, shard_words, bits, segment):
         bits_set[place >> 6] |= np.uint64(1 << (place & 63))
     sent = type("Sent", (), {"value": bits_set})
     index = list(collocations._index(sent, 5)(iter(batches)))
-    counted = Counter()
-    for part in [*collocations._pairs(iter(index)), *collocations._longer(type("Sent", (), {"value": np.full(1, ~np.uint64(0))}), 5)(iter(index))]:
+    counted, ranges = Counter(), collocations._ranges(collocations._pairs, 8)
+    every = type("Sent", (), {"value": np.full(1 << 10, ~np.uint64(0))})
+    for part in [*collocations._named(collocations._pairs, every)(iter(index)), *collocations._named(collocations._longer(every, 5), every)(iter(index))]:
         for r in part.to_pylist():
             counted[r["lang"], r["phrase"]] += r["f"]
+    # sums by hash: a bit is set where the phrases of that hash come to 8
+    by_hash = Counter()
+    for (lang, phrase), n in counted.items():
+        if phrase.count(" ") == 1:
+            by_hash[int(collocations._hash(lang, pa.array([phrase]))[0])] += n
+    rows_of_ranges = sorted((r for part in ranges(iter(index)) for r in part.to_pylist()), key=lambda r: r["range"])
+    (bits_found,) = [r for part in ranges.summed(iter([pa.RecordBatch.from_pylist(rows_of_ranges[i : i + 3], pa.schema([("range", pa.int32()), ("data", pa.binary())])) for i in range(0, len(rows_of_ranges), 3)])) for r in part.to_pylist()]
+    assert set(np.flatnonzero(np.unpackbits(np.frombuffer(bits_found["bits"], np.uint8), bitorder="little")).tolist()) == {h for h, n in by_hash.items() if n >= 8}
     plain = Counter()
     for lang, text in rows:
         for words in pieces(text):
