@@ -21,7 +21,8 @@ Passes, each summed across all shards before the next, so that counts are exact:
 What is frequent reaches the tasks as a bitmap of 2**``BITS`` hashes, of one size however many words or pairs
 there are. A pair that shares the hash of a frequent one is counted in vain and falls out of the sums. Before the pairs, and
 before the longer phrases, are counted by name, each shard sends its counts by hash alone, three bytes a phrase;
-only phrases whose hash comes to ``LEAST`` in all shards together can be frequent, and only they are sent by name.
+only phrases whose hash comes to ``LEAST`` in all shards together can be frequent, and only they are sent by name, packed by ranges of
+hashes, which are merged one after another.
 
 Null and empty texts have no words. Repeated rows count each time, a null language as the
 language ``und``. Texts of any length are read whole, in pieces. An empty table gives an empty result. Other columns are not
@@ -45,7 +46,7 @@ from corpusloom.llm._shared import as_text, cut, quoted
 from corpusloom.llm.toxicity import segments
 
 LEAST, LONGEST, TOP, COVER, UNKNOWN = 100, 5, 2000, 100, "und"
-SHARD_WORDS, BITS = 3 << 19, 26
+SHARD_WORDS, BITS = 1 << 20, 26
 #: Hashes of one row of a shard's counts by hash.
 RANGE = 16
 #: Languages that are broadcast with their word counts, and parts in which a language's best are chosen first.
@@ -191,9 +192,7 @@ def _ranges(phrases: Callable, least: int) -> Callable:
 def possible(index: DataFrame, phrases: Callable, least: int) -> Broadcast:
     """A bitmap of the hashes whose phrases occur ``least`` times in all shards together."""
     spark, run = index.sparkSession, _ranges(phrases, least)
-    parts = index.mapInArrow(run, "range int, data binary")
-    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range")
-    found = dealt.mapInArrow(run.summed, "range int, bits binary").toArrow()
+    found = _by_range(index.mapInArrow(run, "range int, data binary")).mapInArrow(run.summed, "range int, bits binary").toArrow()
     out = np.zeros((1 << BITS - RANGE, 1 << RANGE - 3), np.uint8)
     for number, bits in zip(found["range"].to_pylist(), found["bits"].to_pylist()):
         out[number] = np.frombuffer(bits, np.uint8)
@@ -358,16 +357,62 @@ def _longer(frequent: Broadcast, longest: int, chosen: Broadcast | None = None)
     return run
 
 
+_BY_RANGE = "range int, lang string, phrases array<string>, f array<long>"
+
+
 def _named(phrases: Callable, chosen: Broadcast) -> Callable:
+    """Counts by name of each shard's chosen phrases, a row a range of hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _opened(batches):
-            for found, names in phrases(*shard):
-                held = _known(chosen.value, shard[0], names)
-                yield _counts(shard[0], names.filter(pa.array(held)), found.size[held])
+            names, f = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+            for found, own in phrases(*shard):
+                held = _known(chosen.value, shard[0], own)
+                names.append(own.filter(pa.array(held)).cast(pa.string()))
+                f.append(found.size[held])
+            names, f = pa.concat_arrays(names), np.concatenate(f)
+            part = _hash(shard[0], names) >> RANGE
+            order = np.argsort(part, kind="stable")
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(part[order]) != 0))[: len(order)], len(order)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), x.take(pa.array(order))) for x in (names, pa.array(f, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[order[cuts[:-1]]], pa.int32()), pa.array([shard[0]] * (len(cuts) - 1), pa.string()), *lists], names=["range", "lang", "phrases", "f"])
 
     return run
 
 
+def _merged(least: int) -> Callable:
+    """The sums of all shards that come to ``least``; rows come by range, and a range's phrases are held until the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for lang, own in total.items():
+                kept = {p: n for p, n in own.items() if n >= least}
+                yield _counts(lang, pa.array(list(kept), pa.string()), np.array(list(kept.values()), np.int64))
+
+        for batch in batches:
+            for number, lang, names, f in zip(*(batch[c] for c in ("range", "lang", "phrases", "f"))):
+                if number.as_py() != last:
+                    yield from done()
+                    last, total = number.as_py(), {}
+                own = total.setdefault(lang.as_py(), {})
+                for name, n in zip(names.as_py(), f.as_py()):
+                    own[name] = own.get(name, 0) + n
+        yield from done()
+
+    return run
+
+
+def _by_range(parts: DataFrame) -> DataFrame:
+    return parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range")
+
+
+def counted(index: DataFrame, phrases: Callable, chosen: Broadcast, least: int) -> DataFrame:
+    """(lang, phrase, f) of the chosen phrases that occur ``least`` times in all shards together."""
+    return cut(_by_range(index.mapInArrow(_named(phrases, chosen), _BY_RANGE)).mapInArrow(_merged(least), _COUNTS))
+
+
 def _summed(parts: DataFrame, least: int) -> DataFrame:
     return cut(parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull()))
 
@@ -380,12 +425,12 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         return words
     frequent = bitmap(words.where(F.col("phrase").isNotNull()))
     index = cut(texts.mapInArrow(_index(frequent, longest), "lang string, vocabulary array<string>, width int, backward binary, forward binary"))
-    pairs = _summed(index.mapInArrow(_named(_pairs, possible(index, _pairs, least)), _COUNTS), least)
+    pairs = counted(index, _pairs, possible(index, _pairs, least), least)
     if longest < 3:
         return words.union(pairs)
     frequent = bitmap(pairs)
     chosen = possible(index, _longer(frequent, longest), least)
-    longer = _summed(index.mapInArrow(_named(_longer(frequent, longest, chosen), chosen), _COUNTS), least)
+    longer = counted(index, _longer(frequent, longest, chosen), chosen, least)
     return words.union(pairs).union(longer)
 
 

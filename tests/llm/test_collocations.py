@@ -93,7 +93,7 @@ def test_against_brute_force(spark, monkeypatch, shard_words, bits, segment):
     every = type("Sent", (), {"value": np.full(1 << 10, ~np.uint64(0))})
     for part in [*collocations._named(collocations._pairs, every)(iter(index)), *collocations._named(collocations._longer(every, 5), every)(iter(index))]:
         for r in part.to_pylist():
-            counted[r["lang"], r["phrase"]] += r["f"]
+            counted.update({(r["lang"], p): f for p, f in zip(r["phrases"], r["f"])})
     # sums by hash: a bit is set where the phrases of that hash come to 8
     by_hash = Counter()
     for (lang, phrase), n in counted.items():
