@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators import ordered
+from corpusloom.sources.shared import cut
+
+#: Quotas that are broadcast.
+MOST_QUOTAS = 10_000
 
 
 def joined_chunks(chunks: Column) -> Column:
@@ -54,29 +59,48 @@ def apportion(shares: DataFrame, total: int) -> DataFrame:
 
 
 def assign_quotas(seeds: DataFrame, quotas: DataFrame, order: str) -> DataFrame:
-    """Seeds in order fill the quotas one after another, where every seed suits every quota."""
+    """Seeds in order fill the quotas one after another, where every seed suits every quota. ``quotas``: name, ord, n, a handful of rows."""
     ends = quotas.withColumn("upto", F.sum("n").over(Window.orderBy("ord"))).withColumn("from", F.col("upto") - F.col("n"))
-    numbered = seeds.withColumn("rn", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.join(F.broadcast(ends), (F.col("rn") >= F.col("from")) & (F.col("rn") < F.col("upto"))).drop("rn", "from", "upto", "n", "ord")
+    rows = ordered.numbered(seeds, [], [order], "__rn").withColumn("__rn", F.col("__rn") - 1)
+    return rows.join(F.broadcast(ends.limit(MOST_QUOTAS)), (F.col("__rn") >= F.col("from")) & (F.col("__rn") < F.col("upto"))).drop("__rn", "from", "upto", "n", "ord")
 
 
 def greedy_quotas(seeds: DataFrame, quotas: dict[str, int], order: str, buildable: dict[str, Column]) -> DataFrame:
-    """Each seed in order takes the first variant with room that can be built from it.
+    """(order, variant): each seed in order takes the first variant with room that can be built from it; others take none.
 
-    Rank order makes this sequential only up to the quotas' total: no more than that many seeds of
-    each pattern of buildable variants can be taken, so each pattern's first rows are enough.
+    Between two moments at which a variant fills up, the variants that can be built alone decide. A moment is the place of the
+    seed that takes the last room: of the seeds that go to a variant from here on, the one of that rank. So the driver sees as many
+    numbers as there are variants, and finds the moments one after another. Ties in ``order`` come in some order.
     """
-    names = list(quotas)
-    total = sum(quotas.values())
-    pattern = F.concat(*(F.when(buildable[n], "1").otherwise("0") for n in names))
-    first = seeds.withColumn("pattern", pattern).withColumn("rn", F.row_number().over(Window.partitionBy("pattern").orderBy(order))).where(F.col("rn") <= total)
-    rooms, out = dict(quotas), []
-    for r in first.select(order, "pattern").orderBy(order).collect():  # at most total rows a pattern
-        name = next((n for n, ok in zip(names, r.pattern) if ok == "1" and rooms[n]), None)
-        if name:
-            rooms[name] -= 1
-            out.append((r[0], name))
-    return seeds.sparkSession.createDataFrame(out, f"{order} long, variant string")
+    names = [n for n in quotas]
+    pattern = F.concat(F.lit(""), *(F.when(buildable[n], "1").otherwise("0") for n in names))
+    rows = cut(ordered.numbered(seeds.select(order, pattern.alias("__pattern")), [], [order], "__at"))
+    patterns = [r[0] for r in rows.select("__pattern").distinct().collect()]  # at most two to the number of variants
+    rooms, here, spans = dict(quotas), 1, []
+    while True:
+        takes = {p: next((n for n, ok in zip(names, p) if ok == "1" and rooms[n] > 0), None) for p in patterns}
+        wanted = {n for n in takes.values() if n}
+        if not wanted:
+            break
+        of = F.lit(None).cast("string")
+        for p, n in takes.items():
+            of = F.when(F.col("__pattern") == p, n).otherwise(of)
+        rest = rows.where(F.col("__at") >= here).select(of.alias("variant"), F.col("__at").cast("double").alias("at")).where("variant IS NOT NULL")
+        room = F.lit(0)
+        for n in wanted:
+            room = F.when(F.col("variant") == n, rooms[n]).otherwise(room)
+        found = {r.variant: r for r in ordered.order_statistics(rest, ["variant"], "at", {"last": room}).collect()}
+        full = {n: int(r["last"]) for n, r in found.items() if r.n >= rooms[n]}
+        end = min(full.values(), default=None)
+        spans += [(p, n, here, end) for p, n in takes.items() if n]
+        if end is None:
+            break
+        taken = {r.variant: r["count"] for r in rest.where(F.col("at") <= end).groupBy("variant").count().collect()}
+        rooms = {n: rooms[n] - taken.get(n, 0) for n in names}
+        here = end + 1
+    table = seeds.sparkSession.createDataFrame(spans, "p string, variant string, first long, last long")
+    # a row a pattern and moment
+    return rows.join(F.broadcast(table), (F.col("__pattern") == F.col("p")) & (F.col("__at") >= F.col("first")) & (F.col("last").isNull() | (F.col("__at") <= F.col("last")))).select(order, "variant")
 
 
 def no_citation_pairs(seeds: DataFrame) -> DataFrame:
@@ -106,18 +130,28 @@ def lm_features(prompt: Column, response: Column, length: int, pad: int = 0) ->
     }
 
 
+def common_length(p: list, q: list) -> int:
+    """Length of the longest common subsequence: a row of the table is one whole number, a bit a word of ``q``."""
+    masks: dict = {}
+    for i, word in enumerate(q):
+        masks[word] = masks.get(word, 0) | 1 << i
+    every = row = (1 << len(q)) - 1
+    for word in p:
+        if mask := masks.get(word):
+            both = row & mask
+            row = (row + both | row - both) & every
+    return len(q) - row.bit_count()
+
+
 def rouge_l(a: Column, b: Column) -> Column:
-    """F-measure of the longest common subsequence of two word arrays."""
+    """F-measure of the longest common subsequence of two word arrays; 0 where both are empty or null."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q) -> float:
-            row = [0] * (len(q) + 1)
-            for u in p:
-                last = 0
-                for j, v in enumerate(q, 1):
-                    last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
-            return 2.0 * row[-1] / (len(p) + len(q)) if len(p) + len(q) else 0.0
-
-        return pd.Series([one(list(p), list(q)) for p, q in zip(x, y)])
+            p, q = [] if p is None else list(p), [] if q is None else list(q)
+            return 2.0 * common_length(p, q) / (len(p) + len(q)) if len(p) + len(q) else 0.0
+
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype=float)
 
     return run(a, b)

@@ -5,22 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ordered
+from corpusloom.sources.shared import cut
+
 
 def slug(name: Column) -> Column:
-    """Letters, digits, _ and -; other characters become -, and none is at an end."""
-    return F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9_-]+", "-"), r"^-+|-+$", "")
+    """Letters, digits, _ and -; other characters become -, and neither - nor _ is at an end."""
+    return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_-]+", "-"), r"^[-_]+|[-_]+$", "")
 
 
 def unique_slugs(df: DataFrame, name: str, order: str, out: str = "slug") -> DataFrame:
-    """A slug per row: repeated ones get -2, -3 ... in order; rows without any get doc-N, N counting on from the largest
-    number that ends a slug."""
-    base = df.withColumn("__base", slug(F.coalesce(F.col(name), F.lit("")))).withColumn("__named", F.col("__base") != "")
-    top = base.where("__named").agg(F.coalesce(F.max(F.regexp_extract("__base", r"(\d{1,9})$", 1).try_cast("long")), F.lit(0)).alias("__top"))
-    numbered = base.where("__named").withColumn("__n", F.row_number().over(Window.partitionBy("__base").orderBy(order)))
-    kept = numbered.withColumn(out, F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), "__n"))).select(*df.columns, out)
-    # a row each for what has no name: dealt by ranges of the order, numbered within
-    blank = base.where("NOT __named").crossJoin(F.broadcast(top)).withColumn(out, F.concat(F.lit("doc-"), F.col("__top") + F.row_number().over(Window.partitionBy("__named").orderBy(order))))
-    return kept.unionByName(blank.select(*df.columns, out))
+    """A slug per row, as if the rows came one after another in ``order``.
+
+    A name takes its slug, or where an earlier row has that, the first of slug-2, slug-3 ... that none has. Rows without a name
+    (null, or nothing left of it) take doc-N, where N follows the largest number that ends any earlier row's slug. Ties in
+    ``order`` come in some order.
+
+    The rows are resolved together, in rounds. The r-th row of a name begins at its r-th candidate; of the rows that meet in
+    one slug the first keeps it, and the others of its name move on by one, those behind them with them. What a row is refused once it never
+    gets, so that the rounds end, in as many as names like "a" and "a-2" are interleaved.
+    """
+    base = F.coalesce(slug(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit(""))
+    rows = ordered.numbered(df.withColumn("__base", base), [], [order], "__at")
+    rows = ordered.scan(rows, ["__base"], ["__at"], {"__r": F.lit(1).cast("long")}).withColumn("__k", F.col("__r"))
+    # unnamed rows up to each row
+    rows = ordered.scan(rows, [], ["__at"], {"__u": F.when(F.col("__base") != "", 0).otherwise(1).cast("long")})
+    own = F.when(F.col("__k") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), "__k"))
+    named = F.col("__base") != ""
+    ends = F.regexp_extract("__slug", r"(\d+)$", 1)
+    number = F.when(ends != "", F.right(ends, F.lit(18)).cast("long"))  # of longer numbers the last 18 digits
+    while True:
+        rows = rows.withColumn("__slug", F.when(named, own))
+        # N of the u-th unnamed row: one more than all numbers before it, those of unnamed rows among them
+        counted = ordered.scan(rows, [], ["__at"], maxima={"__top": F.when(named, number + 1 - F.col("__u"))})
+        placed = counted.withColumn("__slug", F.coalesce("__slug", F.concat(F.lit("doc-"), F.col("__u") - 1 + F.greatest(F.coalesce("__top", F.lit(1)), F.lit(1)))))
+        first = placed.groupBy("__slug").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+        judged = cut(placed.join(first, "__slug", "left").withColumn("__lost", named & (F.coalesce("__first", F.col("__at")) < F.col("__at"))))
+        if judged.where("__lost").isEmpty():
+            return judged.select(*(F.col(c) for c in df.columns if c != out), F.col("__slug").alias(out))
+        # each row's candidate is behind that of the row of its name before it
+        moved = judged.withColumn("__d", F.col("__k") + F.col("__lost").cast("long") - F.col("__r")).drop("__slug", "__top", "__first", "__n", "__lost")
+        rows = ordered.scan(moved, ["__base"], ["__at"], maxima={"__most": F.col("__d")}).withColumn("__k", F.col("__most") + F.col("__r")).drop("__d", "__most")
 
 
 def add(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -60,7 +85,7 @@ def answerable(items: DataFrame, relevant: str) -> DataFrame:
 def mixed(left: DataFrame, right: DataFrame, text: str, order: str) -> DataFrame:
     """(side, order, text): rows of both in order, as far as the bytes of the smaller side reach (a 50/50 mix).
 
-    Running sums are taken by ranges of the order first, so that no task holds a side.
+    Running sums are taken by ranges of the order, so that no task holds a side.
     """
     both = left.select(F.lit("left").alias("side"), order, text).unionByName(right.select(F.lit("right").alias("side"), order, text))
     both = both.withColumn("bytes", (F.octet_length(text) + 1).cast("long"))
@@ -69,14 +94,6 @@ def mixed(left: DataFrame, right: DataFrame, text: str, order: str) -> DataFrame
     return upto.crossJoin(F.broadcast(budget)).where("upto <= budget").select("side", order, text, "bytes")
 
 
-def running(df: DataFrame, keys: list[str], order: str, value: str, width: int = 4096) -> DataFrame:
-    """Add ``upto``, the running sum of ``value`` by a whole-number ``order``, and ``rank`` from 1: sums of ranges of the
-    order first, then within a range, so that a large key is many tasks."""
-    cell = df.withColumn("__cell", F.floor(F.col(order) / width))
-    sums = cell.groupBy(*keys, "__cell").agg(F.sum(value).alias("__s"), F.count("*").alias("__c"))
-    by = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__cell", F.coalesce(F.sum("__s").over(by), F.lit(0)).alias("__s"), F.coalesce(F.sum("__c").over(by), F.lit(0)).alias("__c"))
-    inside = Window.partitionBy(*keys, "__cell").orderBy(order)
-    out = cell.join(sums, [*keys, "__cell"])
-    out = out.withColumn("upto", F.col("__s") + F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("rank", F.col("__c") + F.row_number().over(inside)).drop("__cell", "__s", "__c")
+def running(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Add ``upto``, the running sum of ``value``, and ``rank`` from 1, in the order given within the keys."""
+    return ordered.scan(df, keys, [order], {"upto": F.col(value), "rank": F.lit(1).cast("long")})

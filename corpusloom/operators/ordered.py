@@ -63,7 +63,7 @@ def with_count(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """(keys, n, a column of each rank): the values of the given ranks, which are expressions of the number ``n`` of a key's values.
+    """(keys, n, a column of each rank): the values of the given ranks, which are expressions of the keys and of the number ``n`` of a key's values.
 
     Ranks count from 1 and are held between 1 and n. Nulls and NaN are no values; keys without values have no row.
     """
@@ -73,7 +73,8 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     rows = df.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), (v + 0.0).alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     bounds = rows.groupBy(*own).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
     wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.greatest(F.lit(1), F.least(F.col("n"), ranks[x].cast("long"))).alias("left")) for i, x in enumerate(names))))
-    found = cut(bounds.select("*", wanted.alias("w")).select(*own, "n", "low", "high", "w.t", "w.left"))
+    seen = bounds.select("*", *(F.col(o).alias(k) for k, o in zip(keys, own)))  # the ranks may ask for the key
+    found = cut(seen.select(*own, "n", "low", "high", wanted.alias("w")).select(*own, "n", "low", "high", "w.t", "w.left"))
     # rises with the value: the sign and the logarithm, which is between -745 and 710; infinities beyond
     span = lambda x: F.when(x == 0, 0.0).when(F.abs(x) == float("inf"), F.signum(x) * 1600).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746))
     for turn in range(PASSES):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from corpusloom.functions.vectors import cosine
 
 #: Rows of one cell of the blocked search: queries and vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 65536
+#: Needles of one automaton.
+NEEDLE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -121,6 +125,49 @@ def substring_search(chunks: DataFrame, needle: str, k: int, filters: SearchFilt
     return chunks.where(filters.lenient() & low.contains(needle.lower())).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def _finder(needles: Broadcast) -> Callable:
+    @F.pandas_udf("array<struct<needle: string, hits: int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for needle in needles.value:
+            tree.add_word(needle, needle)
+        if len(tree):
+            tree.make_automaton()
+        for batch in batches:
+            out = []
+            for text in batch:
+                ends: dict[str, int] = {}
+                hits: dict[str, int] = {}
+                for last, needle in tree.iter(text) if text and len(tree) else ():
+                    if last - len(needle) >= ends.get(needle, -1):
+                        ends[needle] = last
+                        hits[needle] = hits.get(needle, 0) + 1
+                out.append([{"needle": n, "hits": k} for n, k in hits.items()])
+            yield pd.Series(out)
+
+    return run
+
+
+def needle_counts(chunks: DataFrame, needles: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(id, needle, hits) of every needle in every text, upper and lower case alike: occurrences from the left that do not overlap.
+
+    One automaton of all needles passes over each text once, however many needles there are. Needles of at most ``NEEDLE_BYTES`` in
+    all are broadcast; more of them go in as many parts, each a pass over the texts. Null and empty needles are left out, repeated ones count once.
+    """
+    wanted = needles.select(F.lower(F.col(needles.columns[0])).alias("needle")).where("needle <> ''").distinct()
+    size = wanted.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
+    parts = max(1, -(-size // NEEDLE_BYTES))
+    found = []
+    for part in range(parts):
+        own = wanted.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == part).toArrow()["needle"].to_pylist()
+        sent = chunks.sparkSession.sparkContext.broadcast(own)
+
+        found.append(chunks.select(F.col(id_col), F.explode(_finder(sent)(F.lower(F.col(text_col)))).alias("x")).select(id_col, "x.needle", "x.hits"))
+    return reduce(DataFrame.union, found)
+
+
 def rerank(hits: DataFrame, score: str, k: int, group: str = "query_id", position: str = "rank", cut: int | None = None) -> DataFrame:
     """Order by score, ties by the old position; with ``cut`` only the first hits take part."""
     rows = hits.where(F.col(position) <= cut) if cut is not None else hits

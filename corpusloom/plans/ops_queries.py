@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import operations as O
+from corpusloom.operators import ordered as B
 from corpusloom.plans._registry import Registry, table
 from corpusloom.sources import files as S
 from corpusloom.sources import sinks as K
@@ -97,7 +98,12 @@ _usage = lambda s, d: table(s, d, V).select("event_id", F.col("user_id").alias("
 _USAGE = "WITH u AS (SELECT event_id, user_id AS tenant, CASE WHEN event_id % 3 > 0 THEN event_type END AS key FROM events) SELECT * FROM u WHERE key IS NULL UNION ALL SELECT * FROM u WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tenant, key ORDER BY event_id) = 1"
 for _name in ("sink_usage", "sink_billing", "sink_audit", "st_dedup_idempotency"):
     add(_name, lambda s, d: K.once(_usage(s, d), ["tenant", "key"], [F.asc("event_id")]), _USAGE)
-_MANIFEST = "SELECT source, count(*) AS articles, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) FILTER (WHERE length(text) < 500) AS suspicious, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS md5 FROM documents GROUP BY source"
+_LEVEL = "SELECT source, x.i // 256 AS i, md5(string_agg(d, '' ORDER BY x.i)) AS d, sum(n) AS n, sum(b) AS b, sum(s) AS s FROM {} x GROUP BY source, x.i // 256"
+_MANIFEST = (
+    "WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, md5(text)) - 1 AS i, md5(text) AS d, 1 AS n, octet_length(encode(text)) AS b, CAST(length(text) < 500 AS INTEGER) AS s FROM documents), "
+    f"l AS ({_LEVEL.format('r')}), m AS ({_LEVEL.format('l')}) "
+    "SELECT source, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(s) AS BIGINT) AS suspicious, md5(string_agg(d, '' ORDER BY i)) AS md5 FROM m GROUP BY source"
+)
 add("sink_manifest", lambda s, d: K.manifest(table(s, d, D), "source", "text", "doc_id"), _MANIFEST)
 add("agg_manifest", lambda s, d: K.manifest(table(s, d, D), "lang", "text", "doc_id").agg(F.count("*").alias("sources"), F.sum("articles").alias("articles"), F.sum("bytes").alias("bytes")), "SELECT count(DISTINCT lang) AS sources, count(*) AS articles, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents")
 add("sink_backup", lambda s, d: table(s, d, D).agg(F.count("*").alias("file_count"), F.sum(F.octet_length("text")).alias("total_bytes")), "SELECT count(*) AS file_count, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes FROM documents")
@@ -143,19 +149,23 @@ for _name in ("agg_child_count", "docs_listing"):
 add("agg_signature", lambda s, d: table(s, d, "embeddings").agg(F.count("*").alias("docs"), F.max("vec_id").alias("max_id"), F.countDistinct(F.size("embedding")).alias("dims")), "SELECT count(*) AS docs, max(vec_id) AS max_id, count(DISTINCT len(embedding)) AS dims FROM embeddings")
 add("agg_group_ordered", lambda s, d: table(s, d, C).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.min("turn").alias("first")), "SELECT conv_id, list(role ORDER BY turn) AS roles, min(turn) AS first FROM conversations GROUP BY conv_id")
 add("agg_metric_mean", lambda s, d: table(s, d, "labels").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic")), "SELECT round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM labels")
-add(
-    "agg_token_stats",
-    lambda s, d: table(s, d, D).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.percentile("n_chars", 0.5).alias("median"), F.round(F.percentile("n_chars", 0.95), 6).alias("p95"), F.max("n_chars").alias("top")),
-    "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars) AS top FROM documents GROUP BY lang",
-)
+
+
+def token_stats(s, d):
+    """Numbers, means and interpolated quantiles of the texts' lengths by language."""
+    docs = table(s, d, D).select("lang", "n_chars")
+    plain = docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.max("n_chars").alias("top"))
+    exact = B.interpolated(docs, ["lang"], "n_chars", {"median": 0.5, "p95": 0.95})
+    return plain.join(exact.select(F.col("lang").alias("l"), "median", F.round("p95", 6).alias("p95")), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+
+
+add("agg_token_stats", token_stats, "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars) AS top FROM documents GROUP BY lang")
 
 
 def nearest(s, d):
-    """Order statistics by nearest rank, per group: rows are numbered in the group, not collected."""
-    by = Window.partitionBy("event_type")
-    ranked = table(s, d, V).withColumn("rn", F.row_number().over(by.orderBy("value", "event_id"))).withColumn("n", F.count("*").over(by))
-    at = lambda q: F.max(F.when(F.col("rn") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.round(at(0.5), 6).alias("p50"), F.round(at(0.95), 6).alias("p95"))
+    """Order statistics by nearest rank, per group."""
+    found = B.order_statistics(table(s, d, V), ["event_type"], "value", B.nearest_ranks({"p50": 0.5, "p95": 0.95}))
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 for _name in ("agg_percentile_nearest", "ev_latency"):
@@ -204,8 +214,7 @@ def prev_down(s, d):
 
 add("win_prev_downvote", prev_down, _PAIRS.replace("q AS (", "q0 AS (", 1).split(",\nq0 AS")[0] + " SELECT id, older FROM r")
 add("win_dedup_first", lambda s, d: K.latest(table(s, d, D), [F.md5("text")], [F.asc("doc_id")]).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
-_bytes = lambda: F.sum(F.octet_length("text")).over(Window.partitionBy("source").orderBy("doc_id"))
-add("win_byte_budget", lambda s, d: table(s, d, D).withColumn("before", _bytes() - F.octet_length("text")).where("before < 50000").select("doc_id", "before"), "SELECT doc_id, CAST(before AS BIGINT) AS before FROM (SELECT doc_id, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(text)) AS before FROM documents) WHERE before < 50000")
+add("win_byte_budget", lambda s, d: B.scan(table(s, d, D).select("source", "doc_id", F.octet_length("text").cast("long").alias("b")), ["source"], ["doc_id"], {"upto": F.col("b")}).select("doc_id", (F.col("upto") - F.col("b")).alias("before")).where("before < 50000"), "SELECT doc_id, CAST(before AS BIGINT) AS before FROM (SELECT doc_id, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(text)) AS before FROM documents) WHERE before < 50000")
 _LINES = "l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), b AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS upto FROM l)"
 
 
@@ -219,11 +228,11 @@ def truncated(s, d, budget=1000):
 
 for _name in ("win_truncate_bytes", "ds_mix_corpora"):
     add(_name, truncated, f"WITH {_LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM b WHERE upto <= 1000 GROUP BY doc_id")
-_rn = lambda: F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-add("win_stride_sample", lambda s, d: table(s, d, D).withColumn("rn", _rn()).where("pmod(rn - 1 - 1, 3) = 0 and rn > 1").select("doc_id"), "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE (rn - 2) % 3 = 0 AND rn > 1")
+_by_source = lambda s, d: B.numbered(table(s, d, D).select("source", "doc_id"), ["source"], ["doc_id"], "rn")
+add("win_stride_sample", lambda s, d: _by_source(s, d).where("pmod(rn - 1 - 1, 3) = 0 and rn > 1").select("doc_id"), "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE (rn - 2) % 3 = 0 AND rn > 1")
 add(
     "win_multi_hop_batch",
-    lambda s, d: table(s, d, D).withColumn("batch", F.floor((_rn() - 1) / 3).cast("int")).groupBy("source", "batch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) >= 2"),
+    lambda s, d: _by_source(s, d).withColumn("batch", F.floor((F.col("rn") - 1) / 3).cast("int")).groupBy("source", "batch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) >= 2"),
     "SELECT source, batch, list(doc_id ORDER BY doc_id) AS ids FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 3) AS INTEGER) AS batch FROM documents) GROUP BY ALL HAVING count(*) >= 2",
 )
 _scored = lambda s, d: table(s, d, "lineitem").where("l_orderkey <= 200").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -247,9 +256,8 @@ def split_queries(s, d):
     from corpusloom.functions.text import stable_number
 
     keys = table(s, d, C).select("conv_id").distinct()
-    n = keys.agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.1)).alias("n"))
-    first = keys.orderBy(stable_number(F.col("conv_id"), 1 << 32), "conv_id")
-    return keys.join(first.limit(int(n.first()[0])).withColumn("v", F.lit(True)), "conv_id", "left").select("conv_id", F.when(F.col("v"), "val").otherwise("train").alias("part"))
+    rows = B.with_count(B.numbered(keys.withColumn("h", stable_number(F.col("conv_id"), 1 << 32)), [], ["h", "conv_id"], "rn"), [])
+    return rows.select("conv_id", F.when(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)), "val").otherwise("train").alias("part"))
 
 
 add("win_split_by_query", split_queries, f"WITH k AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY {_MD5}, conv_id) AS rn FROM k) SELECT conv_id, CASE WHEN rn <= greatest(1, floor((SELECT count(*) FROM k) * 0.1)) THEN 'val' ELSE 'train' END AS part FROM r")

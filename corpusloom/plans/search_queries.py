@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import bpe, chunks, text as X, vectors as V
 from corpusloom.operators import retrieval as S
+from corpusloom.operators import vector_index
 from corpusloom.plans._registry import Registry, table
 from corpusloom.plans.text_queries import sq
+from corpusloom.sources import stores
 
 R = Registry()
 D, E = "documents", "embeddings"
@@ -57,7 +59,7 @@ _paged = lambda d: chunks.number_chunks(d.select("doc_id", F.split("text", "\n")
 R.over("chunk_per_page", D, _paged, _PAGED)
 R.over("chunk_batch_no", D, lambda d: _paged(d).groupBy("doc_id", "batch").agg(F.count("*").alias("n")), f"SELECT doc_id, batch, count(*) AS n FROM ({_PAGED}) GROUP BY ALL")
 R.over("chunk_id", D, lambda d: d.select("doc_id", chunks.chunk_id(F.sha2("text", 256), F.lit(1), F.lit(0), F.left("text", F.lit(900))).alias("id")), "SELECT doc_id, sha256(sha256(text) || ':1:0:' || left(text, 900)) AS id FROM documents")
-R.over("emb_hash", D, lambda d: d.select("doc_id", V.hash_embedding(X.word_tokens(F.col("text"))).alias("embedding")).select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 5).alias("norm")))
+R.over("emb_hash", D, lambda d: d.select("doc_id", F.transform(V.hash_embedding(X.word_tokens(F.col("text"))), lambda x: F.round(x.cast("double"), 6)).alias("embedding")))
 _gram = lambda d: d.select(F.explode(X.word_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 R.over(
     "emb_trigrams",
@@ -141,6 +143,31 @@ R.over(
 )
 
 
+_NEEDLES = r"SELECT DISTINCT lower(w) AS needle FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark)"
+
+
+def contains_many(spark, sf_dir):
+    """How often each longer word of the benchmark is in each document, and in how many."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), 1)).alias("w"))
+    return S.needle_counts(table(spark, sf_dir, D), words, "doc_id").groupBy("needle").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"))
+
+
+R.add(
+    "join_contains_many",
+    f"WITH n AS ({_NEEDLES}), d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT needle, count(*) AS docs, CAST(sum((length(t) - length(replace(t, needle, ''))) / length(needle)) AS BIGINT) AS hits FROM n JOIN d ON contains(t, needle) GROUP BY needle",
+)(contains_many)
+
+
+def built_index(spark, sf_dir):
+    path = stores.scratch(spark, "vector-index")
+    vector_index.build(table(spark, sf_dir, E), path)
+    return vector_index.Index.load(spark, path)
+
+
+R.add("index_search")(lambda s, d: built_index(s, d).search(asked(table(s, d, E))))
+R.add("index_cover", "SELECT vec_id AS id, label FROM embeddings")(lambda s, d: built_index(s, d).rows(s).select("id", "label"))
+
+
 def hits(spark, sf_dir, k=10):
     """Search hits with a file, a page and a text: the vectors' labels stand for files."""
     e = table(spark, sf_dir, E)
@@ -174,24 +201,39 @@ R.add("hits_to_documents", _HITS + "SELECT query_id, rank, text AS page_content,
 R.over("bpe_wordcount", D, lambda d: bpe.word_counts(d.select(F.col("text"))), r"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\s+|\S+')) AS piece FROM documents) GROUP BY piece")
 
 
-def first_merges(spark, sf_dir):
-    return bpe.train(bpe.word_counts(table(spark, sf_dir, "benchmark").select("text")), 8)
+def merges(spark, sf_dir, n):
+    return bpe.train(bpe.word_counts(table(spark, sf_dir, D).select("text")), n)
+
 
+R.add("bpe_train")(lambda spark, sf_dir: merges(spark, sf_dir, 1000))
 
-R.add("bpe_train")(first_merges)
+
+def _digest(coded):
+    return coded.select("doc_id", F.size("ids").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"), (F.col("back") == F.col("text")).alias("same"))
 
 
 @R.add("bpe_encode")
 def bpe_encode(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark")
-    merges = first_merges(spark, sf_dir)
-    coded = bpe.encode(docs, merges, "text", "ids")
-    return bpe.decode(coded, merges, "ids", "back").select("item_id", F.size("ids").alias("n"), (F.col("back") == F.col("text")).alias("same"))
+    """The documents in a tokenizer of 200 merges learned from them, and back."""
+    t = bpe.Tokenizer.trained(merges(spark, sf_dir, 200))
+    return _digest(t.decode(t.encode(table(spark, sf_dir, D), "text", "ids"), "ids", "back"))
+
+
+@R.add("bpe_save")
+def bpe_save(spark, sf_dir):
+    """A tokenizer with special tokens, saved and loaded; they stay whole between the documents' lines."""
+    path = stores.scratch(spark, "tokenizer")
+    bpe.Tokenizer.trained(merges(spark, sf_dir, 200), ["<|line|>", "<|end|>"]).save(spark, path)
+    t = bpe.Tokenizer.load(spark, path)
+    docs = table(spark, sf_dir, D).select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit("<|line|>")), F.lit("<|end|>")).alias("text"))
+    coded = t.decode(t.encode(docs, "text", "ids", specials=True), "ids", "back")
+    specials = F.size(F.filter("ids", lambda i: i >= min(t.specials.values())))
+    return _digest(coded).join(coded.select("doc_id", specials.alias("specials")), "doc_id")
 
 
-@R.add("bpe_first_merge", r"WITH w AS (SELECT hex(encode(piece)) AS h, n FROM (SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\s+|\S+')) AS piece FROM benchmark) GROUP BY piece)), p AS (SELECT n, substr(h, 2 * i + 1, 4) AS pair FROM (SELECT h, n, unnest(range(0, greatest(CAST(length(h) / 2 AS BIGINT) - 1, 0))) AS i FROM w)) SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY pair ORDER BY n DESC, pair DESC LIMIT 1")
+@R.add("bpe_first_merge", r"WITH w AS (SELECT hex(encode(piece)) AS h, n FROM (SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\s+|\S+')) AS piece FROM documents) GROUP BY piece)), p AS (SELECT n, substr(h, 2 * i + 1, 4) AS pair FROM (SELECT h, n, unnest(range(0, greatest(CAST(length(h) / 2 AS BIGINT) - 1, 0))) AS i FROM w)) SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY pair ORDER BY n DESC, pair DESC LIMIT 1")
 def bpe_first_merge(spark, sf_dir):
-    return bpe.pair_counts(bpe.byte_words(bpe.word_counts(table(spark, sf_dir, "benchmark").select("text")))).orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(1).select(F.concat(F.lpad(F.hex("a"), 2, "0"), F.lpad(F.hex("b"), 2, "0")).alias("pair"), "n")
+    return bpe.pair_counts(bpe.byte_words(bpe.word_counts(table(spark, sf_dir, D).select("text")))).orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(1).select(F.concat(F.lpad(F.hex("a"), 2, "0"), F.lpad(F.hex("b"), 2, "0")).alias("pair"), "n")
 
 
 R.over(

@@ -115,21 +115,23 @@ add("sink_backup", restored, "SELECT *, true AS complete, 'hash-384' AS embedder
 
 
 def restore_modes(spark, sf_dir):
-    """What each mode of restoring over a target with rows does."""
-    path, target = W.scratch(spark, "backup"), W.scratch(spark, "target")
+    """What a target with some changed rows holds after each way of restoring over it."""
+    path = W.scratch(spark, "backup")
     rows = table(spark, sf_dir, "labels")
     W.backup(rows, path, "hash-384")
-    rows.limit(0).write.parquet(target)
-    found = []
-    for mode, embedder, force in (("guarded", "hash-384", False), ("other embedder", "e5", True), ("forced", "hash-384", True)):
+    out = []
+    for mode, force in (("merge", False), ("replace", False), ("replace", True)):
+        target = W.scratch(spark, "target")
+        rows.where("doc_id % 2 = 0").withColumn("quality", F.lit(9)).write.parquet(target)
         try:
-            found.append((mode, "restored", W.restore(spark, path, target, embedder, force).count()))
+            held = W.restore(spark, path, target, "hash-384", mode, "doc_id", force)
         except ValueError:
-            found.append((mode, "refused", spark.read.parquet(target).count()))
-    return spark.createDataFrame(found, "mode string, outcome string, n long")
+            held = spark.read.parquet(target)
+        out.append(held.select(F.lit(f"{mode}{' by force' if force else ''}").alias("mode"), "doc_id", "quality", "toxic"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-add("restore_modes", restore_modes, "SELECT 'guarded' AS mode, 'refused' AS outcome, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'other embedder', 'refused', 0 UNION ALL SELECT 'forced', 'restored', (SELECT count(*) FROM labels)")
+add("restore_modes", restore_modes, "WITH l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 9 ELSE quality END AS quality, toxic FROM labels) SELECT 'merge' AS mode, * FROM l UNION ALL SELECT 'replace', * FROM l WHERE doc_id % 2 = 0 UNION ALL SELECT 'replace by force', * FROM labels")
 
 
 def sha_verify(spark, sf_dir):
@@ -223,7 +225,7 @@ add("load_examples", load_examples, "SELECT event_id AS line, CASE WHEN event_id
 
 # --- reindexing and versions ---
 def versions(spark, sf_dir):
-    return W.Versions(spark, f"alias_{abs(hash(sf_dir)) % 1000}", W.scratch(spark, "versions"))
+    return W.Versions(spark, "vectors", W.scratch(spark, "versions"))
 
 
 def mut_reindex(spark, sf_dir):
@@ -239,19 +241,24 @@ add("mut_reindex", mut_reindex, "SELECT vec_id, round(list_sum(list_transform(em
 
 
 def mut_alias_swap(spark, sf_dir):
-    """Two versions, an empty third that is refused, and a roll back to the first."""
+    """What each entry of the log shows: two versions, a roll back, and a third; an empty one and one that comes too late are refused."""
     v = versions(spark, sf_dir)
     e = table(spark, sf_dir, EMB).select("vec_id", "label")
-    steps = [(1, v.publish(e.where("label < 5")), v.table().count()), (2, v.publish(e), v.table().count())]
-    try:
-        v.publish(e.where("false"))
-    except ValueError:
-        steps.append((3, v.shown, v.table().count()))
-    steps.append((4, v.roll_back(), v.table().count()))
-    return spark.createDataFrame(steps, "step int, version int, n long")
+    v.publish(e.where("label < 5"))
+    v.publish(e)
+    v.roll_back()
+    v.publish(e.where("label >= 5"))
+    for rows, after in ((e.where("false"), None), (e, 1)):
+        try:
+            v.publish(rows, after)
+        except ValueError:
+            continue
+        raise AssertionError("a version was to be refused")
+    shown = [v.at(x["shown"]).select(F.lit(x["entry"]).alias("entry"), F.lit(x["shown"]).alias("version"), "vec_id") for x in v.log()]
+    return shown[0].union(shown[1]).union(shown[2]).union(shown[3])
 
 
-add("mut_alias_swap", mut_alias_swap, "WITH a AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT count(*) AS n FROM embeddings WHERE label < 5) SELECT 1 AS step, 1 AS version, n FROM b UNION ALL SELECT 2, 2, n FROM a UNION ALL SELECT 3, 2, n FROM a UNION ALL SELECT 4, 1, n FROM b")
+add("mut_alias_swap", mut_alias_swap, "SELECT 1 AS entry, 1 AS version, vec_id FROM embeddings WHERE label < 5 UNION ALL SELECT 2, 2, vec_id FROM embeddings UNION ALL SELECT 3, 1, vec_id FROM embeddings WHERE label < 5 UNION ALL SELECT 4, 3, vec_id FROM embeddings WHERE label >= 5")
 
 # --- document memory ---
 add("is_substantial", lambda s, d: table(s, d, D).where(M.substantial(F.col("text"))).select("doc_id"), r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200")
@@ -259,7 +266,11 @@ _NAMES = lambda s, d: table(s, d, D).select("doc_id", F.when(F.col("doc_id") % 9
 add(
     "mut_unique_slug",
     lambda s, d: M.unique_slugs(_NAMES(s, d), "name", "doc_id").select("doc_id", "slug"),
-    "WITH b AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN 'Report-' || (doc_id % 40) END AS base FROM documents), t AS (SELECT max(CAST(regexp_extract(base, '(\\d+)$', 1) AS BIGINT)) AS top FROM b WHERE base IS NOT NULL), k AS (SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM b) SELECT doc_id, CASE WHEN base IS NULL THEN 'doc-' || (top + n) WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM k, t",
+    r"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN 'Report-' || (doc_id % 40) END AS base FROM documents),
+k AS (SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n, count(*) FILTER (WHERE base IS NULL) OVER (ORDER BY doc_id) AS u FROM b),
+g AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS own FROM k),
+t AS (SELECT *, max(CASE WHEN base IS NOT NULL THEN CAST(regexp_extract(own, '(\d+)$', 1) AS BIGINT) + 1 - u END) OVER (ORDER BY doc_id) AS top FROM g)
+SELECT doc_id, coalesce(CASE WHEN base IS NOT NULL THEN own END, 'doc-' || (u - 1 + greatest(coalesce(top, 1), 1))) AS slug FROM t""",
 )
 
 
@@ -433,11 +444,11 @@ add("st_dedup_idempotency", st_idempotency, "SELECT DISTINCT user_id AS tenant,
 
 
 def st_stuck(spark, sf_dir):
-    """A user's session that is silent for a day is reclaimed when the next event comes."""
+    """A user's session that is silent for a day is reclaimed: when the next event comes, or by its timer."""
     return drained(I.timeouts(T.events_stream(spark, sf_dir), "user_id", "ts", 24 * 3600)).groupBy("user_id").agg(F.count("*").alias("reclaimed"))
 
 
-add("st_stuck_timeout", st_stuck, "WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events) SELECT user_id, count(*) AS reclaimed FROM e WHERE next - ts > INTERVAL 1 DAY GROUP BY user_id")
+add("st_stuck_timeout", st_stuck, "WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, max(ts) OVER () - INTERVAL 1 HOUR AS now FROM events) SELECT user_id, count(*) AS reclaimed FROM e WHERE next - ts > INTERVAL 1 DAY OR (next IS NULL AND ts + INTERVAL 1 DAY <= now) GROUP BY user_id")
 
 
 def st_health(spark, sf_dir):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import datasets as T
 from corpusloom.operators import evaluation as E
+from corpusloom.operators import ordered as B
 from corpusloom.plans import ops_queries as P
 from corpusloom.plans import search_queries as Q
 from corpusloom.plans._registry import Registry, table
@@ -160,10 +161,7 @@ _ordered = "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER
 
 
 def lm_split(s, d):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("source")
-    rows = table(s, d, "documents").select("source", "doc_id", F.row_number().over(by.orderBy("doc_id")).alias("rn"), F.count("*").over(by).alias("n"))
+    rows = B.with_count(B.numbered(table(s, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "rn"), ["source"])
     return rows.select("doc_id", F.when(F.col("rn") > F.col("n") - F.floor(F.col("n") * 0.05), "val").otherwise("train").alias("part"))
 
 

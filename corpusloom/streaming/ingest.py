@@ -7,8 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def source(spark: SparkSession, path: str, pattern: str, schema, files_per_batch: int = 64) -> DataFrame:
     """A folder of Parquet files as a stream; few files a batch keep a batch's memory bounded."""
@@ -71,22 +75,53 @@ def last_batch(stream: DataFrame, out: str, state: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
-def timeouts(stream: DataFrame, key: str, ts: str, seconds: int, delay: str = "1 hour") -> DataFrame:
-    """(key, at): the times at which a key had been silent for ``seconds``, found when its next event comes, by the state
-    of its last one. The silence after the last event is not reported."""
+class Silence(StatefulProcessor):
+    """Per key the time of its last event and a timer ``seconds`` after it; at the timer the key is reclaimed and its state dropped."""
 
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        at = sorted(t.timestamp() for batch in batches for t in batch[ts])
+    def __init__(self, key: str, ts: str, seconds: int):
+        self.key, self.ts, self.seconds = key, ts, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _found(self, key: tuple, ms: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(ms), "at": [x / 1000 for x in ms]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        wait = self.seconds * 1000
+        at = sorted(int(t.value // 1_000_000) for batch in rows for t in batch[self.ts])
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is not None:
+            self.handle.deleteTimer(last + wait)
         found = []
         for t in at:
-            if last is not None and t - last > seconds:
-                found.append(last + seconds)
+            if last is not None and t - last > wait:
+                found.append(last + wait)
             last = t if last is None else max(last, t)
-        state.update((last,))
-        yield pd.DataFrame({key: [name[0]] * len(found), "at": found})
+        self.last.update((last,))
+        self.handle.registerTimer(last + wait)
+        yield self._found(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield self._found(key, [expiredTimerInfo.getExpiryTimeInMs()])
+
+    def close(self) -> None:
+        pass
 
-    return stream.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(run, f"{key} long, at double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+def timeouts(stream: DataFrame, key: str, ts: str, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """(key, at): the times at which a key had been silent for ``seconds``.
+
+    Found when its next event comes or, by a timer on event time, when the watermark (``delay`` behind the latest event) has passed
+    that time; so the silence after a key's last event is found too, and nothing is kept of a key that was reclaimed. Needs the state
+    store that keeps timers, which this sets for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField("at", T.DoubleType())])
+    watched = stream.select(key, ts).withWatermark(ts, delay).groupBy(key)
+    return watched.transformWithStateInPandas(Silence(key, ts, seconds), out, "Append", "EventTime")
 
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -1,5 +1,7 @@
 """Searches for more queries than a block holds."""
 
+import random
+
 from corpusloom.operators import retrieval
 from corpusloom.plans import search_queries
 
@@ -12,3 +14,16 @@ def test_no_query_is_dropped(spark, monkeypatch):
     for search in (retrieval.search, retrieval.search_blocked):
         got = search(queries, e, 2).collect()
         assert sorted((r.query_id, r["rank"]) for r in got) == [(q, rank) for q in range(0, 1001, 100) for rank in (1, 2)]
+
+
+def test_many_needles(spark, monkeypatch):
+    """Ten thousand needles against a plain count; overlaps, cases, parts of one another, and several automata."""
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("abAB c") for _ in range(rng.randint(0, 300)))) for i in range(60)] + [(100, None), (101, ""), (102, "aaaa")]
+    needles = ["aa", "AB", "a", "ba b", "", None] + ["".join(rng.choice("abc ") for _ in range(rng.randint(2, 9))) for _ in range(10_000)]
+    docs, wanted = spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame([(n,) for n in needles], "n string")
+    plain = sorted((i, n, t.lower().count(n)) for i, t in texts if t for n in {x.lower() for x in needles if x} if n in t.lower())
+    for size in (16 << 20, 300_000):
+        monkeypatch.setattr(retrieval, "NEEDLE_BYTES", size)
+        assert sorted(tuple(r) for r in retrieval.needle_counts(docs, wanted).collect()) == plain
+    assert retrieval.needle_counts(docs, wanted.where("false")).count() == 0
