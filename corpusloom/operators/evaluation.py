@@ -13,10 +13,12 @@ def hit(relevant: Column, retrieved: Column, k: int) -> Column:
     return F.coalesce(F.arrays_overlap(F.slice(retrieved, 1, k), relevant), F.lit(False)).cast("double") if k > 0 else F.lit(0.0)
 
 
-def recall(relevant: Column, retrieved: Column, k: int) -> Column:
+def recall(relevant: Column, retrieved: Column, k: int, total: Column | None = None) -> Column:
+    """``total``: how many relevant keys there are, where ``relevant`` lists only those that were retrieved."""
     wanted = F.array_distinct(relevant)
-    found = F.size(F.array_intersect(F.slice(retrieved, 1, k), wanted)) / F.size(wanted)
-    return F.when(F.size(wanted) > 0, found).otherwise(0.0) if k > 0 else F.lit(0.0)
+    n = F.size(wanted) if total is None else total
+    found = F.size(F.array_intersect(F.slice(retrieved, 1, k), wanted)) / n
+    return F.when(n > 0, found).otherwise(0.0) if k > 0 else F.lit(0.0)
 
 
 def reciprocal_rank(relevant: Column, retrieved: Column, k: int) -> Column:
@@ -29,9 +31,10 @@ def reciprocal_rank(relevant: Column, retrieved: Column, k: int) -> Column:
 METRICS = {"hit": hit, "recall": recall, "mrr": reciprocal_rank}
 
 
-def score(items: DataFrame, ranked: str, relevant: str = "relevant", ks: tuple[int, ...] = KS) -> DataFrame:
-    """Every metric at every k as a column."""
-    return items.withColumns({f"{name}_{k}": f(F.col(relevant), F.col(ranked), k) for name, f in METRICS.items() for k in ks})
+def score(items: DataFrame, ranked: str, relevant: str = "relevant", ks: tuple[int, ...] = KS, total: str | None = None) -> DataFrame:
+    """Every metric at every k as a column; ``total`` as in ``recall``."""
+    more = {"recall": (F.col(total),)} if total else {}
+    return items.withColumns({f"{name}_{k}": f(F.col(relevant), F.col(ranked), k, *more.get(name, ())) for name, f in METRICS.items() for k in ks})
 
 
 def aggregate(scored: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
@@ -51,12 +54,12 @@ def reranked(keys: str, scores: str, k: Column) -> Column:
     return F.transform(F.array_sort(zipped), lambda x: x["key"])
 
 
-def sweep(items: DataFrame, candidates: list[int], ks: tuple[int, ...] = KS) -> DataFrame:
+def sweep(items: DataFrame, candidates: list[int], ks: tuple[int, ...] = KS, total: str | None = None) -> DataFrame:
     """For each number of candidates the means before and after reranking; items have keys, scores and relevant."""
     wide = items.withColumn("candidates", F.explode(F.array(*map(F.lit, candidates))))
     sides = F.array(F.struct(F.lit("base").alias("side"), F.slice(F.col("keys"), F.lit(1), F.col("candidates")).alias("ranked")), F.struct(F.lit("teacher").alias("side"), reranked("keys", "scores", F.col("candidates")).alias("ranked")))
-    rows = wide.withColumn("x", F.explode(sides)).select("relevant", "candidates", "x.side", "x.ranked")
-    return score(rows, "ranked", ks=ks).groupBy("candidates", "side").agg(*(F.round(F.avg(f"{n}_{k}"), 6).alias(f"{n}_{k}") for n in METRICS for k in ks))
+    rows = wide.withColumn("x", F.explode(sides)).select("relevant", "candidates", "x.side", "x.ranked", *([total] if total else []))
+    return score(rows, "ranked", ks=ks, total=total).groupBy("candidates", "side").agg(*(F.round(F.avg(f"{n}_{k}"), 6).alias(f"{n}_{k}") for n in METRICS for k in ks))
 
 
 def gate_failures(measured: DataFrame, floors: DataFrame) -> DataFrame:

@@ -68,6 +68,21 @@ def substantial(text: Column, least: int = 200) -> Column:
     return F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")) >= least
 
 
+def since_summary(exchanges: DataFrame, saved: DataFrame, conversation: str, turn: str, due: int = 6) -> DataFrame:
+    """``exchanges`` with ``since``, the messages since the conversation's last saved summary (two an exchange, its own among
+    them), ``summary``, the number of that turn (null before the first), and ``due`` once there are so many messages.
+
+    ``saved``: conversation and turn of the summaries; one saved at an exchange's turn comes after it. Repeated summaries count once, those of other
+    conversations not at all.
+    """
+    both = exchanges.select(conversation, turn, F.lit(0).alias("__saved")).unionByName(saved.select(conversation, turn, F.lit(1).alias("__saved")))
+    counted = ordered.scan(both, [conversation], [turn, "__saved"], {"__n": 1 - F.col("__saved")})
+    last = {"__from": F.when(F.col("__saved") == 1, F.col("__n")), "summary": F.when(F.col("__saved") == 1, F.col(turn))}
+    rows = ordered.scan(counted, [conversation], [turn, "__saved"], maxima=last).where("__saved = 0")
+    since = (2 * (F.col("__n") - F.coalesce("__from", F.lit(0)))).cast("int")
+    return rows.select(conversation, turn, since.alias("since"), "summary", (since >= due).alias("due"))
+
+
 def warm_up(queries: DataFrame, key: str, n: str, least: int, limit: int, first: int) -> DataFrame:
     """At most ``limit`` queries with enough candidates by key, the first of them as warm-up."""
     chosen = queries.where(F.col(n) >= least).orderBy(key).limit(limit)
@@ -75,8 +90,8 @@ def warm_up(queries: DataFrame, key: str, n: str, least: int, limit: int, first:
 
 
 def answerable(items: DataFrame, relevant: str) -> DataFrame:
-    """Items to be scored; none at all is an error rather than a perfect score."""
-    kept = items.where(F.size(relevant) > 0)
+    """Items to be scored, by the keys in ``relevant`` or their number; none at all is an error rather than a perfect score."""
+    kept = items.where((F.size(relevant) if dict(items.dtypes)[relevant].startswith("array") else F.col(relevant)) > 0)
     total = kept.agg(F.count("*").alias("__n"))
     checked = F.when(F.col("__n") == 0, F.raise_error(F.lit("no item has relevant keys"))).otherwise(F.col("__n"))
     return kept.crossJoin(F.broadcast(total.select(checked.alias("__n")))).where("__n > 0").drop("__n")

@@ -41,7 +41,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Colum
     ends = dealt.groupBy(*keys, "__part").agg(*(f(n).alias(n) for n, f in total.items()))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # a key goes on in a later range at most once a range
-    ends = ends.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), F.count("*").over(before).alias("__n"), *(f(n).over(before).alias(f"__b{n[3:]}") for n, f in total.items())).where("__n > 0")
+    ends = ends.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), F.count("*").over(before).alias("__ranges"), *(f(n).over(before).alias(f"__b{n[3:]}") for n, f in total.items())).where("__ranges > 0")
     inside = Window.partitionBy("__part", *keys).orderBy(*order, "__m").rowsBetween(Window.unboundedPreceding, 0)
     local = dealt.select("*", *(f(n).over(inside).alias(f"__l{n[3:]}") for n, f in total.items()))
     match = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__part") == F.col("__p"))

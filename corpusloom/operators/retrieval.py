@@ -89,8 +89,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return first_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
-def search_blocked(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """As ``search`` for any number of queries: blocks of vectors meet blocks of queries as matrices."""
+def _cells(queries: DataFrame, chunks: DataFrame, score: Callable, schema: str) -> DataFrame:
+    """``score`` over cells of at most about VECTOR_BLOCK vectors and QUERY_BLOCK queries, which together meet all pairs once."""
     n, m = chunks.count(), queries.count()
     rows, cols = max(1, -(-n // VECTOR_BLOCK), min(8, -(-n // 1024))), max(1, -(-m // QUERY_BLOCK))
     part = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
@@ -102,17 +102,40 @@ def search_blocked(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFra
         if chunk.empty or query.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         a, b = (np.vstack(x.embedding.to_numpy()).astype(np.float64) for x in (chunk, query))
+        return score(query.query_id.to_numpy(), b, chunk.vec_id.to_numpy(), a)
+
+    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(cell, schema)
+
+
+_PAIRS = "query_id long, vec_id long, score double"
+
+
+def search_blocked(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """As ``search`` for any number of queries: blocks of vectors meet blocks of queries as matrices."""
+
+    def best(names: np.ndarray, b: np.ndarray, ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
         score = np.round(b @ a.T, 6)
-        ids, names = chunk.vec_id.to_numpy(), query.query_id.to_numpy()
         score[names[:, None] == ids[None, :]] = -np.inf
-        best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-        found = np.take_along_axis(score, best, axis=1)
-        out = pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "vec_id": ids[best].ravel(), "score": found.ravel()})
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "vec_id": ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
         return out[out.score > 0]
 
-    found = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(cell, "query_id long, vec_id long, score double")
-    return first_k(found, ["query_id"], [F.desc("score"), "vec_id"], k)
+    return first_k(_cells(queries, chunks, best, _PAIRS), ["query_id"], [F.desc("score"), "vec_id"], k)
+
+
+def scored(queries: DataFrame, chunks: DataFrame, cosine: bool = True, above: float | None = None) -> DataFrame:
+    """(query_id, vec_id, score): every query against every vector, itself included; with ``above`` only higher scores. A zero vector's cosine is 0."""
+
+    def every(names: np.ndarray, b: np.ndarray, ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
+        score = b @ a.T
+        if cosine:
+            length = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
+            score = np.divide(score, length, out=np.zeros_like(score), where=length > 0)
+        out = pd.DataFrame({"query_id": np.repeat(names, len(ids)), "vec_id": np.tile(ids, len(names)), "score": np.round(score, 6).ravel()})
+        return out if above is None else out[out.score > above]
+
+    return _cells(queries, chunks, every, _PAIRS)
 
 
 def substring_search(chunks: DataFrame, needle: str, k: int, filters: SearchFilters) -> DataFrame:

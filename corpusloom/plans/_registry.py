@@ -19,9 +19,11 @@ class Registry:
         self.sql: dict[str, str] = {}
 
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
-        """Register the decorated function under ``name``."""
+        """Register the decorated function under ``name``, which no other has."""
 
         def put(f: Query) -> Query:
+            if name in self.queries:
+                raise ValueError(f"{name} is registered twice")
             self.queries[name] = f
             if sql is not None:
                 self.sql[name] = sql

@@ -9,6 +9,9 @@ MODULES = [text_queries, search_queries, ops_queries, train_queries, store_queri
 
 
 def queries() -> dict[str, Query]:
+    names = [name for m in MODULES for name in m.R.queries]
+    if len(names) > len(set(names)):
+        raise ValueError(f"registered twice: {sorted({n for n in names if names.count(n) > 1})}")
     return {name: f for m in MODULES for name, f in m.R.queries.items()}
 
 

@@ -77,7 +77,6 @@ add(
     lambda s, d: table(s, d, D).select("doc_id", S.parser_name(F.concat("source", F.element_at(F.array(*map(F.lit, [".PDF", ".htm", ".md", "", ".exe"])), (F.col("doc_id") % 5 + 1).cast("int")))).alias("parser")),
     "SELECT doc_id, ['pdf', 'html', 'md', NULL, NULL][1 + doc_id % 5] AS parser FROM documents",
 )
-add("src_decode", lambda s, d: table(s, d, D).select("doc_id", (S.decoded(F.encode("text", "UTF-8")) == F.col("text")).alias("same")), "SELECT doc_id, true AS same FROM documents")
 add(
     "src_jsonl",
     lambda s, d: table(s, d, V).where("trim(props) <> ''").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.size("m").alias("n")),
@@ -85,7 +84,6 @@ add(
 )
 add("count_rows", lambda s, d: table(s, d, V).agg(F.count_if(F.trim("props") != "").alias("n")), "SELECT count(*) FILTER (WHERE trim(props) <> '') AS n FROM events")
 add("src_hf_stream", lambda s, d: table(s, d, D).orderBy("doc_id").limit(50).select("doc_id", "lang"), "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
-add("src_rebuild", lambda s, d: table(s, d, D).where("trim(text) <> ''").groupBy("source").agg(F.sum(F.ceil(F.length("text") / 900).cast("long")).alias("chunks")), "SELECT source, CAST(sum(CAST(ceil(length(text) / 900.0) AS BIGINT)) AS BIGINT) AS chunks FROM documents WHERE trim(text) <> '' GROUP BY source")
 
 # sinks
 _pairs = lambda s, d: table(s, d, D).select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("seq"), "lang")
@@ -96,7 +94,7 @@ add(
 )
 _usage = lambda s, d: table(s, d, V).select("event_id", F.col("user_id").alias("tenant"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("key"))
 _USAGE = "WITH u AS (SELECT event_id, user_id AS tenant, CASE WHEN event_id % 3 > 0 THEN event_type END AS key FROM events) SELECT * FROM u WHERE key IS NULL UNION ALL SELECT * FROM u WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tenant, key ORDER BY event_id) = 1"
-for _name in ("sink_usage", "sink_billing", "sink_audit", "st_dedup_idempotency"):
+for _name in ("sink_usage",):
     add(_name, lambda s, d: K.once(_usage(s, d), ["tenant", "key"], [F.asc("event_id")]), _USAGE)
 _LEVEL = "SELECT source, x.i // 256 AS i, md5(string_agg(d, '' ORDER BY x.i)) AS d, sum(n) AS n, sum(b) AS b, sum(s) AS s FROM {} x GROUP BY source, x.i // 256"
 _MANIFEST = (
@@ -106,9 +104,6 @@ _MANIFEST = (
 )
 add("sink_manifest", lambda s, d: K.manifest(table(s, d, D), "source", "text", "doc_id"), _MANIFEST)
 add("agg_manifest", lambda s, d: K.manifest(table(s, d, D), "lang", "text", "doc_id").agg(F.count("*").alias("sources"), F.sum("articles").alias("articles"), F.sum("bytes").alias("bytes")), "SELECT count(DISTINCT lang) AS sources, count(*) AS articles, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents")
-add("sink_backup", lambda s, d: table(s, d, D).agg(F.count("*").alias("file_count"), F.sum(F.octet_length("text")).alias("total_bytes")), "SELECT count(*) AS file_count, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes FROM documents")
-add("sink_export_import", lambda s, d: table(s, d, "embeddings").where("embedding is not null").select("vec_id", "label"), "SELECT vec_id, label FROM embeddings WHERE embedding IS NOT NULL")
-add("faiss_persist", lambda s, d: table(s, d, "embeddings").select("vec_id").join(table(s, d, "labels").select(F.col("doc_id").alias("vec_id"), "quality"), "vec_id"), "SELECT vec_id, quality FROM embeddings JOIN labels ON vec_id = doc_id")
 
 # joins
 add("join_chunk_doc", lambda s, d: table(s, d, D).select("doc_id", F.explode(F.split("text", "\n")).alias("chunk")).groupBy("doc_id").agg(F.count("*").alias("n")).join(table(s, d, D).select("doc_id", "lang"), "doc_id"), "SELECT doc_id, lang, len(string_split(text, chr(10))) AS n FROM documents")
@@ -144,7 +139,7 @@ add(
 )
 add("queue_depth", lambda s, d: files(s, d).where("status = 'queued' and tenant_id = 'src1'").agg(F.count("*").alias("n")), f"WITH {FILES} SELECT count(*) AS n FROM files WHERE status = 'queued' AND tenant_id = 'src1'")
 _CHILD = "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"
-for _name in ("agg_child_count", "docs_listing"):
+for _name in ("agg_child_count",):
     add(_name, lambda s, d: O.child_count(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "orders"), _CHILD)
 add("agg_signature", lambda s, d: table(s, d, "embeddings").agg(F.count("*").alias("docs"), F.max("vec_id").alias("max_id"), F.countDistinct(F.size("embedding")).alias("dims")), "SELECT count(*) AS docs, max(vec_id) AS max_id, count(DISTINCT len(embedding)) AS dims FROM embeddings")
 add("agg_group_ordered", lambda s, d: table(s, d, C).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.min("turn").alias("first")), "SELECT conv_id, list(role ORDER BY turn) AS roles, min(turn) AS first FROM conversations GROUP BY conv_id")
@@ -168,7 +163,7 @@ def nearest(s, d):
     return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
-for _name in ("agg_percentile_nearest", "ev_latency"):
+for _name in ("agg_percentile_nearest",):
     add(_name, nearest, "SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 add(
     "agg_dataset_report",
@@ -177,7 +172,6 @@ add(
     ),
     "SELECT count(*) AS size, count(*) - count(DISTINCT (lang, text)) AS duplicates, count(*) FILTER (WHERE length(text) = 0) AS empty, count(*) FILTER (WHERE length(text) > 8000) AS overlong, count(*) FILTER (WHERE length(text) < 200) AS short, count(*) FILTER (WHERE length(text) < 200) / greatest(1, count(*)) > 0.5 AS mostly_short FROM documents",
 )
-R.queries["write_reports"], R.sql["write_reports"] = R.queries["agg_dataset_report"], R.sql["agg_dataset_report"]
 add("agg_exact_match", lambda s, d: table(s, d, "labels").agg((F.sum((F.col("quality") == F.col("toxic")).cast("double")) / F.greatest(F.lit(1), F.count("*"))).alias("x")).select(F.round("x", 6).alias("x")), "SELECT round(sum(CASE WHEN quality = toxic THEN 1.0 ELSE 0 END) / greatest(1, count(*)), 6) AS x FROM labels")
 add("agg_pearson", lambda s, d: table(s, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r")), "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 add("agg_cost_total", lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.when(F.count_if(F.col("o_custkey") % 500 == 0) > 0, None).otherwise(F.round(F.sum("o_totalprice"), 2)).alias("total")), "SELECT o_orderpriority, CASE WHEN count(*) FILTER (WHERE o_custkey % 500 = 0) > 0 THEN NULL ELSE round(sum(o_totalprice), 2) END AS total FROM orders GROUP BY o_orderpriority")
@@ -204,7 +198,6 @@ add(
     lambda s, d: O.feedback_pairs(feedback(s, d), messages(s, d)),
     _PAIRS + "SELECT question AS prompt, CASE WHEN alternative IS NOT NULL THEN alternative ELSE answer END AS chosen, CASE WHEN alternative IS NOT NULL THEN answer ELSE older_alt END AS rejected, CASE WHEN alternative IS NOT NULL THEN 'live_alt' ELSE 'live_paired' END AS strategy, CASE WHEN alternative IS NOT NULL THEN [id] ELSE [id, older] END AS feedback_ids FROM j WHERE alternative IS NOT NULL OR (rating = 1 AND older IS NOT NULL)",
 )
-R.queries["feedback_export"], R.sql["feedback_export"] = R.queries["ds_dpo_live"], R.sql["ds_dpo_live"]
 
 
 def prev_down(s, d):
@@ -226,7 +219,7 @@ def truncated(s, d, budget=1000):
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
 
 
-for _name in ("win_truncate_bytes", "ds_mix_corpora"):
+for _name in ("win_truncate_bytes",):
     add(_name, truncated, f"WITH {_LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM b WHERE upto <= 1000 GROUP BY doc_id")
 _by_source = lambda s, d: B.numbered(table(s, d, D).select("source", "doc_id"), ["source"], ["doc_id"], "rn")
 add("win_stride_sample", lambda s, d: _by_source(s, d).where("pmod(rn - 1 - 1, 3) = 0 and rn > 1").select("doc_id"), "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE (rn - 2) % 3 = 0 AND rn > 1")
@@ -235,19 +228,8 @@ add(
     lambda s, d: _by_source(s, d).withColumn("batch", F.floor((F.col("rn") - 1) / 3).cast("int")).groupBy("source", "batch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) >= 2"),
     "SELECT source, batch, list(doc_id ORDER BY doc_id) AS ids FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 3) AS INTEGER) AS batch FROM documents) GROUP BY ALL HAVING count(*) >= 2",
 )
-_scored = lambda s, d: table(s, d, "lineitem").where("l_orderkey <= 200").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-def pairs_within(s, d):
-    """Ordered pairs of a query's candidates whose labels differ by more than the margin; a query has a few candidates."""
-    a, b = _scored(s, d), _scored(s, d).select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_quantity").alias("q2"))
-    return a.join(b, "l_orderkey").where("l_quantity - q2 > 5").select("l_orderkey", "l_linenumber", "other")
-
-
-_PW = "SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_orderkey <= 200 AND a.l_quantity - b.l_quantity > 5"
-add("win_pairs_within_query", pairs_within, _PW)
-for _name in ("group_by_query", "query_batches"):
-    add(_name, lambda s, d: pairs_within(s, d).groupBy("l_orderkey").agg(F.count("*").alias("pairs")).where("pairs >= 2"), f"SELECT l_orderkey, count(*) AS pairs FROM ({_PW}) GROUP BY l_orderkey HAVING count(*) >= 2")
 _MD5 = "CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT)"
 
 
@@ -291,10 +273,6 @@ add(
 )
 add("mut_replace_pages", lambda s, d: table(s, d, "pages").where("page_id % 2 = 0").select("page_id", F.lit("old").alias("v")).join(table(s, d, "pages").where("page_id % 3 = 0").select("page_id"), "page_id", "left_anti").union(table(s, d, "pages").where("page_id % 3 = 0").select("page_id", F.lit("new"))), "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
 add("mut_delete_cascade", lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_returnflag")
-add("mut_update_summary", lambda s, d: table(s, d, C).groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", (F.floor(F.col("n") / 2) * 2).alias("since"), (F.floor(F.col("n") / 2) * 2 >= 6).alias("due")), "SELECT conv_id, CAST(floor(count(*) / 2) AS BIGINT) * 2 AS since, CAST(floor(count(*) / 2) AS BIGINT) * 2 >= 6 AS due FROM conversations GROUP BY conv_id")
-add("mut_reindex", lambda s, d: table(s, d, "embeddings").select("vec_id", F.when(F.col("vec_id") >= 100, "new").otherwise("old").alias("version")), "SELECT vec_id, CASE WHEN vec_id >= 100 THEN 'new' ELSE 'old' END AS version FROM embeddings")
-add("mut_alias_swap", lambda s, d: table(s, d, "embeddings").agg(F.count("*").alias("rows"), (F.count("*") > 0).alias("ready")), "SELECT count(*) AS rows, count(*) > 0 AS ready FROM embeddings")
-add("file_store_crud", lambda s, d: files(s, d).where("id % 10 <> 3").withColumn("status", F.when(F.col("id") % 10 == 4, "processing").otherwise(F.col("status"))).groupBy("status").agg(F.count("*").alias("n")), f"WITH {FILES} SELECT CASE WHEN id % 10 = 4 THEN 'processing' ELSE status END AS status, count(*) AS n FROM files WHERE id % 10 <> 3 GROUP BY 1")
 add("conversation_ownership", lambda s, d: table(s, d, V).select("event_id", "user_id").join(table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(1).alias("own")), "user_id", "left").select("event_id", F.when(F.col("own").isNull(), "create").otherwise("open").alias("action")), "SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'create' ELSE 'open' END AS action FROM events LEFT JOIN customer ON user_id = c_custkey")
 add("rolling_summary", lambda s, d: O.last_turns(table(s, d, C), 5).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), F.left(x["text"], F.lit(20)))), "\n").alias("prompt")), "SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) ORDER BY turn) AS prompt FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id")
 
@@ -316,7 +294,5 @@ def health(s, d):
 
 
 _HEALTH = f"WITH r AS (SELECT event_id, ts, ['vector_backend_down', 'hashing_embedder', 'embedding_dim_mismatch', 'search_truncated'][1 + user_id % 4] AS reason, event_type <> 'view' AS degraded FROM events), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY reason ORDER BY ts DESC, event_id DESC) = 1) SELECT reason, CASE WHEN reason = 'search_truncated' THEN 'warning' ELSE 'critical' END AS severity, CAST(floor(epoch((SELECT t FROM ({_LAST})))) - floor(epoch(ts)) AS BIGINT) AS age_s FROM l WHERE degraded"
-add("st_health_ttl", health, _HEALTH)
 add("retrieval_payload", lambda s, d: health(s, d).agg(F.array_sort(F.collect_list("reason")).alias("reasons"), F.max(F.when(F.col("severity") == "critical", 2).otherwise(1)).alias("level")).select(F.when(F.size("reasons") > 0, F.array_join("reasons", ",")).alias("reasons"), "level"), f"SELECT string_agg(reason, ',' ORDER BY reason) AS reasons, max(CASE WHEN severity = 'critical' THEN 2 ELSE 1 END) AS level FROM ({_HEALTH})")
-add("st_sse", lambda s, d: table(s, d, C).where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("token_index", "token")), "SELECT conv_id, turn, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS token_index, unnest(t) AS token FROM (SELECT conv_id, turn, string_split(text, ' ') AS t FROM conversations WHERE role = 'assistant')")
 add("iter_chunks", lambda s, d: table(s, d, D).select("doc_id", F.trim("text").alias("t")).where("t <> ''").orderBy("doc_id").select("doc_id", F.length("t").alias("n")), "SELECT doc_id, length(trim(text, ' ')) AS n FROM documents WHERE trim(text, ' ') <> ''")

@@ -78,19 +78,10 @@ def signature(e):
 R.over("emb_sig_check", E, signature, "SELECT 'table' AS embedder, CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n FROM embeddings GROUP BY ALL")
 _N = "sqrt(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 R.over("vec_normalise", E, lambda e: e.select("vec_id", F.transform(V.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("v")), "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / " + _N.format(v="embedding") + ", 6)) AS v FROM embeddings")
-R.queries["frozen_build"], R.sql["frozen_build"] = R.queries["vec_normalise"], R.sql["vec_normalise"]
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _COS = f"round({_DOT.format(a='q.embedding', b='c.embedding')} / ({_N.format(v='q.embedding')} * {_N.format(v='c.embedding')}), 6)"
 _TOPK = f"""SELECT q.vec_id AS query_id, c.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id"""
 _RANKED = f"WITH s AS ({_TOPK}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= {{k}}"
-R.over(
-    "vec_cosine",
-    E,
-    lambda e: e.alias("c").join(F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q"))), F.size("q") == F.size("embedding")).select("vec_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score")),
-    f"SELECT c.vec_id, {_COS} AS score FROM embeddings c JOIN embeddings q ON q.vec_id = 0",
-)
-
-
 def asked(e):
     return e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
@@ -104,12 +95,9 @@ R.over("join_vector_topk", E, lambda e: S.search_blocked(asked(e), e, 5), _RANKE
 R.add("search_topk", _RANKED.format(k=5))(lambda s, d: top(s, d))
 R.add("win_topk_search", _RANKED.format(k=10))(lambda s, d: top(s, d, 10))
 R.over("flt_dim", E, lambda e: e.where(F.size("embedding") == 64).select("vec_id"), "SELECT vec_id FROM embeddings WHERE len(embedding) = 64")
-R.over(
-    "flt_score_positive",
-    E,
-    lambda e: e.join(F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("q"))), F.size("q") == F.size("embedding")).select("vec_id", F.round(V.dot(F.col("q"), F.col("embedding")), 6).alias("score")).where("score > 0"),
-    f"SELECT vec_id, score FROM (SELECT c.vec_id, round({_DOT.format(a='q.embedding', b='c.embedding')}, 6) AS score FROM embeddings c JOIN embeddings q ON q.vec_id = 1) WHERE score > 0",
-)
+R.over("vec_cosine", E, lambda e: S.scored(asked(e), e), f"SELECT q.vec_id AS query_id, c.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0")
+_PRODUCT = f"round({_DOT.format(a='q.embedding', b='c.embedding')}, 6)"
+R.over("flt_score_positive", E, lambda e: S.scored(asked(e), e, cosine=False, above=0.0), f"SELECT q.vec_id AS query_id, c.vec_id, {_PRODUCT} AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 WHERE {_PRODUCT} > 0")
 
 
 def payloads(d):

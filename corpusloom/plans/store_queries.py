@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import chunks
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors as V
 from corpusloom.operators import evaluation as E
@@ -291,15 +292,16 @@ add(
 
 
 def update_summary(spark, sf_dir):
-    """A counter by two an exchange, reset where a summary is saved (every fourth exchange); due from six messages on."""
-    c = table(spark, sf_dir, C).where("role = 'assistant'").select("conv_id", "turn")
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    n = c.withColumn("exchange", F.row_number().over(by))
-    since = F.pmod(F.col("exchange") - 1, F.lit(4)) * 2 + 2
-    return n.select("conv_id", "turn", since.alias("since"), (since >= 6).alias("due"))
+    """A summary is saved after each answer whose length is a multiple of five, which sets the counter back; due from six messages on."""
+    c = table(spark, sf_dir, C).where("role = 'assistant'")
+    return M.since_summary(c.select("conv_id", "turn"), c.where("length(text) % 5 = 0").select("conv_id", "turn"), "conv_id", "turn")
 
 
-add("mut_update_summary", update_summary, "SELECT conv_id, turn, CAST((row_number() OVER w - 1) % 4 * 2 + 2 AS INTEGER) AS since, (row_number() OVER w - 1) % 4 * 2 + 2 >= 6 AS due FROM conversations WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+add(
+    "mut_update_summary",
+    update_summary,
+    "WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(text) % 5 = 0 AS saved FROM conversations WHERE role = 'assistant'), s AS (SELECT *, max(CASE WHEN saved THEN n END) OVER w AS f, max(CASE WHEN saved THEN turn END) OVER w AS summary FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, CAST(2 * (n - coalesce(f, 0)) AS INTEGER) AS since, summary, 2 * (n - coalesce(f, 0)) >= 6 AS due FROM s",
+)
 
 
 def crud(spark, sf_dir):
@@ -318,7 +320,17 @@ add(
 )
 
 # --- evaluation ---
-add("flt_empty", lambda s, d: M.answerable(T.items(s, d).withColumn("relevant", F.filter("relevant", lambda v: v % 3 == 0)), "relevant").select("query_id", F.size("relevant").alias("n")), f"{T._ITEMS} SELECT query_id, CAST(len(list_filter(relevant, lambda v: v % 3 = 0)) AS INTEGER) AS n FROM t WHERE len(list_filter(relevant, lambda v: v % 3 = 0)) > 0")
+
+
+def flt_empty(spark, sf_dir):
+    """Items with relevant keys among every third vector."""
+    e = table(spark, sf_dir, EMB).select("vec_id", "label")
+    thirds = e.where("vec_id % 3 = 0").groupBy("label").agg(F.count("*").alias("c"))
+    own = e.join(thirds, "label").select(F.col("vec_id").alias("query_id"), (F.col("c") - F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0)).cast("int").alias("n"))
+    return M.answerable(T.items(spark, sf_dir).select("query_id").join(own, "query_id"), "n")
+
+
+add("flt_empty", flt_empty, f"{T._ITEMS} SELECT query_id, CAST(len(list_filter(relevant, lambda v: v % 3 = 0)) AS INTEGER) AS n FROM t WHERE len(list_filter(relevant, lambda v: v % 3 = 0)) > 0")
 add("ev_run", lambda s, d: T.side(s, d, "base").select("query_id", F.slice("ranked", 1, 5).alias("top"), *(F.round(f"{n}_5", 6).alias(f"{n}_5") for n in E.METRICS)), f"{T._ITEMS} SELECT query_id, list_slice(keys, 1, 5) AS top, " + ", ".join(f"round({f.format(r='keys', k=5)}, 6) AS {n}_5" for n, k, f in T._ALL if k == 5) + " FROM t")
 
 
@@ -397,7 +409,25 @@ add(
     lambda s, d: M.mixed(table(s, d, D).where("lang = 'en'"), table(s, d, D).where("lang = 'de'"), "text", "doc_id").select("side", "doc_id", "bytes"),
     "WITH b AS (SELECT CASE lang WHEN 'en' THEN 'left' ELSE 'right' END AS side, doc_id, octet_length(encode(text)) + 1 AS n FROM documents WHERE lang IN ('en', 'de')), m AS (SELECT min(n) AS budget FROM (SELECT side, sum(n) AS n FROM b GROUP BY side)) SELECT side, doc_id, CAST(n AS BIGINT) AS bytes FROM (SELECT *, sum(n) OVER (PARTITION BY side ORDER BY doc_id) AS upto FROM b), m WHERE upto <= budget",
 )
-add("ds_golden_structural", lambda s, d: table(s, d, D).select("source", X.heading_query(F.concat(F.lit("Статья 1. "), "source")).alias("query"), F.concat("source", F.lit(":"), "doc_id").alias("key")), "SELECT source, source AS query, source || ':' || doc_id AS key FROM documents")
+
+
+def golden_structural(spark, sf_dir):
+    """Per document its heading without the article's number as the question, and all its chunks as the relevant set; those without either are left out."""
+    d = table(spark, sf_dir, D)
+    heading = F.when(F.col("doc_id") % 7 > 0, F.split("text", "\n")[0]).otherwise("")
+    title = F.concat(F.lit("Статья "), (F.col("doc_id") % 50 + 1).cast("string"), F.lit(". "), heading)
+    n = F.size(chunks.windows(X.squeeze(F.col("text"))))
+    keys = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt:"), i.cast("string")))
+    return d.where(n > 0).select("doc_id", X.heading_query(title).alias("question"), keys.alias("relevant"), F.lit("auto").alias("origin")).where("question <> ''")
+
+
+add(
+    "ds_golden_structural",
+    golden_structural,
+    r"WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, regexp_replace(regexp_replace('Статья ' || (doc_id % 50 + 1) || '. ' || CASE WHEN doc_id % 7 > 0 THEN string_split(text, chr(10))[1] ELSE '' END, '^\s*Статья\s+[\d.]+\.?\s*', ''), '^\s+|\s+$', '', 'g') AS question FROM documents), "
+    "n AS (SELECT doc_id, question, len(list_distinct(list_concat(range(0, greatest(length(t) - 900, 0) + 1, 760), [greatest(length(t) - 900, 0)]))) AS n FROM t WHERE length(t) > 0 AND question <> '') "
+    "SELECT doc_id, question, list_transform(range(0, n), lambda i: 'd' || doc_id || '.txt:' || i) AS relevant, 'auto' AS origin FROM n",
+)
 
 
 def lm_batch(spark, sf_dir):
@@ -418,9 +448,8 @@ def features(spark, sf_dir):
     return T.seeds(spark, sf_dir).select("seed_id", *(c.alias(n) for n, c in f.items()))
 
 
-_OLD = [T._CH.format(c=c, n=n) for c, n in (("instruction", 40), ("output", 60))]
-_FULL = [f"list_transform(string_split({c}, ''), lambda x: ascii(x))" for c in ("instruction", "output")]
-add("ds_lm_features", features, T.R.sql["ds_lm_features"].replace(_OLD[0], _FULL[0]).replace(_OLD[1], _FULL[1]))
+_LM_FEATURES = r"""WITH s AS (SELECT doc_id AS seed_id, 'question ' || doc_id AS instruction, text || CASE WHEN doc_id % 4 > 0 THEN ' [doc_chunk:' || doc_id || ']' ELSE '' END AS output, doc_id AS i, CASE WHEN doc_id % 5 > 0 THEN 'answer ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [doc_chunk:12]' ELSE '' END ELSE '' END AS teacher FROM documents), t AS (SELECT seed_id, list_transform(string_split(instruction, ''), lambda x: ascii(x)) AS p, list_transform(string_split(output, ''), lambda x: ascii(x)) AS r FROM s), u AS (SELECT seed_id, p, r, list_slice(list_concat(p, r), -24, -1) AS x, greatest(len(p) - greatest(len(p) + len(r) - 24, 0), 0) AS np, greatest(24 - len(p) - len(r), 0) AS gap FROM t) SELECT seed_id, list_concat(list_resize([]::INTEGER[], gap, 0), x) AS input_ids, list_concat(list_resize([]::INTEGER[], gap + np, -100), list_slice(x, np + 1, 24)) AS labels, list_concat(list_resize([]::INTEGER[], gap, 0), list_resize([]::INTEGER[], len(x), 1)) AS attention_mask FROM u"""
+add("ds_lm_features", features, _LM_FEATURES)
 
 
 # --- streams ---
@@ -470,9 +499,9 @@ def st_sse(spark, sf_dir):
     return drained(deltas.withColumn("event", event)).where("event LIKE 'event: token%'").select("conv_id", "turn", "token_index", "token")
 
 
-add("st_sse", st_sse, P.R.sql["st_sse"])
+add("st_sse", st_sse, "SELECT conv_id, turn, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS token_index, unnest(t) AS token FROM (SELECT conv_id, turn, string_split(text, ' ') AS t FROM conversations WHERE role = 'assistant')")
 add("st_rate_limit", lambda s, d: drained(I.rate_limit(T.events_stream(s, d), most=2, seconds=3600)).groupBy("accepted").agg(F.count("*").alias("n")))
-add("st_dedup_stream", lambda s, d: drained(I.idempotent(T.events_stream(s, d), ["event_id"], "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n")), T.R.sql["st_dedup_stream"])
+add("st_dedup_stream", lambda s, d: drained(I.idempotent(T.events_stream(s, d), ["event_id"], "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n")), 'SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type')
 
 
 def ingest_loop(spark, sf_dir):
@@ -481,4 +510,12 @@ def ingest_loop(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-add("st_ingest_loop", ingest_loop, T.R.sql["st_ingest_loop"])
+add("st_ingest_loop", ingest_loop, 'SELECT event_type, count(*) AS n FROM events GROUP BY event_type')
+
+
+def st_slo(spark, sf_dir):
+    levels = drained(I.service_levels(T.events_stream(spark, sf_dir)), "complete")
+    return levels.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "errors")
+
+
+add("st_slo", st_slo, "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")

@@ -9,7 +9,6 @@ from corpusloom.plans._registry import Registry, table
 
 R = Registry()
 D, P, C = "documents", "pages", "conversations"
-WS = r"\s+"
 
 
 def sq(x: str) -> str:
@@ -38,7 +37,8 @@ R.over(
 )
 _STRIP_SQL = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script(?:\s[^>]*)?>.*?</script>', ' ', 'g'), '(?is)<style(?:\s[^>]*)?>.*?</style>', ' ', 'g'), '(?i)</(?:{X.BLOCK_TAGS})>', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 R.over("str_html_strip", P, lambda p: p.select("page_id", X.html_strip(F.col("html")).alias("body")), f"SELECT page_id, {_STRIP_SQL} AS body FROM pages")
-_POST_SQL = entities(r"regexp_replace(replace(replace(regexp_replace(regexp_replace(body, '(?m)^\s*=+\s*$', ' ', 'g'), '(?m)^\s*#+\s*', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\s+([,.;:!?])', '\1', 'g')", X.PAGE_ENTITIES)
+_LINE_SQL = "array_to_string(list_transform(string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: CASE WHEN regexp_full_match(trim(x, ' '), '=+') THEN '' ELSE regexp_replace(x, '^ *#+ *', '') END), chr(10))"
+_POST_SQL = entities(rf"regexp_replace({_LINE_SQL}, '\s+([,.;:!?])', '\1', 'g')", X.PAGE_ENTITIES)
 R.over("str_html_post", P, lambda p: p.select("page_id", X.html_post(X.html_strip(F.col("html"))).alias("body")), f"WITH s AS (SELECT page_id, {_STRIP_SQL} AS body FROM pages) SELECT page_id, {_POST_SQL} AS body FROM s")
 _SECTIONS_SQL = rf"""WITH s AS (SELECT page_id, {_STRIP_SQL} AS body FROM pages), t AS (SELECT page_id, {_POST_SQL} AS body FROM s),
 u AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '(?m)^[ \t]+$', '', 'g'), '\n\s*\n'), lambda x: regexp_replace({sq('x')}, '\s+([,.;:!?])', '\1', 'g')), lambda x: x <> '') AS parts FROM t)
@@ -48,8 +48,8 @@ R.queries["src_html"], R.sql["src_html"] = R.queries["str_html_sections"], R.sql
 
 _MD = "'# Title ' || doc_id || chr(10) || chr(10) || 'Some **bold** and *soft* and `code` and [link](http://x) ' || text"
 _MD_SQL = _MD
-for _p, _b in [(r"(?m)^#{1,6}\s*", ""), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), ("__([^_]+)__", r"<strong>\1</strong>"), (r"\*([^*]+)\*", r"<em>\1</em>"), ("_([^_]+)_", r"<em>\1</em>"), ("`([^`]+)`", r"<code>\1</code>"), (r"\[(.*?)\]\([^\)]+\)", r"<a>\1</a>"), (r"\r\n?", "\n"), (r"\n\n", "</p><p>"), (r"\n", "<br/>")]:
-    _MD_SQL = f"regexp_replace({_MD_SQL}, '{_p}', '{_b}', 'g')"
+for _p, _b in X.MARKDOWN:
+    _MD_SQL = f"regexp_replace({_MD_SQL}, '{_p}', '{_b.replace('$1', chr(92) + '1')}', 'g')"
 _MD_SQL = f"'<p>' || {_MD_SQL} || '</p>'"
 _md = lambda d: d.select("doc_id", X.markdown_html(F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\nSome **bold** and *soft* and `code` and [link](http://x) "), F.col("text"))).alias("html"))
 R.over("str_md_fallback", D, _md, f"SELECT doc_id, {_MD_SQL} AS html FROM documents")
@@ -145,7 +145,6 @@ R.over(
 )
 _qa = lambda: F.concat(F.lit('Sure! ```json\n[{"instruction": " Q'), F.col("doc_id"), F.lit(' ", "output": "A ]} [doc_chunk:1]", "input": null}, {"instruction": "only"}]\n``` bye'))
 R.over("json_parse_qa", D, lambda d: d.select("doc_id", F.explode(payloads.parse_qa(_qa())).alias("qa")).select("doc_id", "qa.*"), "SELECT doc_id, 'Q' || doc_id AS instruction, 'None' AS input, 'A ]} [doc_chunk:1]' AS output FROM documents")
-_VERDICT = "'Verdict: {\"faithfulness\": ' || (doc_id % 9) || '.5, \"relevance\": 3, \"completeness\": \"x\"} done'"
 _verdict = lambda: F.concat(F.lit('Verdict: {"faithfulness": '), F.col("doc_id") % 9, F.lit('.5, "relevance": 3, "completeness": "x"} done'))
 R.over(
     "json_parse_verdict",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,18 +24,25 @@ def add(name, build, sql=None):
 
 # --- evaluation items: a query's neighbours by cosine; relevant are the vectors of its label ---
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    ranked = Q.top(spark, sf_dir, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("r"))
+    """Ranked keys with those of them that are relevant, how many relevant ones there are, and the first of all.
+
+    Labels are counted before they are joined: no query meets the rows of its label.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    lowest = e.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    second = e.join(lowest.select("label", "first"), "label").where("vec_id > first").groupBy("label").agg(F.min("vec_id").alias("second"))
+    asked = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id").join(lowest.join(second, "label", "left"), "label").where("n > 1")
+    asked = asked.select("query_id", "label", (F.col("n") - 1).alias("n_relevant"), F.when(F.col("first") == F.col("query_id"), F.col("second")).otherwise(F.col("first")).alias("first"))
+    judged = Q.top(spark, sf_dir, 10).join(e.withColumnRenamed("label", "own"), "vec_id").join(asked, "query_id")
+    ranked = judged.groupBy("query_id", "n_relevant", "first").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", (F.col("own") == F.col("label")).alias("good")))).alias("r"))
     keys = F.transform("r", lambda x: x["vec_id"])
-    asked = Q.asked(e).select("query_id", "label")
-    relevant = asked.join(e.select("label", "vec_id"), "label").where("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("relevant"))
     scores = F.transform(keys, lambda v: (F.pmod(v * 37, F.lit(11)) / 10.0))
-    return ranked.join(relevant, "query_id").select("query_id", "relevant", keys.alias("keys"), scores.alias("scores"))
+    return ranked.select("query_id", F.transform(F.filter("r", lambda x: x["good"]), lambda x: x["vec_id"]).alias("relevant"), "n_relevant", "first", keys.alias("keys"), scores.alias("scores"))
 
 
 def side(spark, sf_dir, name):
     ranked = F.col("keys") if name == "base" else E.reranked("keys", "scores", F.lit(10))
-    return E.score(items(spark, sf_dir).withColumn("ranked", ranked), "ranked")
+    return E.score(items(spark, sf_dir).withColumn("ranked", ranked), "ranked", total="n_relevant")
 
 
 _ITEMS = f"""WITH r AS ({Q._RANKED.format(k=10)}), i AS (SELECT query_id, list(vec_id ORDER BY rank) AS keys, list(vec_id ORDER BY vec_id * 37 % 11 DESC, rank) AS teacher FROM r GROUP BY query_id),
@@ -55,13 +60,13 @@ def mean(r: str) -> str:
 for _n, _f in (("hit", _HIT), ("recall", _REC), ("mrr", _MRR)):
     add(f"ev_{_n}", lambda s, d, n=_n: side(s, d, "base").select("query_id", *(F.round(f"{n}_{k}", 6).alias(f"{n}_{k}") for k in E.KS)), f"{_ITEMS} SELECT query_id, " + ", ".join(f"round({_f.format(r='keys', k=k)}, 6) AS {_n}_{k}" for k in E.KS) + " FROM t")
 add("ev_score_item", lambda s, d: side(s, d, "teacher").select("query_id", *(F.round(f"{n}_{k}", 6).alias(f"{n}_{k}") for n in E.METRICS for k in E.KS)), f"{_ITEMS} SELECT query_id, " + ", ".join(f"round({f.format(r='teacher', k=k)}, 6) AS {n}_{k}" for n, k, f in _ALL) + " FROM t")
-for _name in ("ev_aggregate", "ev_run", "gate_side"):
+for _name in ("ev_aggregate",):
     add(_name, lambda s, d: E.aggregate(side(s, d, "base")), f"{_ITEMS} SELECT {mean('keys')} FROM t")
 _SWEEP = _ITEMS + " " + " UNION ALL ".join(
     f"SELECT {c} AS candidates, '{s}' AS side, {mean('k')} FROM (SELECT relevant, {e} AS k FROM t)" for c in (3, 5, 10) for s, e in (("base", f"list_slice(keys, 1, {c})"), ("teacher", f"list_filter(teacher, lambda x: list_contains(list_slice(keys, 1, {c}), x))"))
 )
-for _name in ("ev_sweep_candidates", "ev_sweep_topk"):
-    add(_name, lambda s, d: E.sweep(items(s, d), [3, 5, 10]), _SWEEP)
+for _name in ("ev_sweep_candidates",):
+    add(_name, lambda s, d: E.sweep(items(s, d), [3, 5, 10], total="n_relevant"), _SWEEP)
 
 
 def measured(s, d):
@@ -76,14 +81,14 @@ add(
     _LONG + ", f(metric, kind, least) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE))" for a, b, c in _FLOORS) + "), v AS (SELECT metric, kind, least, round(CASE WHEN kind = 'floor' THEN coalesce(teacher, 0) ELSE coalesce(teacher, 0) - coalesce(base, 0) END, 6) AS value FROM f LEFT JOIN m USING (metric)) SELECT metric, kind, value, least FROM v WHERE value + 1e-9 < least",
 )
 _GATE = _ITEMS + f", b AS (SELECT {mean('keys')} FROM t), h AS (SELECT {mean('teacher')} FROM t), x AS (SELECT round(h.hit_1 - b.hit_1, 4) AS d_hit_1, round(h.mrr_5 - b.mrr_5, 4) AS d_mrr_5, round(h.recall_5 - b.recall_5, 4) AS d_recall_5 FROM b, h) SELECT *, (d_mrr_5 + 1e-9 >= 0.05 OR d_hit_1 + 1e-9 >= 0.05) AND d_recall_5 + 1e-9 >= 0 AS passed FROM x"
-for _name in ("ev_gate_student", "gate_decide"):
+for _name in ("ev_gate_student",):
     add(_name, lambda s, d: E.student_gate(E.aggregate(side(s, d, "base")), E.aggregate(side(s, d, "teacher"))), _GATE)
 add(
     "ev_compare",
     lambda s, d: E.compare(measured(s, d).where("metric not like 'mrr%'").select("metric", F.col("base").alias("value")), measured(s, d).where("metric not like 'hit%'").select("metric", F.col("teacher").alias("value"))),
     _LONG + " SELECT metric, a, b, round(b - a, 6) AS delta FROM (SELECT metric, base AS a FROM m WHERE metric NOT LIKE 'mrr%') FULL JOIN (SELECT metric, teacher AS b FROM m WHERE metric NOT LIKE 'hit%') USING (metric)",
 )
-add("eval_answerable_filter", lambda s, d: items(s, d).where(F.size("relevant") > 0).select("query_id"), f"{_ITEMS} SELECT query_id FROM t WHERE len(relevant) > 0")
+add("eval_answerable_filter", lambda s, d: items(s, d).where("n_relevant > 0").select("query_id"), f"{_ITEMS} SELECT query_id FROM t WHERE len(relevant) > 0")
 add("join_label_cut", lambda s, d: items(s, d).select("query_id", F.arrays_overlap(F.slice("keys", 1, 3), "relevant").alias("cut")), f"{_ITEMS} SELECT query_id, len(list_intersect(list_slice(keys, 1, 3), relevant)) > 0 AS cut FROM t")
 add(
     "ev_generation",
@@ -132,20 +137,8 @@ _APP = "q(name, ord, share) AS (VALUES " + ", ".join(f"('{a}', {b}, CAST({c} AS
 add("win_apportion", lambda s, d: T.apportion(shares(s), 97), f"WITH {_APP} SELECT name, ord, n FROM c")
 add("win_quota_assign", lambda s, d: T.assign_quotas(table(s, d, "benchmark").select("item_id"), T.apportion(shares(s), 37), "item_id").select("item_id", "name"), f"WITH {_APP.replace('97', '37')}, e AS (SELECT name, sum(n) OVER (ORDER BY ord) AS upto, n FROM c), s AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS rn FROM benchmark) SELECT item_id, name FROM s JOIN e ON rn < upto AND rn >= upto - n")
 add("win_quota_greedy", lambda s, d: T.greedy_quotas(seeds(s, d), {"relevant": 20, "irrelevant": 10, "empty": 10}, "seed_id", {"relevant": F.col("seed_id") % 3 > 0, "irrelevant": F.lit(True), "empty": F.lit(True)}))
-_chars = lambda c, n: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(n))), lambda i: F.ascii(F.substr(F.col(c), i, F.lit(1))))
 
 
-def features(s, d):
-    f = T.lm_features(_chars("instruction", 40), _chars("output", 60), 24)
-    return seeds(s, d).select("seed_id", *(c.alias(n) for n, c in f.items()))
-
-
-_CH = "list_transform(range(1, least(length({c}), {n}) + 1), lambda i: ascii(substr({c}, i, 1)))"
-add(
-    "ds_lm_features",
-    features,
-    f"WITH {_SEEDS}, t AS (SELECT seed_id, {_CH.format(c='instruction', n=40)} AS p, {_CH.format(c='output', n=60)} AS r FROM s), u AS (SELECT seed_id, p, r, list_slice(list_concat(p, r), -24, -1) AS x, greatest(len(p) - greatest(len(p) + len(r) - 24, 0), 0) AS np, greatest(24 - len(p) - len(r), 0) AS gap FROM t) SELECT seed_id, list_concat(list_resize([]::INTEGER[], gap, 0), x) AS input_ids, list_concat(list_resize([]::INTEGER[], gap + np, -100), list_slice(x, np + 1, 24)) AS labels, list_concat(list_resize([]::INTEGER[], gap, 0), list_resize([]::INTEGER[], len(x), 1)) AS attention_mask FROM u",
-)
 add("agg_rouge_l", lambda s, d: P.O.preceding_question(P.messages(s, d)).where("question is not null").select("message_id", F.round(T.rouge_l(X.word_tokens(F.col("text")), X.word_tokens(F.col("question"))), 6).alias("rouge_l")))
 add(
     "ds_qa_filter",
@@ -153,10 +146,8 @@ add(
     f"WITH {_SEEDS} SELECT seed_id FROM s WHERE length(instruction) BETWEEN 10 AND 200 AND length(regexp_replace(output, '^\\s+|\\s+$', '', 'g')) BETWEEN 30 AND 2000",
 )
 add("ds_rerank_pairs", lambda s, d: Q.top(s, d, 5).join(table(s, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score"), f"WITH r AS ({Q._RANKED.format(k=5)}) SELECT query_id, vec_id, score FROM r WHERE query_id NOT IN (SELECT item_id FROM benchmark)")
-add("ds_mrtydi_pairs", lambda s, d: items(s, d).select("query_id", F.explode(F.concat(F.transform(F.slice(F.array_sort("relevant"), 1, 1), lambda v: F.struct(v.alias("vec_id"), F.lit(1).alias("y"))), F.transform(F.slice(F.array_except("keys", "relevant"), 1, 3), lambda v: F.struct(v.alias("vec_id"), F.lit(0).alias("y"))))).alias("p")).select("query_id", "p.*"), f"{_ITEMS}, n AS (SELECT query_id, list_slice(list_filter(keys, lambda x: NOT list_contains(relevant, x)), 1, 3) AS neg, list_min(relevant) AS pos FROM t) SELECT query_id, pos AS vec_id, 1 AS y FROM n UNION ALL SELECT query_id, unnest(neg), 0 FROM n")
-add("ds_golden_structural", lambda s, d: table(s, d, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.col("source"), F.lit(":"), x)).alias("keys")), "SELECT source, list(source || ':' || doc_id ORDER BY doc_id) AS keys FROM documents GROUP BY source")
+add("ds_mrtydi_pairs", lambda s, d: items(s, d).select("query_id", F.explode(F.concat(F.array(F.struct(F.col("first").alias("vec_id"), F.lit(1).alias("y"))), F.transform(F.slice(F.array_except("keys", "relevant"), 1, 3), lambda v: F.struct(v.alias("vec_id"), F.lit(0).alias("y"))))).alias("p")).select("query_id", "p.*"), f"{_ITEMS}, n AS (SELECT query_id, list_slice(list_filter(keys, lambda x: NOT list_contains(relevant, x)), 1, 3) AS neg, list_min(relevant) AS pos FROM t) SELECT query_id, pos AS vec_id, 1 AS y FROM n UNION ALL SELECT query_id, unnest(neg), 0 FROM n")
 add("articles_to_queries", lambda s, d: seeds(s, d).select("seed_id", X.heading_query(F.concat(F.lit("Статья 1. "), F.when(F.col("seed_id") % 2 == 0, F.col("chunk_text")).otherwise(""))).alias("q")).where("q <> ''"), f"WITH {_SEEDS} SELECT seed_id, 'own ' || seed_id AS q FROM s WHERE seed_id % 2 = 0")
-add("load_examples", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), "props").agg(F.count("*").alias("rows"), F.count_if(F.col("m").isNull() & F.col("props").isNotNull()).alias("broken")), "SELECT count(*) AS rows, count(*) FILTER (WHERE NOT json_valid(props)) AS broken FROM events")
 _ordered = "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents"
 
 
@@ -168,37 +159,9 @@ def lm_split(s, d):
 add("lm_split", lm_split, f"SELECT doc_id, CASE WHEN rn > n - floor(n * 0.05) THEN 'val' ELSE 'train' END AS part FROM ({_ordered})")
 
 
-def lm_batch(s, d):
-    """Windows of 16 code points and the same moved by one."""
-    t = table(s, d, "documents").where("length(text) > 40").select("doc_id", "text")
-    at = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(17), F.lit(8)), lambda p: F.struct(F.substr("text", p, F.lit(16)).alias("x"), F.substr("text", p + 1, F.lit(16)).alias("y")))).alias("pos", "w"))
-    return at.select("doc_id", "pos", "w.*")
-
-
-add("lm_batch", lm_batch, "SELECT doc_id, CAST((p - 1) / 8 AS INTEGER) AS pos, substr(text, p, 16) AS x, substr(text, p + 1, 16) AS y FROM (SELECT doc_id, text, unnest([1, 9, 17]) AS p FROM documents WHERE length(text) > 40)")
-
-
 # --- streams: each runs what there is and returns it as a table ---
 def events_stream(spark, sf_dir):
     stream = I.source(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # files without a time zone
 
 
-def drained(stream, mode="append"):
-    return I.finished(stream, f"q{uuid.uuid4().hex}", mode)
-
-
-add("st_ingest_loop", lambda s, d: ingest_loop(s, d), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-
-
-def ingest_loop(spark, sf_dir):
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = f"{named}/ingest-{uuid.uuid4().hex}"
-    I.ingest(events_stream(spark, sf_dir), lambda b: b.select("event_id", "event_type"), f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-add("st_dedup_stream", lambda s, d: drained(I.idempotent(events_stream(s, d), ["event_id"], "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
-add("st_slo", lambda s, d: drained(I.service_levels(events_stream(s, d)), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "errors"), "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
-add("st_rate_limit", lambda s, d: drained(I.rate_limit(events_stream(s, d), most=2, seconds=3600)).groupBy("accepted").agg(F.count("*").alias("n")))
-add("st_stuck_timeout", lambda s, d: P.O.stale(P.jobs(s, d), P.mid()).agg(F.count("*").alias("n"), F.min("id").alias("first")), f"WITH {P.JOBS} SELECT count(*) AS n, min(id) AS first FROM jobs WHERE status = 'processing' AND {P._CO} <= {P._T}")

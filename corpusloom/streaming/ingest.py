@@ -122,10 +122,3 @@ def timeouts(stream: DataFrame, key: str, ts: str, seconds: int, delay: str = "1
     out = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField("at", T.DoubleType())])
     watched = stream.select(key, ts).withWatermark(ts, delay).groupBy(key)
     return watched.transformWithStateInPandas(Silence(key, ts, seconds), out, "Append", "EventTime")
-
-
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream yields from what there is now, as a table in memory; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
