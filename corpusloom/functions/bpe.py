@@ -34,7 +34,7 @@ from corpusloom.sources.shared import cut
 
 #: Runs of white space and of other characters; white space is the six ASCII characters in both engines and in Python.
 PATTERN = "[ \\t\\n\\x0B\\f\\r]+|[^ \\t\\n\\x0B\\f\\r]+"
-KNOWN, SAMPLE, BATCH, GROUP, PENDING = 20_000, 20_000, 96, 1 << 16, 256
+KNOWN, SAMPLE, BATCH, GROUP, PENDING = 20_000, 20_000, 96, 1 << 16, 64
 _MERGES = "rank int, a int, b int, id int"
 
 
@@ -258,7 +258,8 @@ def train(counts: DataFrame, merges: int) -> DataFrame:
     """
     spark = counts.sparkSession
     whole = counts.where("piece IS NOT NULL AND piece <> ''").groupBy("piece").agg(F.sum("n").alias("n")).where(F.octet_length("piece") > 1)
-    packed = cut(whole.mapInArrow(_pack, _PACKED))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # held for all rounds, so not left to be coalesced
+    packed = cut(whole.repartition(parts, "piece").mapInArrow(_pack, _PACKED))
     first = whole.orderBy(F.desc("n"), "piece").limit(SAMPLE).toArrow()
     data = [p.encode() for p in first["piece"].to_pylist()]
     sample = Pieces(np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], int), first["n"].to_numpy())
