@@ -2,6 +2,9 @@
 
 import random
 
+import duckdb
+
+import __spark_entry__ as entry
 from corpusloom.operators import retrieval
 from corpusloom.plans import search_queries
 
@@ -16,6 +19,16 @@ def test_no_query_is_dropped(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"]) for r in got) == [(q, rank) for q in range(0, 1001, 100) for rank in (1, 2)]
 
 
+def test_negative_numbers_that_round_to_zero(spark, tmp_path):
+    """Their sign is that of SQL's round, which comparisons of files see."""
+    values = [-4e-8, 4e-8, -0.0, 0.0, -6e-7, 1.0, -1.0, 0.0078125, -0.0078125]
+    spark.createDataFrame([(1, values)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("vec_pack", "vec_normalise"):
+        sql = entry.oracle_sql()[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        expected = dict(zip(("vec_id", "v") if name == "vec_normalise" else ("vec_id", "bytes", "v"), duckdb.connect().execute(sql).fetchone()))
+        assert str(entry.queries()[name](spark, str(tmp_path)).first()["v"]) == str(expected["v"])
+
+
 def test_many_needles(spark, monkeypatch):
     """Ten thousand needles against a plain count; overlaps, cases, parts of one another, and several automata."""
     rng = random.Random(8)
