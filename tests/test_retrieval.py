@@ -1,8 +1,11 @@
 """Searches for more queries than a block holds."""
 
 import random
+import re
+from pathlib import Path
 
 import duckdb
+import psutil
 
 import __spark_entry__ as entry
 from corpusloom.operators import retrieval
@@ -29,6 +32,35 @@ def test_negative_numbers_that_round_to_zero(spark, tmp_path):
         assert str(entry.queries()[name](spark, str(tmp_path)).first()["v"]) == str(expected["v"])
 
 
+def test_scores_of_odd_vectors(spark, tmp_path, monkeypatch):
+    """Ties, a missing vector, missing components and unequal lengths, in many cells, as SQL has them."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "PAIRS", 16)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0, 3.25]) for _ in range(4)], i % 3) for i in range(700)]
+    rows[7], rows[200], rows[301], rows[9], rows[10] = (7, None, 0), (200, None, 0), (301, [1.0, None, 2.0, None], 0), (9, [1.0, 2.0], 1), (10, [1.0, 2.0, 0.5, -1.0, 8.0], 1)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("vec_cosine", "flt_score_positive", "search_topk"):
+        sql = entry.oracle_sql()[name].replace("embeddings", f"'{tmp_path}/embeddings.parquet/*.parquet'")
+        found = duckdb.connect().execute(sql)
+        expected = sorted(str(r) for r in found.fetchall())
+        got = entry.queries()[name](spark, str(tmp_path)).select(*(c[0] for c in found.description)).collect()
+        assert sorted(str(tuple(r)) for r in got) == expected, name
+
+
+def test_cells_are_scored_in_slices(spark):
+    """Four thousand queries against tens of thousands of vectors: a Python worker holds a slice of the pairs, not a cell of them."""
+    workers = lambda: [p.pid for p in psutil.Process().children(recursive=True) if "python" in p.name()]
+    for pid in workers():
+        Path(f"/proc/{pid}/clear_refs").write_text("5")
+    made = lambda n, step, name: spark.range(0, n, step).selectExpr(f"id AS {name}", "array(cast(1 + id % 97 AS float), cast(1 + id % 89 AS float)) AS embedding")
+    e, q = made(32_000, 1, "vec_id"), made(32_000, 8, "query_id")
+    assert retrieval.scored(q, e, above=0.9999999).count() > 0
+    peaks = [int(re.search(r"VmHWM:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) // 1024 for pid in workers()]
+    assert max(peaks) < 400
+
+
 def test_many_needles(spark, monkeypatch):
     """Ten thousand needles against a plain count; overlaps, cases, parts of one another, and several automata."""
     rng = random.Random(8)
