@@ -9,10 +9,8 @@ within ``DISTANCE`` become matches, which vote for a similarity transform (turn,
 ``VOTES`` distinct corners agree in one of the grids of bins, shifted by half a bin in each dimension. Classes are the
 components of the pairs.
 
-A key with up to ``FEW`` corners compares all its pairs. In a key with more, every corner is compared with
-representatives, the smallest and largest images by a few hashes, the same for all keys so that votes add up; a group
-of copies then costs rows in proportion. Two copies that share only such keys, and no representative with them or a
-chain of copies, are not found; recall on edited copies with such keys is measured in the tests and in the README.
+All pairs of corners of a key are compared, whatever their number; a key with more than ``BLOCK`` corners is dealt out in blocks
+that all its corners meet, so that no task has a large key alone. The comparisons grow with the square of a key's size.
 
 Images that share a part with so many corners, say a large logo, are linked as well.
 
@@ -43,8 +41,8 @@ SCALES, TILE, PER_TILE, PIXELS = (1.0, 0.7, 0.5), 32, 3, 1 << 22
 RADIUS, TESTS, TURNS, BANDS = 9, 256, 30, 8
 #: Corners that must agree on a transform, and the bits in which two matching descriptors may differ.
 VOTES, DISTANCE = 6, 64
-#: Corners of a key up to which all pairs are compared; masks under which its representatives have the extreme hashes.
-FEW, MASKS = 6, (0, 0x5B3C9D1E7F2A6840, 0x2E91B4C7583DA61F)
+#: Corners of a key that one task compares with all of the key.
+BLOCK = 4096
 _rng = np.random.default_rng(11)
 #: Ends of the binary tests in the upright patch, and turned in steps of a circle's 1/TURNS.
 _PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS / 1.5, RADIUS / 1.5)
@@ -238,11 +236,13 @@ def corners(images: DataFrame, image_col: str = "image", id_col: str = "img") ->
     return rows.select("img", "k", "c.*")
 
 
+def _bands(of: str = "") -> list[Column]:
+    return [F.shiftrightunsigned(F.col(of + n), 32 * b).bitwiseAND(0xFFFFFFFF) for n in _WORDS for b in (0, 1)]
+
+
 def keys(found: DataFrame) -> DataFrame:
     """A row per corner and band: the key of a Hamming table, and the corner with its descriptor."""
-    half = lambda n, b: F.shiftrightunsigned(F.col(n), 32 * b).bitwiseAND(0xFFFFFFFF)
-    bands = F.array(*(half(n, b) for n in _WORDS for b in (0, 1)))
-    rows = found.select("img", "k", *_WORDS, F.posexplode(bands).alias("b", "band"))
+    rows = found.select("img", "k", *_WORDS, F.posexplode(F.array(*_bands())).alias("b", "band"))
     return rows.select((F.col("band") * BANDS + F.col("b")).alias("key"), "img", "k", *_WORDS)
 
 
@@ -252,22 +252,16 @@ def _near(one: str, two: str) -> Column:
     return sum(bits[1:], bits[0]) <= DISTANCE
 
 
-def _matched(pairs: DataFrame) -> DataFrame:
-    """(a, b, i, j) of the pairs of corners ``p`` and ``q`` of different images whose descriptors are near, the smaller image first."""
-    near = pairs.where((F.col("p.img") != F.col("q.img")) & _near("p", "q"))
-    turned = F.col("p.img") > F.col("q.img")
-    one, two = F.when(turned, F.col("q")).otherwise(F.col("p")), F.when(turned, F.col("p")).otherwise(F.col("q"))
-    return near.select(one["img"].alias("a"), two["img"].alias("b"), one["k"].alias("i"), two["k"].alias("j"))
-
-
-def _with_ends(keyed: DataFrame, by: str, masks: tuple[int, ...] = MASKS) -> DataFrame:
-    """The corners of each key with its representatives, by the images' hashes under each mask."""
-    corner = F.struct("img", "k", *_WORDS)
-    hashed = [F.struct(F.col(by).bitwiseXOR(F.lit(m)).alias("h"), corner.alias("c")) for m in masks]
-    ends = keyed.groupBy("key").agg(*(f(h).alias(f"{f.__name__}{n}") for n, h in enumerate(hashed) for f in (F.min, F.max)))
-    listed = F.array(*(F.col(f"{f}{n}")["c"] for n in range(len(masks)) for f in ("min", "max")))
-    ends = ends.select("key", F.explode(F.array_distinct(listed)).alias("q"))
-    return keyed.select("key", corner.alias("p")).join(ends, "key")
+def _matched(keyed: DataFrame) -> DataFrame:
+    """(a, b, i, j) of the corners of different images that share a key and are near, once each, the smaller image first."""
+    large = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = keyed.select("key", F.struct("img", "k", *_WORDS).alias("p")).join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "p")
+    right = dealt.select("key", F.pmod(F.xxhash64("p.img", "p.k"), "blocks").cast("int").alias("block"), F.col("p").alias("q"))
+    # two corners meet under the first of the keys they share
+    shared = F.coalesce(*(F.when(x == y, n) for n, (x, y) in enumerate(zip(_bands("p."), _bands("q.")))))
+    near = left.join(right, ["key", "block"]).where((F.col("p.img") < F.col("q.img")) & _near("p", "q") & (shared == F.pmod("key", F.lit(BANDS))))
+    return near.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), F.col("p.k").alias("i"), F.col("q.k").alias("j"))
 
 
 def voted(matches: DataFrame, found: DataFrame) -> DataFrame:
@@ -295,13 +289,7 @@ def voted(matches: DataFrame, found: DataFrame) -> DataFrame:
 
 def copies(found: DataFrame) -> DataFrame:
     """(a, b): the image pairs found to be copies."""
-    keyed = cut(keys(found))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    corner = F.struct("img", "k", *_WORDS)
-    few = keyed.join(sizes.where(F.col("n") <= FEW).select("key"), "key").select("key", corner.alias("p"))
-    few = few.join(few.select("key", F.col("p").alias("q")), "key").where("p.img < q.img")
-    many = keyed.join(sizes.where(F.col("n") > FEW).select("key"), "key")
-    return voted(_matched(few.select("p", "q")).union(_matched(_with_ends(many, "img", MASKS))), found)
+    return voted(_matched(keys(found)), found)
 
 
 def classes(df: DataFrame, id_col: str = "vec_id", image_col: str = "image") -> DataFrame:

@@ -324,6 +324,22 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
 
 
+def test_image_copies_that_share_only_crowded_keys(spark, monkeypatch):
+    """Two copies meet in no key but those that 300 other images have as well, none of which is near them."""
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 1 << 31, 8)
+    names = rng.integers(-(1 << 62), 1 << 62, 302)
+    bits = rng.integers(0, 1 << 32, (302, 8, 8), np.uint64)
+    bits[:, :, 0] = same
+    bits[1] = bits[0] ^ (np.arange(8) > 0)  # a bit apart in every other band
+    words = (bits[:, :, 0::2] | bits[:, :, 1::2] << np.uint64(32)).view(np.int64)
+    rows = [(int(names[i]), k, float(30 * k), float(7 * k * k % 90), 1.0, 0.5, *words[i, k].tolist()) for i in range(302) for k in range(8)]
+    found = spark.createDataFrame(rows, "img long, k int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long").cache()
+    for block in (4096, 50):
+        monkeypatch.setattr(image_copies, "BLOCK", block, raising=False)
+        assert [tuple(r) for r in image_copies.copies(found).collect()] == [tuple(sorted(names[:2].tolist()))]
+
+
 @pytest.mark.parametrize("name", ["op2_license_scan", "op10_image_copies"])
 def test_one_row_a_row(spark, name):
     found = queries.queries()[name](spark, SF)
