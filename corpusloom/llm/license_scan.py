@@ -273,6 +273,8 @@ class Model(NamedTuple):
     templates: dict[str, list[set[tuple[str, ...]]]]
     gate: np.ndarray
     reach: int  # words of the longest template
+    places: dict[tuple[str, ...], list[int]]  # the templates, by number, that hold a gram
+    sizes: list[int]  # grams of each template
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         slots = _slots(words)
@@ -283,6 +285,22 @@ class Model(NamedTuple):
         own = grams(words) | grams(words, 2) | grams(words, 1)
         return max(len(t & own) / len(t) for t in self.templates[name]) >= CONFIRM
 
+    def holds_any(self, parts: Iterator[list[str]]) -> Iterator[bool]:
+        """Whether the words of the parts up to each hold a template of any family; once they do, longer runs do as well."""
+        tail, seen, hits, held = [], set(), dict.fromkeys(range(len(self.sizes)), 0), False
+        for words in parts:
+            run = tail + words
+            for n in (1, 2, 3):
+                # the grams that end in the new words
+                for gram in () if held else zip(*(run[max(0, len(tail) - n + 1) + k :] for k in range(n))):
+                    if gram in self.places and gram not in seen:
+                        seen.add(gram)
+                        for t in self.places[gram]:
+                            hits[t] += 1
+                            held |= hits[t] / self.sizes[t] >= CONFIRM
+            tail = run[-2:]
+            yield held
+
     def classify(self, paragraph: str) -> tuple[str, float]:
         """Class and probability; a family must be confirmed by a template."""
         words = tokens(paragraph)
@@ -305,16 +323,28 @@ class Model(NamedTuple):
             parts += pieces
             numbers += [i] * len(pieces)
         held: list[tuple[str, float, int, int]] = []
+        known: dict[int, list[str]] = {}
+
+        def words(k: int) -> list[str]:
+            if k not in known:
+                known[k] = tokens(parts[k])
+            return known[k]
+
         after = 0
         for i in chosen:
             if i < after:
                 continue
             family, p = self.classify(parts[i])
-            end, read = i + 1, len(tokens(parts[i]))
+            end, read = i + 1, len(words(i))
             stop = i + 1
-            while family in (NONE, UNKNOWN) and end < len(parts) and tokens(parts[end]) and read < 2 * self.reach:
-                read += len(tokens(parts[end]))
+            holds = self.holds_any(words(k) for k in range(i, len(parts)))
+            next(holds)
+            while family in (NONE, UNKNOWN) and end < len(parts) and words(end) and read < 2 * self.reach:
+                read += len(words(end))
                 end += 1
+                # without a template no family is confirmed
+                if not next(holds):
+                    continue
                 joined, q = self.classify("\n".join(parts[i:end]))
                 if joined not in (NONE, UNKNOWN):
                     # a statement of the later lines alone begins there
@@ -324,7 +354,7 @@ class Model(NamedTuple):
             after = stop
             if family == NONE:
                 continue
-            if family == UNKNOWN and held and all(tokens(x) for x in parts[held[-1][3] : i]):
+            if family == UNKNOWN and held and all(words(k) for k in range(held[-1][3], i)):
                 # the rest of a licence text, or one more line of an unknown one
                 before = held.pop()
                 held.append((before[0], max(before[1], p) if before[0] == UNKNOWN else before[1], before[2], stop))
@@ -363,7 +393,12 @@ def fit(plain: list[str]) -> Model:
     best = min(np.geomspace(0.25, 8, 41), key=loss)
     w = regress(_sparse(data), kind, len(classes), (1 << BITS) + 1)
     longest = max(len(tokens(x)) for values in (*NAMES.values(), *SENTENCES.values()) for x in values)
-    return Model(classes, w, float(best), made, first, longest)
+    flat = [t for sets in made.values() for t in sets]
+    places: dict[tuple[str, ...], list[int]] = {}
+    for n, t in enumerate(flat):
+        for gram in t:
+            places.setdefault(gram, []).append(n)
+    return Model(classes, w, float(best), made, first, longest, places, [len(t) for t in flat])
 
 
 def _candidates(texts: pa.Array, w: np.ndarray) -> Iterator[tuple[int, list[str], list[int]]]:

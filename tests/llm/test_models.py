@@ -345,3 +345,19 @@ def test_one_row_a_row(spark, name):
     found = queries.queries()[name](spark, SF)
     source = "documents" if name.startswith("op2") else "embeddings"
     assert found.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_license_scan_extends_only_towards_templates(spark, monkeypatch):
+    """Lines after a statement are classified with it only where they bring a family's template, as in wrapped licence texts."""
+    model = license_scan.fit(["the river runs past the old mill", "bread is baked before sunrise"])
+    calls = []
+    plain = license_scan.Model.classify
+    monkeypatch.setattr(license_scan.Model, "classify", lambda self, text: calls.append(text) or plain(self, text))
+    lines = ["Use of this software is governed by the vendor agreement", *["mill"] * 100]
+    assert [x[0] for x in model.statements(lines, [0])] == [license_scan.UNKNOWN]
+    assert len(calls) <= 2
+    wrapped = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files"]
+    assert [x[0] for x in model.statements(wrapped, [0])] == ["MIT"]
+    parts = [license_scan.tokens(x) for x in wrapped]
+    some = [any(model.confirmed(f, sum(parts[: n + 1], [])) for f in model.templates) for n in range(len(parts))]
+    assert list(model.holds_any(iter(parts))) == some and some[-1] and not some[0]
