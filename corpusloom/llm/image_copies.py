@@ -9,8 +9,9 @@ within ``DISTANCE`` become matches, which vote for a similarity transform (turn,
 ``VOTES`` distinct corners agree in one of the grids of bins, shifted by half a bin in each dimension. Classes are the
 components of the pairs.
 
-All pairs of corners of a key are compared, whatever their number; a key with more than ``BLOCK`` corners is dealt out in blocks
-that all its corners meet, so that no task has a large key alone. The comparisons grow with the square of a key's size.
+Images are dealt into blocks of ``BLOCK`` corners, and every two blocks meet in one task, which has the Hamming tables of both, all
+matches of each pair of their images and thus the votes; only pairs found to be copies leave it. All pairs of corners of a key are
+compared, whatever their number, about ``PAIRS`` at a time. The comparisons grow with the square of a key's size.
 
 Images that share a part with so many corners, say a large logo, are linked as well.
 
@@ -41,8 +42,10 @@ SCALES, TILE, PER_TILE, PIXELS = (1.0, 0.7, 0.5), 32, 3, 1 << 22
 RADIUS, TESTS, TURNS, BANDS = 9, 256, 30, 8
 #: Corners that must agree on a transform, and the bits in which two matching descriptors may differ.
 VOTES, DISTANCE = 6, 64
-#: Corners of a key that one task compares with all of the key.
-BLOCK = 4096
+#: Corners of a block of images, pairs of corners compared at a time and in one part of two blocks.
+BLOCK, PAIRS, PART = 1 << 15, 1 << 17, 1 << 22
+#: Images to a partition, and the most partitions on a side of the product of blocks.
+IMAGES, PARTITIONS = 2048, 64
 _rng = np.random.default_rng(11)
 #: Ends of the binary tests in the upright patch, and turned in steps of a circle's 1/TURNS.
 _PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS / 1.5, RADIUS / 1.5)
@@ -236,60 +239,225 @@ def corners(images: DataFrame, image_col: str = "image", id_col: str = "img") ->
     return rows.select("img", "k", "c.*")
 
 
-def _bands(of: str = "") -> list[Column]:
-    return [F.shiftrightunsigned(F.col(of + n), 32 * b).bitwiseAND(0xFFFFFFFF) for n in _WORDS for b in (0, 1)]
+#: A block of images: their names, how many corners each has, and all these corners one after another (_ROW each).
+_BLOCK = "imgs array<long>, counts array<int>, corners binary"
+_ROW = np.dtype([*((n, "<f4") for n in _FLOATS), ("bits", "<u8", len(_WORDS))])
 
 
-def keys(found: DataFrame) -> DataFrame:
-    """A row per corner and band: the key of a Hamming table, and the corner with its descriptor."""
-    rows = found.select("img", "k", *_WORDS, F.posexplode(F.array(*_bands())).alias("b", "band"))
-    return rows.select((F.col("band") * BANDS + F.col("b")).alias("key"), "img", "k", *_WORDS)
+class Block(NamedTuple):
+    """Images and their corners; ``of`` is the place of a corner's image."""
 
+    imgs: np.ndarray
+    counts: np.ndarray
+    rows: np.ndarray
 
-def _near(one: str, two: str) -> Column:
-    """Whether two descriptors, struct columns, differ in at most DISTANCE bits."""
-    bits = [F.bit_count(F.col(f"{one}.{n}").bitwiseXOR(F.col(f"{two}.{n}"))) for n in _WORDS]
-    return sum(bits[1:], bits[0]) <= DISTANCE
+    @property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.imgs)), self.counts)
 
+    def part(self, start: int, stop: int) -> Block:
+        ends = np.concatenate([[0], np.cumsum(self.counts)])
+        return Block(self.imgs[start:stop], self.counts[start:stop], self.rows[ends[start] : ends[stop]])
 
-def _matched(keyed: DataFrame) -> DataFrame:
-    """(a, b, i, j) of the corners of different images that share a key and are near, once each, the smaller image first."""
-    large = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = keyed.select("key", F.struct("img", "k", *_WORDS).alias("p")).join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    left = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "p")
-    right = dealt.select("key", F.pmod(F.xxhash64("p.img", "p.k"), "blocks").cast("int").alias("block"), F.col("p").alias("q"))
-    # two corners meet under the first of the keys they share
-    shared = F.coalesce(*(F.when(x == y, n) for n, (x, y) in enumerate(zip(_bands("p."), _bands("q.")))))
-    near = left.join(right, ["key", "block"]).where((F.col("p.img") < F.col("q.img")) & _near("p", "q") & (shared == F.pmod("key", F.lit(BANDS))))
-    return near.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), F.col("p.k").alias("i"), F.col("q.k").alias("j"))
+    def halves(self) -> tuple[Block, Block]:
+        middle = int(np.searchsorted(np.cumsum(self.counts), len(self.rows) / 2, side="right"))
+        middle = min(max(middle, 1), len(self.imgs) - 1)
+        return self.part(0, middle), self.part(middle, len(self.imgs))
 
 
-def voted(matches: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): image pairs whose matches agree on a transform, in one of the shifted grids of bins."""
+def _dealt(named: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ``most`` corners, or a single image, from (names, corners of each, corners)."""
+    held: list[Block] = []
+
+    def packed() -> pa.RecordBatch:
+        imgs, counts, rows = (np.concatenate(x) for x in zip(*held))
+        kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((imgs, counts, rows.tobytes()), kinds)], ["imgs", "counts", "corners"])
+
+    size = 0
+    for imgs, counts, rows in named:
+        rest = Block(imgs, counts, rows)
+        while len(rest.imgs):
+            room = int(np.searchsorted(np.cumsum(rest.counts) + size, most, side="right"))
+            if not room and held:
+                yield packed()
+                held, size = [], 0
+                continue
+            held.append(rest.part(0, max(1, room)))
+            size += len(held[-1].rows)
+            rest = rest.part(max(1, room), len(rest.imgs))
+    if held:
+        yield packed()
+
+
+def _rows(c: pa.StructArray | pa.RecordBatch) -> np.ndarray:
+    get = c.field if isinstance(c, pa.StructArray) else c.column
+    out = np.empty(len(c), _ROW)
+    for n in _FLOATS:
+        out[n] = get(n).to_numpy(zero_copy_only=False)
+    for n, word in enumerate(_WORDS):
+        out["bits"][:, n] = get(word).to_numpy(zero_copy_only=False).view(np.uint64)
+    return out
+
+
+def blocks(described: DataFrame) -> DataFrame:
+    """Blocks of about BLOCK corners from (img, c), c being the corners as ``_described`` returns them."""
+    most = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def named() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                c = batch["c"]
+                counts = np.diff(c.offsets.to_numpy())
+                yield batch["img"].to_numpy()[counts > 0], counts[counts > 0], _rows(c.flatten())
+
+        return _dealt(named(), most)
+
+    return described.select("img", "c").mapInArrow(run, _BLOCK)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each band the corners of ``a`` whose key ``b`` has: (corners, first place and number of the partners in the order), order of ``b``."""
+    for x, y in zip(a, b):
+        order = np.argsort(y)
+        key, first, n = np.unique(y[order], return_index=True, return_counts=True)
+        at = np.searchsorted(key, x)
+        at[at == len(key)] = 0
+        own = np.flatnonzero(key[at] == x) if len(key) else np.zeros(0, int)
+        yield own, first[at[own]], n[at[own]], order
+
+
+def _near(a: Block, b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """Slices of the corners (i, j) that share a key and differ in at most DISTANCE bits, once each; None where they share too many keys
+    and can be parted."""
+    bands = [np.ascontiguousarray(x.rows["bits"]).view(np.uint32).reshape(-1, BANDS).T for x in (a, b)]
+    shared = list(_candidates(*bands))
+    if sum(n.sum() for _, _, n, _ in shared) > PART and (len(a.imgs) > 1 or len(b.imgs) > 1):
+        return None
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        p, q = (np.ascontiguousarray(x.rows["bits"]) for x in (a, b))
+        for band, (own, first, n, order) in enumerate(shared):
+            ends = np.cumsum(n)
+            start = 0
+            while start < len(own):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+                k = n[start:stop]
+                at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                i, j = np.repeat(own[start:stop], k), order[np.repeat(first[start:stop], k) + at]
+                apart = p[i] ^ q[j]
+                close = np.bitwise_count(apart).sum(axis=1, dtype=np.int32) <= DISTANCE
+                # two corners meet under the first of the keys they share
+                close[close] = (apart[close].view(np.uint32)[:, :band] != 0).all(axis=1)
+                yield i[close], j[close]
+                start = stop
+
+    return slices()
+
+
+def _distinct(group: np.ndarray, corner: np.ndarray, groups: int) -> np.ndarray:
+    """How many different corners each group has."""
+    return np.bincount(np.unique(np.stack([group, corner], axis=1).astype(np.int64).view("i8,i8").ravel())["f0"], minlength=groups)
+
+
+def _votes(pair: np.ndarray, p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The pairs whose matches agree on a transform: those of which VOTES corners on both sides fall into one bin of one of the 16 grids."""
+    turn = (q["angle"] - p["angle"]).astype(np.float64)
+    grow = q["scale"].astype(np.float64) / p["scale"]
+    x = q["x"] - grow * (np.cos(turn) * p["x"] - np.sin(turn) * p["y"])
+    y = q["y"] - grow * (np.sin(turn) * p["x"] + np.cos(turn) * p["y"])
+    found = [np.zeros(0, pair.dtype)]
+    for grid in range(16):
+        half = [(grid >> n & 1) * 0.5 for n in range(4)]
+        bins = [np.floor(v / width + h).astype(np.int64) for v, width, h in zip((turn, np.log(grow) / np.log(2), x, y), (np.pi / 6, 0.5, 16.0, 16.0), half)]
+        bins[0] %= 12
+        # bins far apart may fall together in the 64 bits, so that they are compared again below
+        mixed = pair.astype(np.uint64)
+        for v in bins:
+            mixed = (mixed ^ v.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        order = np.argsort(mixed)
+        begin = np.flatnonzero(np.diff(mixed[order], prepend=~mixed[order[:1]]))
+        some = order[np.repeat(np.diff(begin, append=len(order)) >= VOTES, np.diff(begin, append=len(order)))]
+        if not len(some):
+            continue
+        names, group = np.unique(np.stack([pair[some], *(v[some] for v in bins)], axis=1), axis=0, return_inverse=True)
+        group = group.ravel()
+        agreed = np.minimum(_distinct(group, i[some], len(names)), _distinct(group, j[some], len(names))) >= VOTES
+        found.append(names[agreed, 0])
+    return np.unique(np.concatenate(found))
+
+
+def _agreed(a: Block, b: Block, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the images whose matches (i, j) agree on a transform, the smaller first."""
+    of, to = a.of, b.of
+    pair = of[i] * len(b.imgs) + to[j]
     # a pair with too few matches cannot agree
-    apart = lambda side: F.size(F.collect_set(side))
-    pairs = matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("m"), apart("i").alias("n"), apart("j").alias("o"))
-    matches = pairs.where((F.col("n") >= VOTES) & (F.col("o") >= VOTES)).select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.*")
-    corner = F.struct(*_FLOATS)
-    left = found.select(F.col("img").alias("a"), F.col("k").alias("i"), corner.alias("p"))
-    right = found.select(F.col("img").alias("b"), F.col("k").alias("j"), corner.alias("q"))
-    both = matches.join(left, ["a", "i"]).join(right, ["b", "j"])
-    turn = F.col("q.angle") - F.col("p.angle")
-    grow = F.col("q.scale") / F.col("p.scale")
-    x = F.col("q.x") - grow * (F.cos(turn) * F.col("p.x") - F.sin(turn) * F.col("p.y"))
-    y = F.col("q.y") - grow * (F.sin(turn) * F.col("p.x") + F.cos(turn) * F.col("p.y"))
-    both = both.select("a", "b", "i", "j", turn.alias("turn"), F.log2(grow).alias("grow"), x.alias("x"), y.alias("y"))
-    both = both.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    half = lambda n: F.shiftright(F.col("grid"), n).bitwiseAND(1) * 0.5
-    cell = lambda c, width, n: F.floor(F.col(c) / width + half(n))
-    circle = F.pmod(cell("turn", np.pi / 6, 0), F.lit(12))
-    votes = both.groupBy("a", "b", "grid", circle.alias("turn"), cell("grow", 0.5, 1).alias("grow"), cell("x", 16.0, 2).alias("x"), cell("y", 16.0, 3).alias("y"))
-    return votes.agg(F.least(apart("i"), apart("j")).alias("n")).where(F.col("n") >= VOTES).select("a", "b").distinct()
+    names, at, n = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = n[at] >= VOTES
+    i, j, pair = i[keep], j[keep], pair[keep]
+    if not len(pair):
+        return names[:0], names[:0]
+    p, q = a.rows[i], b.rows[j]
+    swap = a.imgs[of[i]] > b.imgs[to[j]]
+    p, q = np.where(swap, q, p), np.where(swap, p, q)
+    found = _votes(pair, p, q, i, j)
+    x, y = a.imgs[found // len(b.imgs)], b.imgs[found % len(b.imgs)]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _linked(a: Block, b: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of the images of the blocks that are copies, the smaller first; blocks that share too many keys are halved."""
+    slices = _near(a, b)
+    if slices is None:
+        one, two = (x.halves() if len(x.imgs) > 1 else (x,) for x in (a, b))
+        if not same and len(one) == len(two) == 2:
+            one, two = (one, (b,)) if len(a.rows) >= len(b.rows) else ((a,), two)
+        for m, x in enumerate(one):
+            for n, y in enumerate(two):
+                if not same or m <= n:
+                    yield from _linked(x, y, same and m == n)
+        return
+    of, to = a.of, b.of
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for i, j in slices:
+        keep = of[i] < to[j] if same else slice(None)
+        held.append((i[keep].astype(np.int32), j[keep].astype(np.int32)))
+        waiting += len(held[-1][0])
+        if waiting > PART:  # two images alone: what agrees by now is enough
+            held, waiting = [tuple(np.concatenate(x) for x in zip(*held))], 0
+            if len((found := _agreed(a, b, *held[0]))[0]):
+                yield found
+                return
+    if held:
+        yield _agreed(a, b, *(np.concatenate(x) for x in zip(*held)))
+
+
+def linked(dealt: DataFrame) -> DataFrame:
+    """(a, b): the image pairs found to be copies, from blocks written out: every block meets every other and itself once.
+
+    Both sides of the product are read from the files anew by each task, so that nothing but the blocks and the pairs takes disk.
+    """
+    most = max(1, min(dealt.rdd.getNumPartitions(), PARTITIONS))
+    side = lambda n: dealt.coalesce(most).select(*(F.col(c).alias(c + n) for c in dealt.columns))
+    # no image is in two blocks
+    met = side("1").hint("shuffle_replicate_nl").join(side("2"), F.element_at("imgs1", 1) <= F.element_at("imgs2", 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                one, two = (Block(*(batch[c + s][n].values.to_numpy() for c in ("imgs", "counts")), np.frombuffer(batch["corners" + s][n].as_buffer(), _ROW)) for s in "12")
+                for a, b in _linked(one, two, one.imgs[0] == two.imgs[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def copies(found: DataFrame) -> DataFrame:
-    """(a, b): the image pairs found to be copies."""
-    return voted(_matched(keys(found)), found)
+    """(a, b): the image pairs found to be copies, from rows as of ``corners``."""
+    c = F.transform(F.array_sort(F.collect_list(F.struct("k", *_FLOATS, *_WORDS))), lambda x: F.struct(*(x[n].alias(n) for n in (*_FLOATS, *_WORDS))))
+    return linked(cut(blocks(found.where("img is not null").groupBy("img").agg(c.alias("c")))))
 
 
 def classes(df: DataFrame, id_col: str = "vec_id", image_col: str = "image") -> DataFrame:
@@ -298,11 +466,13 @@ def classes(df: DataFrame, id_col: str = "vec_id", image_col: str = "image") ->
     rows = rows.withColumn("img", F.xxhash64(F.coalesce("image", F.lit(b""))))
     ids = cut(rows.select("id", "img"))
     distinct = rows.groupBy("img").agg(F.min("image").alias("image"))
-    found = cut(corners(distinct))
-    roots = components(copies(found))
+    parts = max(1, min(PARTITIONS, -(-ids.count() // IMAGES)))
+    dealt = cut(blocks(distinct.repartition(parts, "img").select("img", _described("image").alias("c"))))
+    roots = components(linked(dealt))
     roots = cut(roots.union(roots.select("root", "root").distinct()))
     least = ids.groupBy("img").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
-    counted = least.join(found.groupBy("img").agg(F.count("*").alias("n_corners")), "img", "left").join(roots, F.col("img") == F.col("node"), "left")
+    found = dealt.select(F.explode(F.arrays_zip("imgs", "counts")).alias("x")).select(F.col("x.imgs").alias("img"), F.col("x.counts").cast("long").alias("n_corners"))
+    counted = least.join(found, "img", "left").join(roots, F.col("img") == F.col("node"), "left")
     counted = cut(counted.select("img", "least", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("root", "img").alias("root")))
     named = counted.groupBy("root").agg(F.min("least").alias("class_id"))
     known = cut(counted.join(named, "root").select("img", "class_id", "n_corners"))

@@ -361,3 +361,29 @@ def test_license_scan_extends_only_towards_templates(spark, monkeypatch):
     parts = [license_scan.tokens(x) for x in wrapped]
     some = [any(model.confirmed(f, sum(parts[: n + 1], [])) for f in model.templates) for n in range(len(parts))]
     assert list(model.holds_any(iter(parts))) == some and some[-1] and not some[0]
+
+
+def test_image_copies_of_blocks(spark, monkeypatch):
+    """Blocks of any size find the same pairs, and no pair of corners leaves the task that compares them."""
+    rng = np.random.default_rng(8)
+    made = [textured(n) for n in range(3)]
+    made += [np.clip(made[n % 3] + rng.normal(0, 2, made[n % 3].shape), 0, 255) for n in range(9)]
+    images = spark.createDataFrame([(n, bytearray(image_copies.pgm(x))) for n, x in enumerate(made)] + [(99, b"no image")], "img long, image binary")
+    found = image_copies.corners(images).cache()
+    want = {(a, b) for a in range(12) for b in range(a + 1, 12) if a % 3 == b % 3}
+    got = image_copies.copies(found)
+    assert "ObjectHashAggregate" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "CartesianProduct" in plan
+    assert {tuple(r) for r in got.collect()} == want
+    for block, part in ((100, 1 << 22), (1 << 15, 1000), (100, 10)):
+        monkeypatch.setattr(image_copies, "BLOCK", block)
+        monkeypatch.setattr(image_copies, "PART", part, raising=False)
+        assert {tuple(r) for r in image_copies.copies(found).collect()} == want
+    one = [image_copies.Block(np.array([n]), np.array([len(r)]), r) for n in (0, 3) for r in [image_copies._rows(pa.RecordBatch.from_pandas(found.where(f"img = {n}").orderBy("k").toPandas(), preserve_index=False).select([*image_copies._FLOATS, *image_copies._WORDS]))]]
+    monkeypatch.setattr(image_copies, "PAIRS", 50)
+    pairs = [np.stack(x) for x in image_copies._near(*one)]
+    assert len(pairs) > 1
+    p, q = (x.rows["bits"] for x in one)
+    apart = np.bitwise_count(p[:, None] ^ q[None, :]).sum(axis=2, dtype=int) <= image_copies.DISTANCE
+    halves = [np.ascontiguousarray(x).view(np.uint32) for x in (p, q)]
+    shared = (halves[0][:, None] == halves[1][None, :]).any(axis=2)
+    assert sorted(map(tuple, np.concatenate(pairs, axis=1).T.tolist())) == sorted(map(tuple, np.argwhere(apart & shared).tolist()))
