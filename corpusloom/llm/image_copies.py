@@ -9,9 +9,11 @@ within ``DISTANCE`` become matches, which vote for a similarity transform (turn,
 ``VOTES`` distinct corners agree in one of the grids of bins, shifted by half a bin in each dimension. Classes are the
 components of the pairs.
 
-Images are dealt into blocks of ``BLOCK`` corners, and every two blocks meet in one task, which has the Hamming tables of both, all
-matches of each pair of their images and thus the votes; only pairs found to be copies leave it. All pairs of corners of a key are
-compared, whatever their number, about ``PAIRS`` at a time. The comparisons grow with the square of a key's size.
+Images are dealt into blocks of ``BLOCK`` corners, and every two blocks meet in one task, which has the Hamming tables of both. A table
+holds the images of a key as bits, so that one pass over a block's corners tells which two images share keys at ``VOTES`` corners of
+either; no others can agree. Of these all pairs of corners that share a key are compared, whatever their number, and vote. Only pairs
+found to be copies leave the task; for classes only those that join images which the task has not joined by others, so that a group of
+copies leaves it as a tree. The bits grow with the product of the blocks, and thus with the square of the images.
 
 Images that share a part with so many corners, say a large logo, are linked as well.
 
@@ -42,8 +44,8 @@ SCALES, TILE, PER_TILE, PIXELS = (1.0, 0.7, 0.5), 32, 3, 1 << 22
 RADIUS, TESTS, TURNS, BANDS = 9, 256, 30, 8
 #: Corners that must agree on a transform, and the bits in which two matching descriptors may differ.
 VOTES, DISTANCE = 6, 64
-#: Corners of a block of images, pairs of corners compared at a time and in one part of two blocks.
-BLOCK, PAIRS, PART = 1 << 15, 1 << 17, 1 << 22
+#: Corners of a block of images, pairs of corners compared at a time, at most held of some pairs of images, and pairs of images taken at a time.
+BLOCK, PAIRS, PART, SOME = 1 << 15, 1 << 17, 1 << 20, 2048
 #: Images to a partition, and the most partitions on a side of the product of blocks.
 IMAGES, PARTITIONS = 2048, 64
 _rng = np.random.default_rng(11)
@@ -259,10 +261,19 @@ class Block(NamedTuple):
         ends = np.concatenate([[0], np.cumsum(self.counts)])
         return Block(self.imgs[start:stop], self.counts[start:stop], self.rows[ends[start] : ends[stop]])
 
-    def halves(self) -> tuple[Block, Block]:
-        middle = int(np.searchsorted(np.cumsum(self.counts), len(self.rows) / 2, side="right"))
-        middle = min(max(middle, 1), len(self.imgs) - 1)
-        return self.part(0, middle), self.part(middle, len(self.imgs))
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.counts) - self.counts
+
+    @property
+    def keys(self) -> np.ndarray:
+        """The keys of the corners in each band."""
+        return np.ascontiguousarray(self.rows["bits"]).view(np.uint32).reshape(-1, BANDS).T
+
+    def matching(self) -> Block:
+        """The images that have corners enough for a copy."""
+        enough = self.counts >= VOTES
+        return self if enough.all() else Block(self.imgs[enough], self.counts[enough], self.rows[np.repeat(enough, self.counts)])
 
 
 def _dealt(named: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
@@ -327,37 +338,78 @@ def _candidates(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield own, first[at[own]], n[at[own]], order
 
 
-def _near(a: Block, b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
-    """Slices of the corners (i, j) that share a key and differ in at most DISTANCE bits, once each; None where they share too many keys
-    and can be parted."""
-    bands = [np.ascontiguousarray(x.rows["bits"]).view(np.uint32).reshape(-1, BANDS).T for x in (a, b)]
-    shared = list(_candidates(*bands))
-    if sum(n.sum() for _, _, n, _ in shared) > PART and (len(a.imgs) > 1 or len(b.imgs) > 1):
-        return None
-
-    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        p, q = (np.ascontiguousarray(x.rows["bits"]) for x in (a, b))
-        for band, (own, first, n, order) in enumerate(shared):
-            ends = np.cumsum(n)
-            start = 0
-            while start < len(own):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
-                k = n[start:stop]
-                at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                i, j = np.repeat(own[start:stop], k), order[np.repeat(first[start:stop], k) + at]
-                apart = p[i] ^ q[j]
-                close = np.bitwise_count(apart).sum(axis=1, dtype=np.int32) <= DISTANCE
-                # two corners meet under the first of the keys they share
-                close[close] = (apart[close].view(np.uint32)[:, :band] != 0).all(axis=1)
-                yield i[close], j[close]
-                start = stop
-
-    return slices()
+def _near(a: Block, b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of the corners (i, j) that share a key and differ in at most DISTANCE bits, once each."""
+    p, q = (np.ascontiguousarray(x.rows["bits"]) for x in (a, b))
+    for band, (own, first, n, order) in enumerate(_candidates(a.keys, b.keys)):
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(own):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+            k = n[start:stop]
+            i, j = np.repeat(own[start:stop], k), order[np.repeat(first[start:stop], k) + _counted(k)]
+            apart = p[i] ^ q[j]
+            close = np.bitwise_count(apart).sum(axis=1, dtype=np.int32) <= DISTANCE
+            # two corners meet under the first of the keys they share
+            close[close] = (apart[close].view(np.uint32)[:, :band] != 0).all(axis=1)
+            yield i[close], j[close]
+            start = stop
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0, 1 ... n - 1 for each n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _shared(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each corner of ``a`` the images of ``b`` that have one of its keys, as bits, and the other way round."""
+    out = [np.zeros((len(x.rows), -(-len(y.imgs) // 8)), np.uint8) for x, y in ((a, b), (b, a))]
+    of = [x.of for x in (a, b)]
+    for x, y in zip(a.keys, b.keys):
+        names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        at = at[: len(x)], at[len(x) :]
+        has = [np.bincount(v, minlength=len(names)) > 0 for v in at]
+        both = has[0] & has[1]
+        place = np.cumsum(both) - 1
+        own = [np.flatnonzero(both[v]) for v in at]
+        row = [place[v[o]] for v, o in zip(at, own)]
+        for side, other in ((0, 1), (1, 0)):
+            held = np.zeros((np.count_nonzero(both), out[side].shape[1]), np.uint8)
+            image = of[other][own[other]]
+            np.bitwise_or.at(held, (row[other], image >> 3), (128 >> (image & 7)).astype(np.uint8))
+            out[side][own[side]] |= held[row[side]]
+    return out[0], out[1]
+
+
+def _often(bits: np.ndarray, block: Block) -> np.ndarray:
+    """For each image of the block the bits that at least VOTES of its corners have: counters of a few bits, which run over there."""
+    size = VOTES.bit_length()
+    start = (1 << size) - VOTES
+    planes = [np.full((len(block.imgs), bits.shape[1]), 255 * (start >> n & 1), np.uint8) for n in range(size)]
+    over, first = np.zeros((len(block.imgs), bits.shape[1]), np.uint8), block.first
+    for k in range(block.counts.max(initial=0)):
+        some = np.flatnonzero(block.counts > k)
+        carry = bits[first[some] + k]
+        for plane in planes:
+            old = plane[some]
+            plane[some], carry = old ^ carry, old & carry
+        over[some] |= carry
+    return over
+
+
+def _having(block: Block, image: np.ndarray, bits: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, corner): the corners of the n-th image that share a key with the n-th other image."""
+    n = block.counts[image]
+    which, corner = np.repeat(np.arange(len(image)), n), np.repeat(block.first[image], n) + _counted(n)
+    to = other[which]
+    has = (bits[corner, to >> 3] << (to & 7).astype(np.uint8) & 128) > 0
+    return which[has], corner[has]
 
 
 def _distinct(group: np.ndarray, corner: np.ndarray, groups: int) -> np.ndarray:
     """How many different corners each group has."""
-    return np.bincount(np.unique(np.stack([group, corner], axis=1).astype(np.int64).view("i8,i8").ravel())["f0"], minlength=groups)
+    span = int(corner.max(initial=0)) + 1
+    return np.bincount(np.unique(group * span + corner) // span, minlength=groups)
 
 
 def _votes(pair: np.ndarray, p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -366,10 +418,15 @@ def _votes(pair: np.ndarray, p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.
     grow = q["scale"].astype(np.float64) / p["scale"]
     x = q["x"] - grow * (np.cos(turn) * p["x"] - np.sin(turn) * p["y"])
     y = q["y"] - grow * (np.sin(turn) * p["x"] + np.cos(turn) * p["y"])
-    found = [np.zeros(0, pair.dtype)]
+    places, pair = np.unique(pair, return_inverse=True)
+    agreed = np.zeros(len(places), bool)
+    held = [pair, i.astype(np.int64), j.astype(np.int64), turn, np.log(grow) / np.log(2), x, y]
     for grid in range(16):
+        if not len(held[0]):
+            break
+        pair, i, j = held[:3]
         half = [(grid >> n & 1) * 0.5 for n in range(4)]
-        bins = [np.floor(v / width + h).astype(np.int64) for v, width, h in zip((turn, np.log(grow) / np.log(2), x, y), (np.pi / 6, 0.5, 16.0, 16.0), half)]
+        bins = [np.floor(v / width + h).astype(np.int64) for v, width, h in zip(held[3:], (np.pi / 6, 0.5, 16.0, 16.0), half)]
         bins[0] %= 12
         # bins far apart may fall together in the 64 bits, so that they are compared again below
         mixed = pair.astype(np.uint64)
@@ -381,62 +438,134 @@ def _votes(pair: np.ndarray, p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.
         some = order[np.repeat(np.diff(begin, append=len(order)) >= VOTES, np.diff(begin, append=len(order)))]
         if not len(some):
             continue
-        names, group = np.unique(np.stack([pair[some], *(v[some] for v in bins)], axis=1), axis=0, return_inverse=True)
-        group = group.ravel()
-        agreed = np.minimum(_distinct(group, i[some], len(names)), _distinct(group, j[some], len(names))) >= VOTES
-        found.append(names[agreed, 0])
-    return np.unique(np.concatenate(found))
-
-
-def _agreed(a: Block, b: Block, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the images whose matches (i, j) agree on a transform, the smaller first."""
-    of, to = a.of, b.of
-    pair = of[i] * len(b.imgs) + to[j]
+        names = np.stack([pair[some], *(v[some] for v in bins)])
+        order = np.lexsort(names)
+        some, names = some[order], names[:, order]
+        group = np.cumsum(np.concatenate([[False], (names[:, 1:] != names[:, :-1]).any(axis=0)]))
+        enough = np.minimum(_distinct(group, i[some], group[-1] + 1), _distinct(group, j[some], group[-1] + 1)) >= VOTES
+        agreed[names[0, enough[group]]] = True
+        held = [v[~agreed[pair]] for v in held]
+    return places[agreed]
+
+
+def _agreed(a: Block, b: Block, pair: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The pairs of images whose matches (i, j) agree on a transform."""
     # a pair with too few matches cannot agree
-    names, at, n = np.unique(pair, return_inverse=True, return_counts=True)
-    keep = n[at] >= VOTES
+    keep = np.bincount(pair, minlength=1)[pair] >= VOTES
     i, j, pair = i[keep], j[keep], pair[keep]
-    if not len(pair):
-        return names[:0], names[:0]
     p, q = a.rows[i], b.rows[j]
-    swap = a.imgs[of[i]] > b.imgs[to[j]]
-    p, q = np.where(swap, q, p), np.where(swap, p, q)
-    found = _votes(pair, p, q, i, j)
-    x, y = a.imgs[found // len(b.imgs)], b.imgs[found % len(b.imgs)]
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def _linked(a: Block, b: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names of the images of the blocks that are copies, the smaller first; blocks that share too many keys are halved."""
-    slices = _near(a, b)
-    if slices is None:
-        one, two = (x.halves() if len(x.imgs) > 1 else (x,) for x in (a, b))
-        if not same and len(one) == len(two) == 2:
-            one, two = (one, (b,)) if len(a.rows) >= len(b.rows) else ((a,), two)
-        for m, x in enumerate(one):
-            for n, y in enumerate(two):
-                if not same or m <= n:
-                    yield from _linked(x, y, same and m == n)
-        return
-    of, to = a.of, b.of
+    swap = a.imgs[a.of[i]] > b.imgs[b.of[j]]
+    return _votes(pair, np.where(swap, q, p), np.where(swap, p, q), i, j)
+
+
+def _of_large(a: Block, b: Block) -> bool:
+    """Whether two single images are copies."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
-    for i, j in slices:
-        keep = of[i] < to[j] if same else slice(None)
-        held.append((i[keep].astype(np.int32), j[keep].astype(np.int32)))
-        waiting += len(held[-1][0])
-        if waiting > PART:  # two images alone: what agrees by now is enough
+    for found in _near(a, b):
+        held.append(found)
+        waiting += len(found[0])
+        if waiting > PART:  # what agrees by now is enough
             held, waiting = [tuple(np.concatenate(x) for x in zip(*held))], 0
-            if len((found := _agreed(a, b, *held[0]))[0]):
-                yield found
-                return
-    if held:
-        yield _agreed(a, b, *(np.concatenate(x) for x in zip(*held)))
-
-
-def linked(dealt: DataFrame) -> DataFrame:
+            if len(_agreed(a, b, np.zeros(len(held[0][0]), int), *held[0])):
+                return True
+    i, j = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, int),) * 2
+    return len(_agreed(a, b, np.zeros(len(i), int), i, j)) > 0
+
+
+def _of_some(a: Block, b: Block, x: np.ndarray, y: np.ndarray, bits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of the pairs of images (x, y) are copies."""
+    (m, own), (n, other) = _having(a, x, bits[0], y), _having(b, y, bits[1], x)
+    partners = np.bincount(n, minlength=len(y))
+    k = partners[m]
+    pair, i, j = np.repeat(m, k), np.repeat(own, k), other[np.repeat((np.cumsum(partners) - partners)[m], k) + _counted(k)]
+    p, q = (np.ascontiguousarray(v.rows["bits"].T) for v in (a, b))
+    close = [np.zeros(0, int)]
+    for at in range(0, len(i), PAIRS):
+        apart = [u[i[at : at + PAIRS]] ^ v[j[at : at + PAIRS]] for u, v in zip(p, q)]
+        near = np.flatnonzero(sum(np.bitwise_count(word).astype(np.uint16) for word in apart) <= DISTANCE)
+        same = np.zeros(len(near), bool)
+        for word in apart:
+            same |= (word[near].view(np.uint32).reshape(-1, 2) == 0).any(axis=1)
+        close.append(near[same] + at)
+    close = np.concatenate(close)
+    return _agreed(a, b, pair[close], i[close], j[close])
+
+
+class Forest:
+    """Which images of the blocks that a task has seen are joined."""
+
+    def __init__(self) -> None:
+        self.begin: dict[int, int] = {}
+        self.root = np.zeros(0, np.int64)
+
+    def places(self, block: Block) -> int:
+        """The place of the block's first image."""
+        begin = self.begin.setdefault(int(block.imgs[0]), len(self.root))
+        if begin == len(self.root):
+            self.root = np.concatenate([self.root, np.arange(begin, begin + len(block.imgs))])
+        return begin
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Join the pairs one after another; the pairs that were not joined by those before."""
+        new = []
+        for n, ends in enumerate(zip(x.tolist(), y.tolist())):
+            u, v = ends
+            while self.root[u] != u:
+                u = int(self.root[u])
+            while self.root[v] != v:
+                v = int(self.root[v])
+            if u != v:
+                self.root[max(u, v)] = min(u, v)
+                new.append(n)
+        while not np.array_equal(over := self.root[self.root], self.root):
+            self.root = over
+        return np.array(new, int)
+
+
+def _linked(a: Block, b: Block, same: bool, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of the images of the blocks that are copies, the smaller first; with ``forest`` only such as join images not joined yet."""
+    a, b = a.matching(), b.matching()
+    if not len(a.imgs) or not len(b.imgs):
+        return
+    bits = _shared(a, b)
+    often, back = _often(bits[0], a), _often(bits[1], b)
+    left, right = (forest.places(a), forest.places(b)) if forest else (0, 0)
+    step = max(8, PART // len(b.imgs) // 8 * 8)
+    for at in range(0, len(a.imgs), step):
+        some = np.unpackbits(often[at : at + step], axis=1, count=len(b.imgs))
+        some &= np.unpackbits(back[:, at // 8 : (at + step) // 8], axis=1)[:, : len(some)].T
+        x, y = np.nonzero(some)
+        x += at
+        if same:
+            x, y = x[x < y], y[x < y]
+        if forest:  # the links of a group are met in any order, so that few join it
+            order = np.random.default_rng(len(x)).permutation(len(x))
+            x, y = x[order], y[order]
+        while len(x):
+            if forest:
+                apart = forest.root[left + x] != forest.root[right + y]
+                x, y = x[apart], y[apart]
+                if not len(x):
+                    break
+            work = a.counts[x[:SOME]].astype(np.int64) * b.counts[y[:SOME]]
+            n = max(1, int(np.searchsorted(np.cumsum(work), PART, side="right")))
+            if work[0] > PART:
+                found = np.arange(n)[: _of_large(a.part(x[0], x[0] + 1), b.part(y[0], y[0] + 1))]
+            else:
+                found = _of_some(a, b, x[:n], y[:n], bits)
+            if forest and len(found):
+                found = found[forest.join(left + x[found], right + y[found])]
+            if len(found):
+                p, q = a.imgs[x[found]], b.imgs[y[found]]
+                yield np.minimum(p, q), np.maximum(p, q)
+            x, y = x[n:], y[n:]
+
+
+def linked(dealt: DataFrame, every: bool = True) -> DataFrame:
     """(a, b): the image pairs found to be copies, from blocks written out: every block meets every other and itself once.
 
+    Without ``every`` a task leaves out pairs of images that others of its pairs join already; the components are the same.
     Both sides of the product are read from the files anew by each task, so that nothing but the blocks and the pairs takes disk.
     """
     most = max(1, min(dealt.rdd.getNumPartitions(), PARTITIONS))
@@ -445,10 +574,11 @@ def linked(dealt: DataFrame) -> DataFrame:
     met = side("1").hint("shuffle_replicate_nl").join(side("2"), F.element_at("imgs1", 1) <= F.element_at("imgs2", 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = None if every else Forest()
         for batch in batches:
             for n in range(len(batch)):
                 one, two = (Block(*(batch[c + s][n].values.to_numpy() for c in ("imgs", "counts")), np.frombuffer(batch["corners" + s][n].as_buffer(), _ROW)) for s in "12")
-                for a, b in _linked(one, two, one.imgs[0] == two.imgs[0]):
+                for a, b in _linked(one, two, one.imgs[0] == two.imgs[0], forest):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
@@ -468,7 +598,7 @@ def classes(df: DataFrame, id_col: str = "vec_id", image_col: str = "image") ->
     distinct = rows.groupBy("img").agg(F.min("image").alias("image"))
     parts = max(1, min(PARTITIONS, -(-ids.count() // IMAGES)))
     dealt = cut(blocks(distinct.repartition(parts, "img").select("img", _described("image").alias("c"))))
-    roots = components(linked(dealt))
+    roots = components(linked(dealt, every=False))
     roots = cut(roots.union(roots.select("root", "root").distinct()))
     least = ids.groupBy("img").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     found = dealt.select(F.explode(F.arrays_zip("imgs", "counts")).alias("x")).select(F.col("x.imgs").alias("img"), F.col("x.counts").cast("long").alias("n_corners"))

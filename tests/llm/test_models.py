@@ -387,3 +387,43 @@ def test_image_copies_of_blocks(spark, monkeypatch):
     halves = [np.ascontiguousarray(x).view(np.uint32) for x in (p, q)]
     shared = (halves[0][:, None] == halves[1][None, :]).any(axis=2)
     assert sorted(map(tuple, np.concatenate(pairs, axis=1).T.tolist())) == sorted(map(tuple, np.argwhere(apart & shared).tolist()))
+
+
+def block_of(bits, rng):
+    """A block of images of as many corners each, from (images, corners, words) of descriptors."""
+    images, each, _ = bits.shape
+    rows = np.zeros(images * each, image_copies._ROW)
+    rows["bits"] = bits.reshape(images * each, -1)
+    rows["x"], rows["y"] = np.tile(rng.integers(10, 90, (2, each)), images)
+    rows["scale"] = 1
+    return image_copies.Block(np.arange(images) * 3 - 100, np.full(images, each), rows)
+
+
+def test_images_that_share_few_corners_are_not_compared(monkeypatch):
+    """Images with one corner less in common than a copy has bring no matches of corners, whatever their number; one more makes them copies."""
+    rng = np.random.default_rng(5)
+    compared = []
+    plain = image_copies._agreed
+    monkeypatch.setattr(image_copies, "_agreed", lambda *args: compared.append(len(args[-1])) or plain(*args))
+    for same, pairs in ((image_copies.VOTES - 1, 0), (image_copies.VOTES, 40 * 39 // 2)):
+        bits = rng.integers(0, 1 << 63, (40, 9, 4), np.uint64)
+        bits[:, :same] = bits[0, :same]
+        block = block_of(bits, rng)
+        found = [np.stack(x) for x in image_copies._linked(block, block, True)]
+        assert sum(x.shape[1] for x in found) == pairs
+        assert sum(compared) == pairs * same
+        one, two = block.part(0, 13), block.part(13, 40)
+        assert sum(len(a) for a, _ in image_copies._linked(one, two, False)) == (13 * 27 if pairs else 0)
+
+
+def test_a_group_of_image_copies_leaves_its_task_as_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    a, b = textured(1), textured(2)
+    made = [np.clip(x + rng.normal(0, 2, x.shape), 0, 255) for x in [a] * 25 + [b] * 15]
+    rows = [(n, bytearray(image_copies.pgm(x))) for n, x in enumerate(made)]
+    edges = []
+    plain = image_copies.components
+    monkeypatch.setattr(image_copies, "components", lambda df: edges.append(df.count()) or plain(df))
+    out = image_copies.classes(spark.createDataFrame(rows, "vec_id long, image binary"))
+    assert {(r.id, r.class_id) for r in out.collect()} == {(n, 0 if n < 25 else 25) for n in range(40)}
+    assert edges == [24 + 14]
