@@ -124,3 +124,51 @@ def test_unknown_ids_and_broken_bytes(spark):
     t = bpe.Tokenizer([(97, 98)], ["<s>"])
     df = spark.createDataFrame([([256, 257, 99999, 0xC3],), (None,)], "ids array<int>")
     assert [r.text for r in t.decode(df, "ids", "text").collect()] == ["ab<s>�", None]
+
+
+@pytest.mark.parametrize("held, known, depth", [(0, 20_000, 16), (0, 12, 3), (1 << 22, 12, 2), (40, 30, 1000)])
+def test_segments_on_the_driver_and_in_tasks(spark, monkeypatch, held, known, depth):
+    """Many floors, segments that the driver does not take, and more pairs with the highest count than it knows."""
+    for name, value in (("HELD", held), ("KNOWN", known), ("DEPTH", depth), ("TABLE", 5), ("SAMPLE", 30)):
+        monkeypatch.setattr(bpe, name, value)
+    rng = random.Random(5)
+    plain = {"".join(rng.choice("aabcdé") for _ in range(rng.randint(1, 9))): rng.choice([1, 1, 2, 3, 20]) for _ in range(50)} | {"aaaaa": 50, "aaa": 7, "b" * 31: 9, "é" * 6: 4}
+    df = spark.createDataFrame([*plain.items()], "piece string, n long").repartition(3)
+    got = [(r.a, r.b) for r in bpe.train(df, 10_000).orderBy("rank").collect()]
+    assert got == plain_train(plain, 10_000)
+
+
+def test_two_hundred_merges_need_few_passes_over_the_pieces(spark, monkeypatch):
+    counts, plain = counts_of(spark, "/root/testdata/sf0.001/documents.parquet")
+    jobs, original = [], bpe._changed
+    monkeypatch.setattr(bpe, "_changed", lambda done, tried: jobs.append(len(tried)) or original(done, tried))
+    assert [(r.a, r.b) for r in bpe.train(counts, 200).orderBy("rank").collect()] == plain_train(plain, 200)
+    assert len(jobs) <= 5, jobs
+
+
+def test_white_space_beside_spaces(spark, monkeypatch):
+    """Texts that are cut at their spaces give the pieces of the pattern, also where the memory of chunks is full."""
+    for name, value in (("MEMO", 4), ("AT_ONCE", 10), ("TABLE", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    texts = ["", " ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "a\nb c", "\n\n", "x\t\x0b\x0c\ry z", "a\xa0b c d e\x85f g\x1ch", "é ü é", "q" * 300 + " " + "ab" * 200, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string").repartition(2)
+    expected = Counter(p for t in texts for p in re.findall(bpe.PATTERN, t or ""))
+    assert {r.piece: r.n for r in bpe.word_counts(df.select("text")).collect()} == expected
+    merges = [(97, 98), (256, 256), (32, 32), (10, 98), (97, 10), (195, 169), (113, 113), (262, 262)]
+    for specials in ([], ["\n", "ab"]):
+        t = bpe.Tokenizer(merges, specials)
+        for r in t.decode(t.encode(df, "text", "ids", True), "ids", "back").collect():
+            parts = [p for p in re.split("(\n|ab)", r.text or "") if p] if specials else [r.text or ""]
+            assert r.ids == [i for p in parts for i in ([t.specials[p]] if p in t.specials else plain_encode(p, t.merges))], r.text
+            assert r.back == (r.text or "")
+
+
+def test_saved_query_codes_a_document_once(spark, tmp_path):
+    """A row a document, whatever its id; nothing is coded twice to be joined."""
+    from corpusloom.plans import catalog
+
+    docs = [(1, "a b\nc"), (1, "a b"), (None, "b\n\n"), (2, None), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["bpe_save"](spark, str(tmp_path))
+    assert Counter((r.doc_id, r.specials, r.same) for r in found.collect()) == Counter([(1, 2, True), (1, 1, True), (None, 3, True), (2, 0, None), (3, 1, True)])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
